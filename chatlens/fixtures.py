@@ -137,8 +137,79 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_type") == "STANDARD", "generic")
         .otherwise(F.lower("p_type"))
         .alias("product"),
-        F.concat(F.col("p_name"), F.lit(" "), F.col("p_size")).alias("keyword"),
+        F.when(F.col("p_partkey") % 97 == 0, "")
+        .otherwise(F.concat(F.col("p_name"), F.lit(" "), F.col("p_size")))
+        .alias("keyword"),
         F.when(F.col("p_partkey") % 5 == 0, "small, economy ")
         .when(F.col("p_partkey") % 7 == 0, "nosuch")
         .alias("required_product"),
     )
+
+
+def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as a keyword table that grows with the data and occurs in messages."""
+    doc = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        doc.cast("int").alias("idx"),
+        F.concat(F.lit("d"), F.floor(doc / 30)).alias("brand"),
+        F.when(doc % 6 == 0, "generic")
+        .otherwise(F.concat(F.lit("p"), doc % 6))
+        .alias("product"),
+        F.substring("text", 3, 6).alias("keyword"),
+        F.when(doc % 5 == 0, "p2, p3").otherwise("").alias("required_product"),
+    )
+
+
+def reply_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as model replies of all kinds, with the message text as reason."""
+    kind = (F.col("conv_id") * 5 + F.col("turn")) % len(REPLY_FORMS)
+    reason = F.regexp_replace("text", "[^A-Za-z ]", " ")
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(REPLY_FORMS):
+        before, _, after = form.partition("{reason}")
+        filled = F.concat(F.lit(before), reason, F.lit(after)) if "{reason}" in form else F.lit(form)
+        text = F.when(kind == i, filled).otherwise(text)
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.when((F.col("conv_id") + F.col("turn")) % 9 != 0, text).alias("reply"),
+    )
+
+
+# The replies above with the reason left open where there is one.
+REPLY_FORMS = [
+    '{"sentiment":"P","reason":"{reason}"}',
+    '```json\n{"sentiment":"N","reason":"{reason}"}\n```',
+    'text ```{"sentiment":"I","reason":"{reason}"}``` more',
+    '{"sentiment":"P","reason":"{reason}"} trailing',
+    '{"sentiment":"P","reason":"{reason}"}] tail',
+    '{"sentiment":"P","reason":"{reason}"}} tail',
+    '{"sentiment":"p","reason":"{reason}"}',
+    '{"sentiment":"P","reason":5}',
+    '{"sentiment":"P"}',
+    '["{reason}"]',
+    "",
+    '{"sentiment":"N","reason":"{reason}","extra":[1],"success":false}',
+    "{'sentiment':'P','reason':'{reason}'}",
+    '```json {"sentiment":"P","reason":"{reason}"}',
+    "null",
+]
+
+
+class ScriptedScorer:
+    """A stand-in for a model whose reply is a function of the request alone."""
+
+    def __call__(self, conversations: list[list[dict]]) -> list[str | None]:
+        return [self.reply(c) for c in conversations]
+
+    @staticmethod
+    def reply(conversation: list[dict]) -> str | None:
+        size = len(conversation[1]["content"])
+        good = '{"sentiment":"%s","reason":"size %d"}' % ("PNI"[size % 3], size)
+        if size % 5 == 0:
+            return good if len(conversation) > 2 else "not json"
+        if size % 5 == 1:
+            return '["P"]'
+        if size % 5 == 2:
+            return None
+        return good

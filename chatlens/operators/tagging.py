@@ -35,7 +35,7 @@ from chatlens.schemas import HITS
 ANY = "any"
 LITERAL = "literal"
 
-NATIVE_MAX_NEEDLES = 24
+NATIVE_MAX_NEEDLES = 16
 SHIPPED_MAX_RULES = 20_000
 SHIPPED_MAX_BYTES = 4 * 1024 * 1024
 
@@ -203,7 +203,7 @@ def tag_messages(
         return messages.withColumn("hits", F.array().cast(HITS))
     folded = fold_case(message_col, full_fold)
     if len(index.needles) <= native_max_needles:
-        found = let(folded, lambda text: find_native(text, index.needles))
+        found = find_native(folded, index.needles)
     else:
         found = find_batched(folded, index.needles)
     return (
