@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,27 @@ REPLIES = [
 ]
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as constants of the plan."""
+    table = pa.Table.from_pylist(
+        [dict(zip(schema_names(schema), r)) for r in rows],
+        schema=pa.schema(
+            [(n, pa.int32() if n == "idx" else pa.string()) for n in schema_names(schema)]
+        ),
+    )
+    return spark.createDataFrame(table)
+
+
+def schema_names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE_SCHEMA)
+    return inline_table(spark, RULES, RULE_SCHEMA)
 
 
 def group_info(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GROUP_INFO, GROUP_INFO_SCHEMA)
+    return inline_table(spark, GROUP_INFO, GROUP_INFO_SCHEMA)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,12 +57,12 @@ def resolve_required(rules: DataFrame) -> DataFrame:
     """
     words = rules.select("headers", F.col("idx").alias("_idx"), "keyword")
     resolved = (
-        lookup_join(words, required_headers(rules), ["headers"])
+        words.join(required_headers(rules), "headers")
         .groupBy("brand", "required_product")
         .agg(F.array_sort(F.collect_list(F.struct("_idx", "keyword"))).alias("_words"))
         .select("brand", "required_product", F.col("_words.keyword").alias("required_words"))
     )
-    return lookup_join(rules, resolved, ["brand", "required_product"], "left").select(
+    return rules.join(resolved, ["brand", "required_product"], "left").select(
         "idx",
         *RULE_COLUMNS,
         "headers",

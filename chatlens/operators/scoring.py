@@ -157,7 +157,7 @@ def ask_model(
     max_attempts: int = MAX_ATTEMPTS,
     rejected: str = REJECTED,
 ) -> DataFrame:
-    """Ask a scorer for every distinct request: ``request_id, success, sentiment, reason``.
+    """Ask a scorer: adds ``success, sentiment, reason`` to every row of ``requests``.
 
     An invalid reply is sent back with the error; a missing text is asked for again as it was; a
     reply that is no object, or an exception, ends the request. The rounds follow each other in
@@ -165,9 +165,7 @@ def ask_model(
     """
     before, after = rejected.split("{error}", 1)
     current = (
-        requests.select("request_id", "prompt")
-        .distinct()
-        .withColumn(
+        requests.withColumn(
             "_conversation",
             F.array(_message("system", F.lit(system)), _message("user", F.col("prompt"))),
         )
@@ -209,8 +207,8 @@ def ask_model(
     outcome = F.coalesce("_outcome", _failure(F.lit(EXHAUSTED.format(attempts=max_attempts))))
     shared_folder(requests.sparkSession)
     return (
-        current.select("request_id", outcome.alias("_outcome"))
-        .select("request_id", "_outcome.*")
+        current.select(*requests.columns, outcome.alias("_outcome"))
+        .select(*requests.columns, "_outcome.*")
         .checkpoint()
     )
 
@@ -255,19 +253,22 @@ def fold_replies(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataF
     ).select("request_id", "_outcome.*", "attempts_used")
 
 
+def with_outcomes(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Requests with the outcomes that were collected elsewhere, by ``request_id``."""
+    return requests.join(
+        outcomes.select("request_id", "success", "sentiment", "reason"), "request_id", "left"
+    )
+
+
 def attach_results(
-    tagged: DataFrame,
-    requests: DataFrame,
-    outcomes: DataFrame,
-    message_col: str = "messageBody",
+    tagged: DataFrame, answered: DataFrame, message_col: str = "messageBody"
 ) -> DataFrame:
-    """Add ``results`` from a table of outcomes by request.
+    """Add ``results`` from the answered ``distinct_requests``.
 
     The results of a text are put together once and then joined to all messages with that text.
     Messages without hits get a key of their own, so that they do not meet in one partition. A
     request without an outcome counts as failed.
     """
-    answered = requests.join(outcomes, "request_id", "left")
     per_text = answered.groupBy("text_id").agg(
         F.array_sort(
             F.collect_list(
@@ -306,8 +307,8 @@ def score_by_model(
 ) -> DataFrame:
     """Add ``results`` by asking an external scorer."""
     requests = distinct_requests(tagged, message_col, template)
-    outcomes = ask_model(requests, make_scorer, system, max_attempts)
-    return attach_results(tagged, requests, outcomes, message_col)
+    answered = ask_model(requests, make_scorer, system, max_attempts)
+    return attach_results(tagged, answered, message_col)
 
 
 def reason_text(results: Column) -> Column:

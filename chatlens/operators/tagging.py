@@ -29,8 +29,14 @@ from chatlens.operators.joins import (
     lookup_join,
     salted_join,
 )
-from chatlens.operators.rules import header_order, suppressor_pairs
+from chatlens.operators.rules import (
+    GENERIC,
+    GENERIC_SUFFIX,
+    header_order,
+    suppressor_pairs,
+)
 from chatlens.schemas import HITS
+from chatlens.storage import shared_folder
 
 ANY = "any"
 LITERAL = "literal"
@@ -74,11 +80,14 @@ def rule_needles(rules: DataFrame, required: str = ANY, full_fold: bool = False)
     )
 
 
-def build_index(needles: DataFrame, headers: DataFrame, pairs: DataFrame) -> RuleIndex:
+def build_index(needles: DataFrame, suppress: bool = True) -> RuleIndex:
     """Collect a rule table that has been measured before."""
-    header_rows = sorted(headers.collect(), key=lambda r: r["ord"])
-    position = {r["headers"]: i for i, r in enumerate(header_rows)}
-    rule_rows = needles.collect()
+    rule_rows = sorted(needles.collect(), key=lambda r: r["idx"])
+    first_row: dict[str, int] = {}
+    for r in rule_rows:
+        first_row.setdefault(r["headers"], r["idx"])
+    headers = list(first_row)
+    position = {h: i for i, h in enumerate(headers)}
     words = sorted(
         {r["needle"] for r in rule_rows} | {w for r in rule_rows for w in r["required_needles"]}
     )
@@ -90,13 +99,17 @@ def build_index(needles: DataFrame, headers: DataFrame, pairs: DataFrame) -> Rul
             "required": [number[w] for w in r["required_needles"]],
         }
         rules_of_needle[number[r["needle"]]].append(rule)
-    suppressors: list[list[int]] = [[] for _ in header_rows]
-    for p in pairs.collect():
-        suppressors[position[p["generic"]]].append(position[p["specific"]])
+    suppressors: list[list[int]] = [[] for _ in headers]
+    if suppress:
+        specific = [h for h in headers if GENERIC not in h]
+        for h in headers:
+            if GENERIC in h:
+                base = h.replace(GENERIC_SUFFIX, "")
+                suppressors[position[h]] = [position[s] for s in specific if base in s]
     return RuleIndex(
         needles=words,
-        headers=[r["headers"] for r in header_rows],
-        ords=[r["ord"] for r in header_rows],
+        headers=headers,
+        ords=list(first_row.values()),
         rules_of_needle=rules_of_needle,
         suppressors=suppressors,
     )
@@ -165,7 +178,7 @@ def resolve_hits(found: Column, index: RuleIndex) -> Column:
             rules_found,
             lambda r: (F.size(r["required"]) == 0) | F.arrays_overlap(r["required"], numbers),
         )
-        positions = F.array_sort(F.array_distinct(F.transform(satisfied, lambda r: r["pos"])))
+        positions = F.sort_array(F.array_distinct(F.transform(satisfied, lambda r: r["pos"])))
         kept = let(
             positions,
             lambda hit: F.filter(
@@ -193,12 +206,13 @@ def tag_messages(
 
     ``suppress=False`` leaves out the generic fallback and gives the hits before it.
     """
-    needles = rule_needles(rules, required, full_fold)
-    headers = header_order(rules)
-    if not fits_broadcast(needles, shipped_max_rules, shipped_max_bytes):
-        return tag_by_join(messages, rules, message_col, required, suppress, full_fold)
-    pairs = suppressor_pairs(headers)
-    index = build_index(needles, headers, pairs if suppress else pairs.limit(0))
+    needles = rule_needles(rules, required, full_fold).persist()
+    try:
+        if not fits_broadcast(needles, shipped_max_rules, shipped_max_bytes):
+            return tag_by_join(messages, rules, message_col, required, suppress, full_fold)
+        index = build_index(needles, suppress)
+    finally:
+        needles.unpersist()
     if not index.needles:
         return messages.withColumn("hits", F.array().cast(HITS))
     folded = fold_case(message_col, full_fold)
@@ -224,7 +238,8 @@ def tag_by_join(
     """``tag_messages`` for rule tables of any size.
 
     Hits depend on the text alone, so they are found once per distinct text. Every join is on
-    equality; those whose key may be hot are salted.
+    equality; those whose key may be hot are salted. The keywords found, which several joins
+    need, are kept in the checkpoint folder.
     """
     folded = fold_case(message_col, full_fold)
     texts = (
@@ -233,11 +248,12 @@ def tag_by_join(
         .distinct()
         .withColumn("_text", F.sha2("_folded", 256))
     )
-    needles = rule_needles(rules, required, full_fold)
-    headers = header_order(rules)
+    shared_folder(messages.sparkSession)
+    needles = rule_needles(rules, required, full_fold).checkpoint()
+    headers = header_order(needles)
     alternatives = needles.select("idx", F.explode("required_needles").alias("needle"))
     every_needle = needles.select("needle").union(alternatives.select("needle")).distinct()
-    found = contains_join(texts, "_text", "_folded", every_needle, "needle")
+    found = contains_join(texts, "_text", "_folded", every_needle, "needle").checkpoint()
 
     ordered = needles.join(headers.select("headers", "ord"), "headers").select(
         "idx", "needle", "ord", (F.size("required_needles") == 0).alias("simple")

@@ -169,13 +169,21 @@ def scan_csv(
 
 
 def _bad_paths(spark: SparkSession, groups: dict[tuple[str, ...], list[str]]) -> DataFrame:
+    return _bad_rows(spark, groups).select("path").distinct()
+
+
+def _bad_rows(spark: SparkSession, groups: dict[tuple[str, ...], list[str]]) -> DataFrame:
+    # the scan must ask for a column besides the corrupt record
     return reduce(
         DataFrame.union,
         [
-            _read_group(spark, columns, members).where("_too_long").select("path")
+            _read_group(spark, columns, members)
+            .where(F.col("_too_long"))
+            .where(F.char_length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0)
+            .select("path", F.col(CORRUPT).alias("record"))
             for columns, members in groups.items()
         ],
-    ).distinct()
+    )
 
 
 def bad_records(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
@@ -183,15 +191,7 @@ def bad_records(spark: SparkSession, paths: str | list[str], recursive: bool = T
     groups = _groups(spark, paths, recursive)
     if not groups:
         return spark.createDataFrame([], "path string, record string")
-    return reduce(
-        DataFrame.union,
-        [
-            _read_group(spark, columns, members)
-            .where("_too_long")
-            .select("path", F.col(CORRUPT).alias("record"))
-            for columns, members in groups.items()
-        ],
-    )
+    return _bad_rows(spark, groups)
 
 
 def scan_exports(spark: SparkSession, root: str, bad_files: str = "skip", **options) -> DataFrame:
