@@ -14,11 +14,11 @@ The first two touch each row once, without any shuffle.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,43 +152,59 @@ def find_batched(folded: Column, needles: list[str]) -> Column:
     return numbers(folded)
 
 
-def resolve_hits(found: Column, index: RuleIndex) -> Column:
+def index_row(messages: DataFrame, index: RuleIndex) -> DataFrame:
+    """The rule index as one row, to be used as a scalar subquery."""
+    rule = pa.struct([("pos", pa.int32()), ("required", pa.list_(pa.int32()))])
+    head = pa.struct([("ord", pa.int32()), ("header", pa.string())])
+    headers = [{"ord": o, "header": h} for o, h in zip(index.ords, index.headers)]
+    table = pa.table(
+        {
+            "rules": pa.array([index.rules_of_needle], pa.list_(pa.list_(rule))),
+            "suppressors": pa.array([index.suppressors], pa.list_(pa.list_(pa.int32()))),
+            "headers": pa.array([headers], pa.list_(head)),
+        }
+    )
+    return messages.sparkSession.createDataFrame(table)
+
+
+def resolve_hits(found: Column, rules: Column, suppressors: Column, headers: Column) -> Column:
     """Headers hit, given the numbers of the needles found in a text.
 
     Only the rules of the found needles are looked at. A generic header is dropped if one of its
     suppressors is hit as well.
     """
-
-    def fixed(value, schema: str) -> Column:
-        # a constant: folded once by the optimizer
-        return F.from_json(F.lit(json.dumps(value)), schema)
-
-    rules = fixed(
-        index.rules_of_needle, "array<array<struct<pos:int,required:array<int>>>>"
+    rules_found = F.flatten(F.transform(found, lambda n: F.element_at(rules, n + 1)))
+    satisfied = F.filter(
+        rules_found,
+        lambda r: (F.size(r["required"]) == 0) | F.arrays_overlap(r["required"], found),
     )
-    suppressors = fixed(index.suppressors, "array<array<int>>")
-    headers = fixed(
-        [{"ord": o, "header": h} for o, h in zip(index.ords, index.headers)],
-        "array<struct<ord:int,header:string>>",
+    positions = F.sort_array(F.array_distinct(F.transform(satisfied, lambda r: r["pos"])))
+    kept = let(
+        positions,
+        lambda hit: F.filter(
+            hit, lambda p: ~F.arrays_overlap(F.element_at(suppressors, p + 1), hit)
+        ),
     )
+    hits = F.transform(kept, lambda p: F.element_at(headers, p + 1))
+    return F.when(F.size(found) > 0, hits).otherwise(F.array().cast(HITS))
 
-    def resolve(numbers: Column) -> Column:
-        rules_found = F.flatten(F.transform(numbers, lambda n: F.element_at(rules, n + 1)))
-        satisfied = F.filter(
-            rules_found,
-            lambda r: (F.size(r["required"]) == 0) | F.arrays_overlap(r["required"], numbers),
-        )
-        positions = F.sort_array(F.array_distinct(F.transform(satisfied, lambda r: r["pos"])))
-        kept = let(
-            positions,
-            lambda hit: F.filter(
-                hit, lambda p: ~F.arrays_overlap(F.element_at(suppressors, p + 1), hit)
-            ),
-        )
-        return F.transform(kept, lambda p: F.element_at(headers, p + 1))
 
-    none = F.array().cast(HITS)
-    return F.when(F.size(found) > 0, resolve(found)).otherwise(none)
+def index_rules(
+    rules: DataFrame,
+    required: str = ANY,
+    suppress: bool = True,
+    full_fold: bool = False,
+    max_rules: int = SHIPPED_MAX_RULES,
+    max_bytes: int = SHIPPED_MAX_BYTES,
+) -> RuleIndex | None:
+    """Measure a rule table and collect it if it is small enough to ship; else None."""
+    needles = rule_needles(rules, required, full_fold).persist()
+    try:
+        if fits_broadcast(needles, max_rules, max_bytes):
+            return build_index(needles, suppress)
+        return None
+    finally:
+        needles.unpersist()
 
 
 def tag_messages(
@@ -199,20 +215,26 @@ def tag_messages(
     suppress: bool = True,
     full_fold: bool = False,
     native_max_needles: int = NATIVE_MAX_NEEDLES,
-    shipped_max_rules: int = SHIPPED_MAX_RULES,
-    shipped_max_bytes: int = SHIPPED_MAX_BYTES,
+    max_rules: int = SHIPPED_MAX_RULES,
 ) -> DataFrame:
     """Add ``hits`` to every message; ``rules`` come from ``prepare_rules``.
 
     ``suppress=False`` leaves out the generic fallback and gives the hits before it.
     """
-    needles = rule_needles(rules, required, full_fold).persist()
-    try:
-        if not fits_broadcast(needles, shipped_max_rules, shipped_max_bytes):
-            return tag_by_join(messages, rules, message_col, required, suppress, full_fold)
-        index = build_index(needles, suppress)
-    finally:
-        needles.unpersist()
+    index = index_rules(rules, required, suppress, full_fold, max_rules)
+    if index is None:
+        return tag_by_join(messages, rules, message_col, required, suppress, full_fold)
+    return tag_by_index(messages, index, message_col, full_fold, native_max_needles)
+
+
+def tag_by_index(
+    messages: DataFrame,
+    index: RuleIndex,
+    message_col: str = "messageBody",
+    full_fold: bool = False,
+    native_max_needles: int = NATIVE_MAX_NEEDLES,
+) -> DataFrame:
+    """``tag_messages`` with a collected rule table: no join and no shuffle."""
     if not index.needles:
         return messages.withColumn("hits", F.array().cast(HITS))
     folded = fold_case(message_col, full_fold)
@@ -220,11 +242,14 @@ def tag_messages(
         found = find_native(folded, index.needles)
     else:
         found = find_batched(folded, index.needles)
-    return (
-        messages.withColumn("_found", found)
-        .withColumn("hits", resolve_hits(F.col("_found"), index))
-        .drop("_found")
+    row = index_row(messages, index)
+    names = ["rules", "suppressors", "headers"]
+    with_index = messages.withColumn("_found", found).withColumns(
+        {f"_{n}": row.select(n).scalar() for n in names}
     )
+    return with_index.withColumn(
+        "hits", resolve_hits(F.col("_found"), *[F.col(f"_{n}") for n in names])
+    ).drop("_found", *[f"_{n}" for n in names])
 
 
 def tag_by_join(

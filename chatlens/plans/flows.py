@@ -75,18 +75,6 @@ def model_scorer(
     return score
 
 
-def analyse_hits(
-    chats: DataFrame,
-    rules: DataFrame,
-    score: ScoreStep,
-    message_col: str = "messageBody",
-    required: str = tagging.ANY,
-) -> DataFrame:
-    """Tag and score: ``hits`` and ``results`` on each message, reasons in ``Reason``."""
-    tagged = tagging.tag_messages(chats, rules, message_col, required)
-    return scoring.with_reason(score(tagged))
-
-
 def analyse(
     chats: DataFrame,
     rules: DataFrame,
@@ -95,8 +83,14 @@ def analyse(
     required: str = tagging.ANY,
 ) -> DataFrame:
     """The final table: the chat columns and one sentiment column per header."""
-    scored = analyse_hits(chats, rules, score, message_col, required)
-    return scoring.wide_sentiment(scored, tagging.header_names(rules))
+    index = tagging.index_rules(rules, required)
+    if index is None:
+        tagged = tagging.tag_by_join(chats, rules, message_col, required)
+        headers = tagging.header_names(rules)
+    else:
+        tagged = tagging.tag_by_index(chats, index, message_col)
+        headers = index.headers
+    return scoring.wide_sentiment(scoring.with_reason(score(tagged)), headers)
 
 
 def run(
