@@ -17,13 +17,9 @@ def fits_broadcast(
     max_rows: int = BROADCAST_MAX_ROWS,
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> bool:
-    """Measure a table before broadcasting it.
-
-    One small job; each task stops after ``max_rows`` + 1 rows.
-    """
+    """Measure a table before broadcasting it: one job that only counts."""
     size = (
-        df.limit(max_rows + 1)
-        .select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
+        df.select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
         .agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
         .first()
     )

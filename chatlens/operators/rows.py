@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.functions.text import day_first_date, second_of_day, without_csv
-from chatlens.operators.joins import fits_broadcast
+from chatlens.operators.joins import fits_broadcast, lookup_join
 from chatlens.schemas import CHAT_COLUMNS
-from chatlens.storage import shared_folder
+from chatlens.storage import keep
 
 CHRONOLOGICAL = "chronological"
 LEXICAL = "lexical"
@@ -90,9 +90,9 @@ def sort_chats(
     chats: DataFrame,
     mode: str = CHRONOLOGICAL,
     date_format: str = "d/M/yyyy",
-    partitions: int | None = None,
+    within: list[str] | None = None,
 ) -> DataFrame:
-    """Order the rows by chat, then by day and time.
+    """Order the rows by chat (or by the columns ``within``), then by day and time.
 
     The rows are range partitioned on the whole sort key: a chat of any size is cut into
     consecutive partitions instead of landing in one task. Without ``Date2`` or ``Time`` the rows
@@ -101,10 +101,9 @@ def sort_chats(
     if not can_sort(chats):
         warnings.warn("Date2 or Time is missing, chats are left unsorted", stacklevel=2)
         return chats
-    keys = [F.col("Source").asc(), *order_columns(chats, mode, date_format)]
-    if partitions is None:
-        return chats.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return chats.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    groups = [F.col(c).asc() for c in within or ["Source"]]
+    keys = [*groups, *order_columns(chats, mode, date_format)]
+    return chats.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def number_rows(
@@ -115,16 +114,15 @@ def number_rows(
 ) -> DataFrame:
     """Position of every row within its chat, without a task per chat.
 
-    Sorted range partitions are written to the checkpoint folder with the place of each row. A
-    chat then starts at its first place in a partition, after the rows it has in earlier
-    partitions; both are known from one small count per (partition, chat).
+    Sorted range partitions are written to the shared folder with the place of each row. A chat
+    then starts at its first place in a partition, after the rows it has in earlier partitions;
+    both are known from one small count per (partition, chat).
     """
-    shared_folder(chats.sparkSession)
-    placed = (
+    placed = keep(
         sort_chats(chats, mode, date_format)
         .withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "placed",
     )
     counts = placed.groupBy("Source", "_part").agg(
         F.count("*").alias("_rows"), F.min("_place").alias("_first")
@@ -158,7 +156,4 @@ def group_files(files: DataFrame, name: str = "file_name", path: str = "path") -
     One row per file, so a name with very many files is not gathered in one row.
     """
     files = files.select(F.col(name), F.col(path)).distinct()
-    counts = files.groupBy(name).agg(F.count("*").alias("n_files"))
-    if fits_broadcast(counts):
-        counts = F.broadcast(counts)
-    return files.join(counts, name)
+    return lookup_join(files, files.groupBy(name).agg(F.count("*").alias("n_files")), [name])

@@ -2,8 +2,7 @@
 
 ``results ARRAY<STRUCT<ord, header, success, sentiment, reason>>`` stays on the message row; the
 wide table and the Reason text are projections of it. The word-list scorer is an expression. A
-model is asked once per distinct (text, header); its replies are kept in the checkpoint folder, so
-that a lost executor does not lead to asking again.
+model is asked once per distinct (text, header); its replies are kept in the shared folder, so that a lost executor does not lead to asking again.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from chatlens.functions.text import all_columns_hash, fold_case
 from chatlens.operators.joins import salted_join
 from chatlens.operators.tagging import explode_hits
 from chatlens.schemas import RESULTS
-from chatlens.storage import shared_folder
+from chatlens.storage import keep
 
 # The text of a request, the outcome of a failed one, the attempts of each.
 PROMPT = "Formula Brand: {header}, Message: {message}"
@@ -84,8 +83,9 @@ def distinct_requests(
     """
     texts = (
         tagged.where(F.size("hits") > 0)
-        .groupBy(F.sha2(message_col, 256).alias("text_id"))
-        .agg(F.any_value(message_col).alias(message_col), F.any_value("hits").alias("hits"))
+        .select(message_col, "hits")
+        .distinct()
+        .withColumn("text_id", F.sha2(message_col, 256))
     )
     return request_rows(texts, message_col, template).select(
         "text_id", "ord", "header", "request_id", "prompt"
@@ -205,12 +205,8 @@ def ask_model(
             .drop("_reply", "_read")
         )
     outcome = F.coalesce("_outcome", _failure(F.lit(EXHAUSTED.format(attempts=max_attempts))))
-    shared_folder(requests.sparkSession)
-    return (
-        current.select(*requests.columns, outcome.alias("_outcome"))
-        .select(*requests.columns, "_outcome.*")
-        .checkpoint()
-    )
+    answered = current.select(*requests.columns, outcome.alias("_outcome"))
+    return keep(answered.select(*requests.columns, "_outcome.*"), "answered")
 
 
 def _outcome(success: Column, sentiment: Column, reason: Column) -> Column:

@@ -36,7 +36,7 @@ from chatlens.operators.rules import (
     suppressor_pairs,
 )
 from chatlens.schemas import HITS
-from chatlens.storage import shared_folder
+from chatlens.storage import keep
 
 ANY = "any"
 LITERAL = "literal"
@@ -264,7 +264,7 @@ def tag_by_join(
 
     Hits depend on the text alone, so they are found once per distinct text. Every join is on
     equality; those whose key may be hot are salted. The keywords found, which several joins
-    need, are kept in the checkpoint folder.
+    need, are kept in the shared folder.
     """
     folded = fold_case(message_col, full_fold)
     texts = (
@@ -273,12 +273,11 @@ def tag_by_join(
         .distinct()
         .withColumn("_text", F.sha2("_folded", 256))
     )
-    shared_folder(messages.sparkSession)
-    needles = rule_needles(rules, required, full_fold).checkpoint()
+    needles = keep(rule_needles(rules, required, full_fold), "needles")
     headers = header_order(needles)
     alternatives = needles.select("idx", F.explode("required_needles").alias("needle"))
     every_needle = needles.select("needle").union(alternatives.select("needle")).distinct()
-    found = contains_join(texts, "_text", "_folded", every_needle, "needle").checkpoint()
+    found = keep(contains_join(texts, "_text", "_folded", every_needle, "needle"), "found")
 
     ordered = needles.join(headers.select("headers", "ord"), "headers").select(
         "idx", "needle", "ord", (F.size("required_needles") == 0).alias("simple")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chatlens.operators.rows import CHRONOLOGICAL, sort_chats
 
@@ -36,18 +37,26 @@ def write_table(
     writer.save(path)
 
 
+def _write_ordered(
+    chats: DataFrame, path: str, folders: list[str], mode: str, file_format: str
+) -> None:
+    # folder columns without nulls: the writer then takes the order as it is
+    known = chats.withColumns({c: F.coalesce(c, F.lit("")) for c in folders})
+    write_table(sort_chats(known, mode, within=folders), path, file_format, folders)
+
+
 def write_merged(
     chats: DataFrame, path: str, mode: str = CHRONOLOGICAL, file_format: str = "csv"
 ) -> None:
     """One folder per chat, in order: files of a chat follow each other by name."""
-    write_table(sort_chats(chats, mode), path, file_format, ["Source"])
+    _write_ordered(chats, path, ["Source"], mode, file_format)
 
 
 def write_by_nature(
     routed: DataFrame, path: str, mode: str = CHRONOLOGICAL, file_format: str = "csv"
 ) -> None:
     """One folder per category and chat."""
-    write_table(sort_chats(routed, mode), path, file_format, ["nature", "Source"])
+    _write_ordered(routed, path, ["nature", "Source"], mode, file_format)
 
 
 def write_template(template: DataFrame, path: str) -> None:

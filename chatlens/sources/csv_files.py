@@ -11,6 +11,7 @@ import csv
 import warnings
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -86,31 +87,56 @@ def is_too_long(width: int) -> Column:
     return F.coalesce(commas >= width, F.lit(False))
 
 
-def _read_group(spark: SparkSession, columns: tuple[str, ...], paths: list[str]) -> DataFrame:
-    schema = text_schema([*columns, CORRUPT])
-    path = decoded_path(F.col("_metadata.file_path"))
-    return (
-        spark.read.schema(schema)
-        .options(**CSV_READ)
-        .csv([literal_path(p) for p in paths])
-        .select(
+@dataclass
+class _Tree:
+    """CSV files below some paths, grouped by header. Only names and header lines reach the driver."""
+
+    spark: SparkSession
+    paths: str | list[str]
+    recursive: bool
+    groups: dict[tuple[str, ...], list[str]]
+
+    @classmethod
+    def probe(cls, spark: SparkSession, paths: str | list[str], recursive: bool) -> _Tree:
+        groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+        for row in header_lines(spark, paths, recursive).collect():
+            groups[column_names(row["line"])].append(row["path"])
+        return cls(spark, paths, recursive, groups)
+
+    def without(self, bad: set[str]) -> _Tree:
+        groups = {c: [p for p in members if p not in bad] for c, members in self.groups.items()}
+        return _Tree(self.spark, [], False, {c: m for c, m in groups.items() if m})
+
+    def read(self, columns: tuple[str, ...]) -> DataFrame:
+        """The files of one group: by their names, or as a whole tree if there is one group."""
+        reader = self.spark.read.schema(text_schema([*columns, CORRUPT])).options(**CSV_READ)
+        if len(self.groups) == 1 and self.paths:
+            rows = reader.options(
+                recursiveFileLookup=str(self.recursive).lower(), pathGlobFilter="*.csv"
+            ).csv(self.paths)
+        else:
+            rows = reader.csv([literal_path(p) for p in self.groups[columns]])
+        path = decoded_path(F.col("_metadata.file_path"))
+        return rows.select(
             *[F.col(f"`{c}`") for c in columns],
             CORRUPT,
             path.alias("path"),
             F.regexp_extract(path, r"([^/]*)$", 1).alias("file_name"),
             is_too_long(len(columns)).alias("_too_long"),
         )
-    )
-
 
-def _groups(
-    spark: SparkSession, paths: str | list[str], recursive: bool
-) -> dict[tuple[str, ...], list[str]]:
-    """Paths by column list. Only file names and header lines reach the driver."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for row in header_lines(spark, paths, recursive).collect():
-        groups[column_names(row["line"])].append(row["path"])
-    return groups
+    def bad_records(self) -> DataFrame:
+        """``(path, record)`` of the records longer than their header."""
+        empty = self.spark.createDataFrame([], "path string, record string")
+        # the scan must ask for a column besides the corrupt record
+        parts = [
+            self.read(columns)
+            .where(F.col("_too_long"))
+            .where(F.char_length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0)
+            .select("path", F.col(CORRUPT).alias("record"))
+            for columns in self.groups
+        ]
+        return reduce(DataFrame.union, parts) if parts else empty
 
 
 def scan_csv(
@@ -127,25 +153,24 @@ def scan_csv(
     longer than its header is bad: ``skip`` leaves such files out with a warning, after one pass
     that looks for them; ``fail`` raises while reading. ``na_tokens`` are texts to read as null.
     """
-    groups = _groups(spark, paths, recursive)
-    if required is not None:
-        for columns, members in groups.items():
-            missing = [c for c in required if c not in columns]
-            if missing:
-                raise SchemaError(f"{members[0]}: missing columns {missing}")
-    if bad_files == "skip" and groups:
-        bad = {r["path"] for r in _bad_paths(spark, groups).collect()}
+    tree = _Tree.probe(spark, paths, recursive)
+    for columns, members in tree.groups.items():
+        missing = [c for c in required or [] if c not in columns]
+        if missing:
+            raise SchemaError(f"{members[0]}: missing columns {missing}")
+    if bad_files == "skip":
+        bad = {r["path"] for r in tree.bad_records().select("path").distinct().collect()}
         if bad:
             warnings.warn(f"skipped {len(bad)} unreadable CSV files", stacklevel=2)
-        groups = {c: kept for c, m in groups.items() if (kept := [p for p in m if p not in bad])}
-    elif bad_files not in ("skip", "fail"):
+            tree = tree.without(bad)
+    elif bad_files != "fail":
         raise ValueError(f"unknown treatment of bad files {bad_files!r}")
-    if not groups:
+    if not tree.groups:
         return spark.createDataFrame([], text_schema([*EXPORT_COLUMNS, "path", "file_name"]))
 
     parts = []
-    for columns, members in groups.items():
-        rows = _read_group(spark, columns, members)
+    for columns in tree.groups:
+        rows = tree.read(columns)
         if bad_files == "fail":
             message = F.concat(F.col("path"), F.lit(": record longer than the header: "))
             rows = rows.where(
@@ -168,30 +193,9 @@ def scan_csv(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _bad_paths(spark: SparkSession, groups: dict[tuple[str, ...], list[str]]) -> DataFrame:
-    return _bad_rows(spark, groups).select("path").distinct()
-
-
-def _bad_rows(spark: SparkSession, groups: dict[tuple[str, ...], list[str]]) -> DataFrame:
-    # the scan must ask for a column besides the corrupt record
-    return reduce(
-        DataFrame.union,
-        [
-            _read_group(spark, columns, members)
-            .where(F.col("_too_long"))
-            .where(F.char_length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0)
-            .select("path", F.col(CORRUPT).alias("record"))
-            for columns, members in groups.items()
-        ],
-    )
-
-
 def bad_records(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
     """``(path, record)`` of the records that are longer than their header."""
-    groups = _groups(spark, paths, recursive)
-    if not groups:
-        return spark.createDataFrame([], "path string, record string")
-    return _bad_rows(spark, groups)
+    return _Tree.probe(spark, paths, recursive).bad_records()
 
 
 def scan_exports(spark: SparkSession, root: str, bad_files: str = "skip", **options) -> DataFrame:
