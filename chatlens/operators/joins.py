@@ -10,6 +10,7 @@ from chatlens.functions.text import all_columns_hash
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 SALTS = 32
+BLOCK = 256
 
 
 def fits_broadcast(
@@ -66,33 +67,46 @@ def salted_join(
 def contains_join(
     texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str
 ) -> DataFrame:
-    """All pairs (key, needle) where the text contains the needle, as an equi-join.
+    """All distinct pairs (key, needle) where the text contains the needle, as an equi-join.
 
-    Each text is cut into its distinct substrings of the lengths that occur among the needles, and
-    these are looked up by equality. The work per text does not depend on the number of needles,
-    and no pair is formed that does not match.
+    Each text is cut into its substrings of the lengths that occur among the needles, and these
+    are looked up by equality. The work per text does not depend on the number of needles, and no
+    pair is formed that does not match.
     """
     wanted = needles.select(F.col(needle)).distinct()
     lengths = wanted.agg(
         F.array_sort(F.collect_set(F.char_length(needle))).alias("lengths")
     ).scalar()
+    # Blocks of bounded size: finding a position in a long text takes time proportional to it.
+    block = F.greatest(F.lit(BLOCK), F.array_max("_lengths")).cast("string")
+    blocks = F.regexp_extract_all(
+        F.col(text), F.concat(F.lit("(?s).{1,"), block, F.lit("}")), F.lit(0)
+    )
     per_length = (
-        texts.select(F.col(key), F.col(text).alias("_hay"))
-        .withColumn("_lengths", lengths)
-        .withColumn("_length", F.explode("_lengths"))
-        .where(F.col("_length") <= F.char_length("_hay"))
-        .withColumn("_chars", F.split("_hay", ""))
+        texts.withColumn("_lengths", lengths)
+        .select(
+            key,
+            F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(blocks).alias("_blocks"),
+            F.explode("_lengths").alias("_length"),
+        )
+    )
+    # a block and the start of the next one, so that no substring is cut in two
+    pieces = F.transform(
+        "_blocks",
+        lambda b, i: F.concat(
+            b, F.substring(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(1), F.col("_length") - 1)
+        ),
+    )
+    per_piece = (
+        per_length.select(key, "_length", F.explode(pieces).alias("_piece"))
+        .withColumn("_starts", F.char_length("_piece") - F.col("_length") + 1)
+        .where("_starts > 0")
     )
-    starts = F.sequence(F.lit(1), F.char_length("_hay") - F.col("_length") + 1)
-    substrings = per_length.select(
-        key,
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    starts,
-                    lambda p: F.array_join(F.slice("_chars", p, F.col("_length")), ""),
-                )
-            )
-        ).alias(needle),
+    substrings = F.array_distinct(
+        F.transform(
+            F.sequence(F.lit(1), F.col("_starts")),
+            lambda p: F.substring(F.col("_piece"), p, F.col("_length")),
+        )
     )
-    return lookup_join(substrings, wanted, [needle]).select(key, needle)
+    cut = per_piece.select(key, F.explode(substrings).alias(needle))
+    return lookup_join(cut, wanted, [needle]).select(key, needle).distinct()

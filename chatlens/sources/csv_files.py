@@ -34,19 +34,19 @@ CSV_READ = {
 }
 
 
-def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.slice(0, 1)
-            return
-
-
 def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
     """``(path, line)``: the header line of every non-empty CSV file.
 
     A session of its own puts each file in its own task, and the task stops after one row, so
     only the start of each file is read.
     """
+
+    def first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
     probe = spark.newSession()
     probe.conf.set("spark.sql.files.openCostInBytes", str(1 << 40))
     probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
@@ -57,7 +57,7 @@ def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool) -
         .csv(paths)
     )
     return raw.select(decoded_path(F.col("_metadata.file_path")).alias("path"), "line").mapInArrow(
-        _first_rows, "path string, line string"
+        first_row, "path string, line string"
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from chatlens.sinks import files as sinks
 from chatlens.sources import csv_files, lookups
 from chatlens.storage import new_folder
 
+# the stand-in scorer travels with its code, so the workers need not have this package
+cloudpickle.register_pickle_by_value(fx)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 

@@ -43,7 +43,9 @@ def test_hot_key_is_spread(spark):
     assert max(sizes) < 8000
 
 
-def test_contains_join(spark):
+@pytest.mark.parametrize("block", [1, 5, 256])
+def test_contains_join(spark, monkeypatch, block):
+    monkeypatch.setattr(joins, "BLOCK", block)
     rng = random.Random(5)
     alphabet = "abé😀 "
     texts = [("".join(rng.choices(alphabet, k=rng.randint(0, 30))),) for _ in range(60)]
