@@ -78,13 +78,15 @@ def literal_path(path: str) -> str:
     return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)
 
 
-def is_too_long(width: int) -> Column:
+def is_too_long(columns: tuple[str, ...]) -> Column:
     """A record with more fields than the header has."""
     outside_quotes = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
     commas = F.char_length(outside_quotes) - F.char_length(
         F.replace(outside_quotes, F.lit(","), F.lit(""))
     )
-    return F.coalesce(commas >= width, F.lit(False))
+    # always true, but a scan must not ask for the corrupt record alone
+    has_column = F.char_length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0
+    return F.coalesce(commas >= len(columns), F.lit(False)) & has_column
 
 
 @dataclass
@@ -122,17 +124,15 @@ class _Tree:
             CORRUPT,
             path.alias("path"),
             F.regexp_extract(path, r"([^/]*)$", 1).alias("file_name"),
-            is_too_long(len(columns)).alias("_too_long"),
+            is_too_long(columns).alias("_too_long"),
         )
 
     def bad_records(self) -> DataFrame:
         """``(path, record)`` of the records longer than their header."""
         empty = self.spark.createDataFrame([], "path string, record string")
-        # the scan must ask for a column besides the corrupt record
         parts = [
             self.read(columns)
-            .where(F.col("_too_long"))
-            .where(F.char_length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0)
+            .where("_too_long")
             .select("path", F.col(CORRUPT).alias("record"))
             for columns in self.groups
         ]

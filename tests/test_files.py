@@ -49,6 +49,8 @@ def test_short_rows_are_filled_and_long_rows_spoil_their_file(spark, tmp_path):
     with pytest.warns(UserWarning, match="skipped 2"):
         rows = csv_files.scan_exports(spark, str(tmp_path))
     assert rows_of(rows.select("a", "b", "c")) == [("1", "2", None), ("x,y", 'q"r', "s\nt")]
+    assert rows.count() == 2
+    assert csv_files.scan_chat_csv(spark, str(tmp_path / "good.csv")).count() == 2
     bad = csv_files.bad_records(spark, str(tmp_path))
     assert sorted(os.path.basename(r["path"]) for r in bad.collect()) == ["blank end.csv", "long.csv"]
     with pytest.raises(Exception, match="record longer than the header"):
