@@ -36,6 +36,8 @@ EXHAUSTED = "Failed to get valid JSON after {attempts} times of retries"
 
 NO_REPLY = "no reply"
 
+OUTCOME = "struct<success:boolean,sentiment:string,reason:string>"
+
 SYSTEM_PROMPT = """You read chat messages and judge how each one speaks about one brand.
 The keywords that stand for each brand, as JSON records:
 {rules}
@@ -81,14 +83,13 @@ def distinct_requests(
 
     Copies of a text are combined before the shuffle.
     """
-    texts = (
-        tagged.where(F.size("hits") > 0)
-        .select(message_col, "hits")
-        .distinct()
-        .withColumn("text_id", F.sha2(message_col, 256))
-    )
-    return request_rows(texts, message_col, template).select(
-        "text_id", "ord", "header", "request_id", "prompt"
+    # explode first: a filter on the hits would make the optimizer compute them twice
+    found = explode_hits(tagged.select(message_col, "hits")).distinct()
+    return (
+        found.withColumn("text_id", F.sha2(message_col, 256))
+        .withColumn("prompt", prompt(F.col("header"), F.col(message_col), template))
+        .withColumn("request_id", F.sha2("prompt", 256))
+        .select("text_id", "ord", "header", "request_id", "prompt")
     )
 
 
@@ -156,29 +157,36 @@ def ask_model(
     system: str,
     max_attempts: int = MAX_ATTEMPTS,
     rejected: str = REJECTED,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Ask a scorer: adds ``success, sentiment, reason`` to every row of ``requests``.
 
     An invalid reply is sent back with the error; a missing text is asked for again as it was; a
     reply that is no object, or an exception, ends the request. The rounds follow each other in
-    one stage, and a settled request is not asked again. Parallelism is the number of partitions.
+    one stage, and a settled request is not asked again. The calls run in ``partitions`` tasks
+    (default: the number of shuffle partitions, not merged by size, as a call takes long however
+    short its text is).
     """
+    if partitions is None:
+        partitions = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before, after = rejected.split("{error}", 1)
     current = (
-        requests.withColumn(
+        requests.repartition(partitions, "request_id")
+        .withColumn(
             "_conversation",
             F.array(_message("system", F.lit(system)), _message("user", F.col("prompt"))),
         )
-        .withColumn("_outcome", F.lit(None).cast("struct<success:boolean,sentiment:string,reason:string>"))
+        .withColumn("_outcome", F.lit(None).cast(OUTCOME))
     )
     ask = _ask(make_scorer)
+    read = parse_reply(F.col("_reply.text"))
+    feedback = F.concat(F.lit(before), F.col("_read.status"), F.lit(after))
     for _ in range(max_attempts):
-        feedback = F.concat(F.lit(before), F.col("_read.status"), F.lit(after))
         current = (
             current.withColumn(
                 "_reply", ask(F.when(F.col("_outcome").isNull(), F.to_json("_conversation")))
             )
-            .withColumn("_read", parse_reply(F.col("_reply.text")))
+            .withColumn("_read", read)
             .withColumn(
                 "_outcome",
                 F.when(F.col("_outcome").isNotNull(), F.col("_outcome"))
@@ -300,10 +308,11 @@ def score_by_model(
     message_col: str = "messageBody",
     template: str = PROMPT,
     max_attempts: int = MAX_ATTEMPTS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``results`` by asking an external scorer."""
     requests = distinct_requests(tagged, message_col, template)
-    answered = ask_model(requests, make_scorer, system, max_attempts)
+    answered = ask_model(requests, make_scorer, system, max_attempts, partitions=partitions)
     return attach_results(tagged, answered, message_col)
 
 

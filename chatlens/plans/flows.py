@@ -62,6 +62,7 @@ def model_scorer(
     system_template: str = scoring.SYSTEM_PROMPT,
     template: str = scoring.PROMPT,
     max_attempts: int = scoring.MAX_ATTEMPTS,
+    partitions: int | None = None,
 ) -> ScoreStep:
     """Score with an external scorer that is told all rules in its system prompt."""
 
@@ -69,7 +70,7 @@ def model_scorer(
         text = scoring.system_prompt(F.col("rules_json"), system_template)
         system = rule_ops.rules_json(rules).select(text).first()[0]
         return scoring.score_by_model(
-            tagged, make_scorer, system, message_col, template, max_attempts
+            tagged, make_scorer, system, message_col, template, max_attempts, partitions
         )
 
     return score

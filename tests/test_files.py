@@ -125,6 +125,29 @@ def test_written_order_follows_file_names(spark, tmp_path):
     assert bodies == [r[3] for r in raw]
 
 
+def test_routed_chats_are_written_in_order(spark, tmp_path):
+    raw = [
+        (nature, source, f"{d:02d}/{m:02d}/2024", "10:00:00", f"{m}-{d}")
+        for nature, source in [("mums", "b"), ("deals", "b"), ("mums", "a"), ("zz", "a")]
+        for m in range(1, 13)
+        for d in range(1, 29)
+    ]
+    schema = "nature string, Source string, Date2 string, Time string, messageBody string"
+    chats = spark.createDataFrame(raw, schema).orderBy("messageBody").repartition(6)
+    folder = tmp_path / "out"
+    sinks.write_by_nature(chats, str(folder))
+    for nature, source in {r[:2] for r in raw}:
+        files = sorted((folder / f"nature={nature}" / f"Source={source}").glob("*.csv"))
+        lines = [line for f in files for line in open(f).readlines()[1:]]
+        assert [x.rsplit(",", 1)[1].strip() for x in lines] == [
+            r[4] for r in raw if r[:2] == (nature, source)
+        ]
+    back = csv_files.scan_partitioned(
+        spark, str(folder), ["Date2", "Time", "messageBody"], ["nature", "Source"]
+    )
+    assert rows_of(back) == sorted(raw, key=repr)
+
+
 def test_template_lists_every_file(spark, tmp_path):
     put(tmp_path, "a/x.csv", "h\n1\n")
     put(tmp_path, "b/x.csv", "h\n1\n")

@@ -1,6 +1,6 @@
 """Replies, retries, model scoring and the final cells."""
 
-from conftest import rows_of
+from conftest import plan_of, rows_of
 from pyspark.sql import functions as F
 
 from chatlens import fixtures as fx
@@ -143,6 +143,8 @@ def test_model_scoring(spark):
 def test_each_distinct_request_is_asked_once(spark):
     messages, _ = tagged(spark, ["foo", "foo", "FOO", "foo bar"])
     requests = scoring.distinct_requests(messages)
+    # no filter that would compute the hits a second time
+    assert "Filter" not in plan_of(requests)
     assert requests.count() == 4
     assert scoring.request_rows(messages).count() == 5
 
