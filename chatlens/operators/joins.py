@@ -102,11 +102,9 @@ def contains_join(
         .withColumn("_starts", F.char_length("_piece") - F.col("_length") + 1)
         .where("_starts > 0")
     )
-    substrings = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.col("_starts")),
-            lambda p: F.substring(F.col("_piece"), p, F.col("_length")),
-        )
+    cut = (
+        per_piece.withColumn("_start", F.explode(F.sequence(F.lit(1), F.col("_starts"))))
+        .withColumn(needle, F.substring(F.col("_piece"), F.col("_start"), F.col("_length")))
+        .select(key, needle)
     )
-    cut = per_piece.select(key, F.explode(substrings).alias(needle))
     return lookup_join(cut, wanted, [needle]).select(key, needle).distinct()

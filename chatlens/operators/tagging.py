@@ -272,6 +272,8 @@ def tag_by_join(
         .where("_folded IS NOT NULL")
         .distinct()
         .withColumn("_text", F.sha2("_folded", 256))
+        # cutting takes long for its bytes: keep partitions from being merged by size
+        .repartition(shuffle_partitions(messages), "_text")
     )
     needles = keep(rule_needles(rules, required, full_fold), "needles")
     headers = header_order(needles)
@@ -309,6 +311,10 @@ def tag_by_join(
     return attach_by_text(messages, per_text, folded)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def text_key(folded: Column) -> Column:
     return F.sha2(folded, 256)
 
