@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh temporary one if it is unset."""
+    """The folder named in ``spark.checkpoint.dir``, else the session's warehouse.
+
+    A local warehouse on a real cluster is refused: each executor would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
         return folder
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="chatlens-")
-        spark.sparkContext.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    local = folder.startswith("file:") or "://" not in folder
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir: executors do not share {folder}")
     return folder
 
 
@@ -36,3 +36,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def delete_kept(spark: SparkSession) -> None:
+    """Delete all that ``keep`` and ``new_folder`` left; results not yet computed become unreadable."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/chatlens")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
