@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import line_dedup
+from chatlens.llm import line_dedup, packing, simhash
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder), shingle=3, max_bits=2)
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, folder).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.tokenize(
+        documents(spark, folder),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+    # The ids are digested as they are made; only the digests are kept and packed.
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(pieces)
+
+
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
