@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +38,33 @@ def shuffle_partitions(df: DataFrame) -> int:
 def worker_store() -> dict:
     """What a Python worker keeps from one task to the next, such as a loaded tokenizer."""
     return sys.__dict__.setdefault("_chatlens_llm_store", {})
+
+
+PART_BYTES = 1 << 22
+_WHITE_BYTES = re.compile(rb"[ \t-\r]")
+
+
+def word_parts(data: bytes, overlap: int, part_bytes: int = PART_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in parts of bounded size that share ``overlap`` words."""
+    last: list[bytes] = []
+    start = 0
+    while start < len(data):
+        long = len(data) - start > part_bytes
+        cut = _WHITE_BYTES.search(data, start + part_bytes) if long else None
+        end = cut.start() if cut else len(data)
+        words = last + data[start:end].split()
+        yield words
+        last = words[len(words) - overlap :] if overlap else []
+        start = end
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """``doc_id, text, label`` of about ``rows`` labelled documents, chosen by the hash of the id.
+
+    The ids are broadcast: their number is bounded by ``rows``.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = known.groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
+    share = 1_000_000 * rows // max(known.count(), rows)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens import storage
+from chatlens.llm import common
 from chatlens.llm.common import shuffle_partitions, worker_store
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (sys.modules[__name__], common):
+    cloudpickle.register_pickle_by_value(_module)
 
 CACHED_UNITS = 300_000
 CACHED_CHARS = 32

@@ -6,13 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import line_dedup, packing, simhash
+from chatlens.llm import line_dedup, packing, quality, secrets, simhash, toxicity
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    held_out = F.coalesce(F.pmod(digest, F.lit(4)) == 2, F.lit(False))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out)
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder), shingle=3, max_bits=2)
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -35,8 +50,32 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    found = quality.assess(docs.select("doc_id", "text"), model)
+    return found.drop("text")
+
+
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    forest = secrets.train(secrets.labelled_findings(docs))
+    found = secrets.redact(docs, forest)
+    spans = F.transform("findings", lambda f: F.concat_ws(":", f["start"], f["length"]))
+    return found.select(
+        "doc_id",
+        "n_candidates",
+        F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_secrets"),
+        F.coalesce(F.array_join(spans, ","), F.lit("")).alias("spans"),
+        F.sha2("text", 256).alias("redacted_sha256"),
+    )
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scans": op10_secret_scans,
 }

@@ -18,7 +18,6 @@ null; repeated rows are all returned; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 from itertools import combinations
@@ -31,36 +30,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens import storage
+from chatlens.llm import common
+from chatlens.llm.common import PART_BYTES, word_parts
 from chatlens.llm.components import components
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (sys.modules[__name__], common):
+    cloudpickle.register_pickle_by_value(_module)
 
 SEED = 42
-PART_BYTES = 1 << 22
 PAIRWISE = 256
-WHITE = re.compile(rb"[ \t-\r]")
 
 
-def word_parts(data: bytes, overlap: int) -> Iterator[list[bytes]]:
-    """The words of a text in parts of bounded size that share ``overlap`` words."""
-    last: list[bytes] = []
-    start = 0
-    while start < len(data):
-        cut = WHITE.search(data, start + PART_BYTES) if len(data) - start > PART_BYTES else None
-        end = cut.start() if cut else len(data)
-        words = last + data[start:end].lower().split()
-        yield words
-        last = words[len(words) - overlap :] if overlap else []
-        start = end
-
-
-def fingerprint(data: bytes, shingle: int) -> int:
+def fingerprint(data: bytes, shingle: int, part_bytes: int = PART_BYTES) -> int:
     """The fingerprint as a signed 64-bit number."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     ones, total, few = np.zeros(64, np.int64), 0, []
-    for words in word_parts(data, shingle - 1):
+    for words in word_parts(data.lower(), shingle - 1, part_bytes):
         n = len(words) - shingle + 1
         if n <= 0:
             few = words

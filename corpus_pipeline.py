@@ -1,21 +1,73 @@
-"""The corpus pipeline: stages that each call one operator of ``chatlens.llm``."""
+"""The corpus pipeline: stages that each call one operator of ``chatlens.llm``.
+
+Every stage takes what its predecessor kept. All but the last return the columns of the documents;
+``n_chars`` follows the text where a stage changes it. Nulls, empty tables, repeated rows and other
+columns are treated as the operators say.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatlens import storage
-from chatlens.llm import line_dedup
+from chatlens.llm import line_dedup, packing, quality, secrets, simhash
+
+
+def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with ``n_chars`` of the changed texts."""
+
+    def column(name: str) -> Column:
+        if name == "n_chars":
+            kind = docs.schema[name].dataType
+            return F.coalesce(F.char_length("text"), F.lit(0)).cast(kind).alias(name)
+        return F.col(f"`{name}`")
+
+    return changed.select(*[column(c) for c in docs.columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that an earlier document already has."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Lines that a smaller doc_id already has go."""
+    return _like(docs, line_dedup.dedup_lines(docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return simhash.one_per_class(docs, shingle=3, max_bits=2)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; all documents stay."""
+    forest = secrets.train(secrets.labelled_findings(docs))
+    return _like(docs, secrets.redact(docs, forest))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenised pieces and their places in training sequences."""
+    pieces = packing.tokenize(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-STAGES = [("line_dedup", line_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("secret_scans", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-#: Models and the packing plan can't be written in SQL; the tests compare with brute force.
+#: Trees, a forest, majority fingerprints and the packing plan are beyond SQL; tests compare each
+#: stage with brute force.
 ORACLE_SQL = None
 
 

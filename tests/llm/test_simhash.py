@@ -98,11 +98,10 @@ def test_large_group_equals_pairs():
     assert [got.get(int(v), int(v)) for v in values] == [int(values[c]) for c in expected]
 
 
-def test_parts_of_long_texts(monkeypatch):
+def test_parts_of_long_texts():
     text = " ".join(f"w{i % 97}" for i in range(5000)).encode()
     whole = simhash.fingerprint(text, 3)
-    monkeypatch.setattr(simhash, "PART_BYTES", 100)
-    assert simhash.fingerprint(text, 3) == whole
+    assert simhash.fingerprint(text, 3, part_bytes=100) == whole
 
 
 def test_nulls_repeats_and_empty_table(spark):
