@@ -6,6 +6,7 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,35 @@ def word_parts(data: bytes, overlap: int, part_bytes: int = PART_BYTES) -> Itera
         start = end
 
 
+def shingle_hashes(
+    data: bytes, size: int, seed: int = 42, part_bytes: int = PART_BYTES
+) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``size`` words, space-joined, in arrays of bounded length.
+
+    A text with fewer words is one shingle of all its words; one without words has none.
+    """
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    few, none = [], True
+    for words in word_parts(data, size - 1, part_bytes):
+        n = len(words) - size + 1
+        if n <= 0:
+            few = words
+            continue
+        none = False
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
+        stops = ends[size - 1 :].tolist()
+        for at in range(0, n, 1 << 15):
+            to = at + (1 << 15)
+            found = [digest(joined[s:e], seed) for s, e in zip(starts[at:to], stops[at:to])]
+            yield np.array(found, dtype="<u8")
+    if none and few:
+        yield np.array([digest(b" ".join(few), seed)], dtype="<u8")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """``doc_id, text, label`` of about ``rows`` labelled documents, chosen by the hash of the id.
 

@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import line_dedup, packing, quality, secrets, simhash, toxicity
+from chatlens.llm import (
+    chat_format,
+    fingerprints,
+    line_dedup,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +59,43 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    table = spark.read.parquet(f"{folder}/conversations.parquet")
+    hard = F.lit(r"\### Assistant: </turn> ok")
+    said = F.explode(F.array(F.lit("user"), F.lit("assistant")))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), said.alias("role"))
+    extra = extra.select(
+        "conv_id",
+        F.when(F.col("role") == "user", 0).otherwise(1).cast("long").alias("turn"),
+        "role",
+        hard.alias("text"),
+    )
+    wanted = table.select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = chat_format.format_chats(wanted)
+    turns = F.transform(
+        chat_format.parse(F.col("formatted")),
+        lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")),
+    )
+    chats = chats.withColumns(
+        {
+            "turns": F.array_join(turns, ""),
+            "masked": chat_format.loss_text(F.col("formatted"), F.col("loss")),
+        }
+    )
+    return chats.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        F.char_length("masked").cast("long").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_with_edited(documents(spark, folder))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
@@ -76,6 +122,8 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }

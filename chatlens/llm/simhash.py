@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from chatlens import storage
 from chatlens.llm import common
-from chatlens.llm.common import PART_BYTES, word_parts
+from chatlens.llm.common import PART_BYTES, shingle_hashes
 from chatlens.llm.components import components
 
 for _module in (sys.modules[__name__], common):
@@ -43,34 +43,11 @@ PAIRWISE = 256
 
 def fingerprint(data: bytes, shingle: int, part_bytes: int = PART_BYTES) -> int:
     """The fingerprint as a signed 64-bit number."""
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    ones, total, few = np.zeros(64, np.int64), 0, []
-    for words in word_parts(data.lower(), shingle - 1, part_bytes):
-        n = len(words) - shingle + 1
-        if n <= 0:
-            few = words
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-        stops = ends[shingle - 1 :].tolist()
-        for at in range(0, n, 1 << 15):
-            hashes = np.array(
-                [
-                    digest(joined[s:e], SEED)
-                    for s, e in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)])
-                ],
-                dtype="<u8",
-            )
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        total += n
-    if not total:
-        if not few:
-            return 0
-        return int(np.array([digest(b" ".join(few), SEED)], dtype="<u8").view("<i8")[0])
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data.lower(), shingle, SEED, part_bytes):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
