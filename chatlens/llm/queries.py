@@ -14,6 +14,7 @@ from chatlens.llm import (
     quality,
     secrets,
     simhash,
+    suffix_dedup,
     toxicity,
 )
 
@@ -59,6 +60,13 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, threshold=400)
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
 def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     table = spark.read.parquet(f"{folder}/conversations.parquet")
     hard = F.lit(r"\### Assistant: </turn> ok")
@@ -122,6 +130,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_quality_rules": op9_quality_rules,
