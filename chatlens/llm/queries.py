@@ -13,6 +13,7 @@ from chatlens.llm import (
     packing,
     quality,
     secrets,
+    sentence_pieces,
     simhash,
     suffix_dedup,
     toxicity,
@@ -67,6 +68,17 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
 
 
+def op6_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    table = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentence_pieces.encode(documents(spark, folder).select("doc_id", "text"), table)
+    return sentence_pieces.decode(encoded, table).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     table = spark.read.parquet(f"{folder}/conversations.parquet")
     hard = F.lit(r"\### Assistant: </turn> ok")
@@ -131,6 +143,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_quality_rules": op9_quality_rules,
