@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # (idx, brand, product, keyword, required_product)
@@ -162,6 +162,13 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _short_word(text: Column) -> Column:
+    """The first of the shortest words with at least five characters, out of the whole text."""
+    words = F.filter(F.split(text, " "), lambda w: F.char_length(w) >= 5)
+    sized = F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    return F.coalesce(F.array_min(sized)["w"], text)
+
+
 def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a keyword table that grows with the data and occurs in messages."""
     doc = F.col("doc_id")
@@ -171,7 +178,7 @@ def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 6 == 0, "generic")
         .otherwise(F.concat(F.lit("p"), doc % 6))
         .alias("product"),
-        F.substring("text", 3, 6).alias("keyword"),
+        _short_word(F.col("text")).alias("keyword"),
         F.when(doc % 5 == 0, "p2, p3").otherwise("").alias("required_product"),
     )
 

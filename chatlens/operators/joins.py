@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.functions.text import all_columns_hash
+from chatlens.storage import keep
 
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-SALTS = 32
 BLOCK = 256
 
 
@@ -32,36 +31,17 @@ def lookup_join(
     lookup: DataFrame,
     on: list[str],
     how: str = "inner",
-    spread: Column | None = None,
     max_rows: int = BROADCAST_MAX_ROWS,
+    max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Join a large table with a lookup whose size is measured first.
 
-    A small lookup is broadcast. A larger one is joined on the key plus a salt, so that the rows
-    of one hot key are spread over ``SALTS`` partitions. ``spread`` is hashed for the salt; by
-    default it is the whole row. ``how`` may be inner, left or left_semi; a salted left_anti would
-    be just as right, the lookup rows being copied to every salt.
+    A small lookup is broadcast. A larger one is written to the shared folder and joined as it is:
+    with a stored table on the other side, adaptive execution splits the partitions of hot keys.
     """
-    if fits_broadcast(lookup, max_rows=max_rows):
+    if fits_broadcast(lookup, max_rows, max_bytes):
         return big.join(F.broadcast(lookup), on, how)
-    return salted_join(big, lookup, on, how, spread)
-
-
-def salted_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    spread: Column | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join on ``on`` plus a salt; every lookup row is copied once per salt."""
-    spread = all_columns_hash(big.columns) if spread is None else F.xxhash64(spread)
-    salted = big.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.join(keep(lookup, "lookup"), on, how)
 
 
 def contains_join(

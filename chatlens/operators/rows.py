@@ -82,6 +82,18 @@ def order_columns(
     return keys + [F.col(f"`{c}`").asc_nulls_last() for c in sorted(chats.columns)]
 
 
+def _ties(chats: DataFrame, width: int = 128) -> Column:
+    """Beginning of all columns in sort order, as one text that sorts like they do."""
+    parts = []
+    for name in sorted(chats.columns):
+        if chats.schema[name].dataType.simpleString() != "string":
+            break
+        value = F.col(f"`{name}`")
+        given = F.concat(F.lit("\u0001"), F.left(value, F.lit(width)), F.lit("\u0000"))
+        parts.append(F.when(value.isNull(), F.lit("\u0002")).otherwise(given))
+    return F.left(F.concat(*parts, F.lit("")), F.lit(width))
+
+
 def can_sort(chats: DataFrame) -> bool:
     return {"Date2", "Time"} <= set(chats.columns)
 
@@ -94,16 +106,18 @@ def sort_chats(
 ) -> DataFrame:
     """Order the rows by chat (or by the columns ``within``), then by day and time.
 
-    The rows are range partitioned on the whole sort key: a chat of any size is cut into
-    consecutive partitions instead of landing in one task. Without ``Date2`` or ``Time`` the rows
-    stay as they are, with a notice.
+    The rows are range partitioned on chat, day, time and the beginning of the tie-breakers: a chat
+    of any size is cut into consecutive partitions instead of landing in one task, and the bounds,
+    which the driver samples, stay short whatever the length of the messages. Without ``Date2`` or
+    ``Time`` the rows stay as they are, with a notice.
     """
     if not can_sort(chats):
         warnings.warn("Date2 or Time is missing, chats are left unsorted", stacklevel=2)
         return chats
     groups = [F.col(c).asc() for c in within or ["Source"]]
     keys = [*groups, *order_columns(chats, mode, date_format)]
-    return chats.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    bounds = [*keys[: len(groups) + 2], _ties(chats).asc()]
+    return chats.repartitionByRange(*bounds).sortWithinPartitions(*keys)
 
 
 def number_rows(

@@ -85,7 +85,7 @@ def header_order(rules: DataFrame) -> DataFrame:
     """Distinct headers with the row of their first appearance."""
     return (
         rules.groupBy("headers")
-        .agg(F.min("idx").cast("int").alias("ord"))
+        .agg(F.min("idx").cast("long").alias("ord"))
         .select(
             "headers",
             "ord",

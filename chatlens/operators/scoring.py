@@ -23,7 +23,6 @@ from chatlens.functions.replies import (
     parse_reply,
 )
 from chatlens.functions.text import all_columns_hash, fold_case
-from chatlens.operators.joins import salted_join
 from chatlens.operators.tagging import explode_hits
 from chatlens.schemas import RESULTS
 from chatlens.storage import keep
@@ -49,8 +48,10 @@ is negative. A question, a plain fact or a mixed judgement is neutral. Judge tha
 REJECTED = "The answer was rejected ({error}). Send the JSON object again, corrected, alone."
 
 # A scorer takes a batch of conversations, each a list of {"role", "content"} messages, and gives
-# one reply text (or None) for each.
-Scorer = Callable[[list[list[dict]]], list[str | None]]
+# one reply text, None or exception for each. An exception settles its request. One that is raised
+# settles the whole batch, as nobody knows which of its requests were answered.
+Scorer = Callable[[list[list[dict]]], list[str | None | Exception]]
+BATCH_SIZE = 100
 
 
 def prompt(header: Column, message: Column, template: str = PROMPT) -> Column:
@@ -121,27 +122,31 @@ def score_by_lexicon(
     ).drop("_verdict")
 
 
-def _ask(make_scorer: Callable[[], Scorer]):
-    """UDF: conversation as JSON -> reply text or error. The scorer is built once per task."""
+def _ask(make_scorer: Callable[[], Scorer], system: str, batch_size: int):
+    """UDF: conversation as JSON -> reply text or error. The scorer is built once per task.
+
+    The system prompt travels once per task and not in the rows.
+    """
 
     @F.pandas_udf("text string, error string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
+        first = {"role": "system", "content": system}
         for batch in batches:
             answers: list[tuple[str | None, str | None]] = [(None, None)] * len(batch)
             due = [i for i, text in enumerate(batch) if text is not None]
-            conversations = [json.loads(batch.iloc[i]) for i in due]
-            try:
-                texts = scorer(conversations) if due else []
-                for i, text in zip(due, texts, strict=True):
-                    answers[i] = (text, None)
-            except Exception:
-                # one by one, so that only the failing request fails
-                for i, conversation in zip(due, conversations):
-                    try:
-                        answers[i] = (scorer([conversation])[0], None)
-                    except Exception as e:
-                        answers[i] = (None, str(e))
+            for at in range(0, len(due), batch_size):
+                part = due[at : at + batch_size]
+                asked = [[first, *json.loads(batch.iloc[i])] for i in part]
+                try:
+                    replies = list(scorer(asked))
+                    if len(replies) != len(part):
+                        raise ValueError(f"{len(replies)} replies to {len(part)} requests")
+                except Exception as e:
+                    replies = [e] * len(part)
+                for i, reply in zip(part, replies):
+                    failed = isinstance(reply, Exception)
+                    answers[i] = (None, str(reply)) if failed else (reply, None)
             yield pd.DataFrame(answers, columns=["text", "error"], dtype=object)
 
     return ask.asNondeterministic()
@@ -158,6 +163,7 @@ def ask_model(
     max_attempts: int = MAX_ATTEMPTS,
     rejected: str = REJECTED,
     partitions: int | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Ask a scorer: adds ``success, sentiment, reason`` to every row of ``requests``.
 
@@ -174,11 +180,11 @@ def ask_model(
         requests.repartition(partitions, "request_id")
         .withColumn(
             "_conversation",
-            F.array(_message("system", F.lit(system)), _message("user", F.col("prompt"))),
+            F.array(_message("user", F.col("prompt"))),
         )
         .withColumn("_outcome", F.lit(None).cast(OUTCOME))
     )
-    ask = _ask(make_scorer)
+    ask = _ask(make_scorer, system, batch_size)
     read = parse_reply(F.col("_reply.text"))
     feedback = F.concat(F.lit(before), F.col("_read.status"), F.lit(after))
     for _ in range(max_attempts):
@@ -294,8 +300,9 @@ def attach_results(
     keyed = tagged.withColumn(
         "text_id", F.when(F.size("hits") > 0, F.sha2(message_col, 256)).otherwise(own_key)
     )
+    # stored, so that the partition of a very common text can be split
     return (
-        salted_join(keyed, per_text, ["text_id"], "left")
+        keyed.join(keep(per_text, "results"), "text_id", "left")
         .withColumn("results", F.coalesce("results", F.array().cast(RESULTS)))
         .drop("text_id")
     )
@@ -309,10 +316,14 @@ def score_by_model(
     template: str = PROMPT,
     max_attempts: int = MAX_ATTEMPTS,
     partitions: int | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
-    """Add ``results`` by asking an external scorer."""
+    """Add ``results`` by asking an external scorer; the calls are made here, not when it is read."""
+    tagged = keep(tagged, "tagged")
     requests = distinct_requests(tagged, message_col, template)
-    answered = ask_model(requests, make_scorer, system, max_attempts, partitions=partitions)
+    answered = ask_model(
+        requests, make_scorer, system, max_attempts, partitions=partitions, batch_size=batch_size
+    )
     return attach_results(tagged, answered, message_col)
 
 

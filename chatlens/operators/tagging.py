@@ -1,15 +1,12 @@
 """Which headers does a message mention?
 
 ``tag_messages`` adds ``hits ARRAY<STRUCT<ord, header>>`` in header order and keeps every row.
-Three physical forms give the same hits; the size of the rule table, measured first, decides:
+Two physical forms give the same hits; the size of the rule table, measured first, decides:
 
-* few keywords: one ``contains`` per keyword, all inside the JVM;
-* more keywords: one search for all of them per message, in an Arrow-batched UDF that returns
-  only the numbers of the keywords found;
+* one search for all keywords per message, in an Arrow-batched UDF that returns only the numbers of
+  the keywords found; each row is touched once, without any shuffle;
 * a rule table too large to ship to every task: an equi-join on the substrings of the distinct
   message texts.
-
-The first two touch each row once, without any shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +24,6 @@ from chatlens.operators.joins import (
     contains_join,
     fits_broadcast,
     lookup_join,
-    salted_join,
 )
 from chatlens.operators.rules import (
     GENERIC,
@@ -41,7 +37,6 @@ from chatlens.storage import keep
 ANY = "any"
 LITERAL = "literal"
 
-NATIVE_MAX_NEEDLES = 16
 SHIPPED_MAX_RULES = 20_000
 SHIPPED_MAX_BYTES = 4 * 1024 * 1024
 
@@ -54,6 +49,7 @@ class RuleIndex:
     headers: list[str]
     ords: list[int]
     rules_of_needle: list[list[dict]]
+    requirements: list[list[int]]
     suppressors: list[list[int]]
 
 
@@ -80,8 +76,14 @@ def rule_needles(rules: DataFrame, required: str = ANY, full_fold: bool = False)
     )
 
 
-def build_index(needles: DataFrame, suppress: bool = True) -> RuleIndex:
-    """Collect a rule table that has been measured before."""
+def build_index(
+    needles: DataFrame, suppress: bool = True, max_pairs: int = SHIPPED_MAX_BYTES // 4
+) -> RuleIndex | None:
+    """Collect a rule table that has been measured before.
+
+    A requirement is stored once, however many rules ask for it. None if there are more than
+    ``max_pairs`` pairs of a generic header and one that suppresses it.
+    """
     rule_rows = sorted(needles.collect(), key=lambda r: r["idx"])
     first_row: dict[str, int] = {}
     for r in rule_rows:
@@ -92,36 +94,50 @@ def build_index(needles: DataFrame, suppress: bool = True) -> RuleIndex:
         {r["needle"] for r in rule_rows} | {w for r in rule_rows for w in r["required_needles"]}
     )
     number = {w: i for i, w in enumerate(words)}
+    asked: dict[tuple[str, ...], int] = {}
     rules_of_needle: list[list[dict]] = [[] for _ in words]
     for r in rule_rows:
-        rule = {
-            "pos": position[r["headers"]],
-            "required": [number[w] for w in r["required_needles"]],
-        }
+        required = tuple(r["required_needles"])
+        asked_for = asked.setdefault(required, len(asked)) if required else -1
+        rule = {"pos": position[r["headers"]], "required": asked_for}
         rules_of_needle[number[r["needle"]]].append(rule)
-    suppressors: list[list[int]] = [[] for _ in headers]
-    if suppress:
-        specific = [h for h in headers if GENERIC not in h]
-        for h in headers:
-            if GENERIC in h:
-                base = h.replace(GENERIC_SUFFIX, "")
-                suppressors[position[h]] = [position[s] for s in specific if base in s]
+    suppressors = _suppressors(headers, max_pairs) if suppress else [[] for _ in headers]
+    if suppressors is None:
+        return None
     return RuleIndex(
         needles=words,
         headers=headers,
         ords=list(first_row.values()),
         rules_of_needle=rules_of_needle,
+        requirements=[[number[w] for w in required] for required in asked],
         suppressors=suppressors,
     )
 
 
-def find_native(folded: Column, needles: list[str]) -> Column:
-    """Numbers of the needles a text contains, by one ``contains`` each."""
-    tests = [
-        F.when(F.contains(folded, F.lit(w)), F.lit(i)).otherwise(F.lit(-1))
-        for i, w in enumerate(needles)
-    ]
-    return F.array_remove(F.array(*tests), F.lit(-1))
+def _suppressors(headers: list[str], max_pairs: int) -> list[list[int]] | None:
+    """Per generic header the positions of the headers that contain its base, by one search."""
+    import ahocorasick
+
+    search = ahocorasick.Automaton()
+    of_base: dict[str, list[int]] = {}
+    for h in headers:
+        if GENERIC in h:
+            of_base[h.replace(GENERIC_SUFFIX, "")] = []
+    for base in of_base:
+        if base:
+            search.add_word(base, base)
+    if len(search):
+        search.make_automaton()
+    pairs = 0
+    for i, h in enumerate(headers):
+        if GENERIC not in h:
+            found = {base for _, base in search.iter(h)} if len(search) else set()
+            for base in found | ({""} & of_base.keys()):
+                of_base[base].append(i)
+                pairs += 1
+        if pairs > max_pairs:
+            return None
+    return [of_base[h.replace(GENERIC_SUFFIX, "")] if GENERIC in h else [] for h in headers]
 
 
 def find_batched(folded: Column, needles: list[str]) -> Column:
@@ -154,12 +170,13 @@ def find_batched(folded: Column, needles: list[str]) -> Column:
 
 def index_row(messages: DataFrame, index: RuleIndex) -> DataFrame:
     """The rule index as one row, to be used as a scalar subquery."""
-    rule = pa.struct([("pos", pa.int32()), ("required", pa.list_(pa.int32()))])
-    head = pa.struct([("ord", pa.int32()), ("header", pa.string())])
+    rule = pa.struct([("pos", pa.int32()), ("required", pa.int32())])
+    head = pa.struct([("ord", pa.int64()), ("header", pa.string())])
     headers = [{"ord": o, "header": h} for o, h in zip(index.ords, index.headers)]
     table = pa.table(
         {
             "rules": pa.array([index.rules_of_needle], pa.list_(pa.list_(rule))),
+            "requirements": pa.array([index.requirements], pa.list_(pa.list_(pa.int32()))),
             "suppressors": pa.array([index.suppressors], pa.list_(pa.list_(pa.int32()))),
             "headers": pa.array([headers], pa.list_(head)),
         }
@@ -167,18 +184,30 @@ def index_row(messages: DataFrame, index: RuleIndex) -> DataFrame:
     return messages.sparkSession.createDataFrame(table)
 
 
-def resolve_hits(found: Column, rules: Column, suppressors: Column, headers: Column) -> Column:
+def resolve_hits(
+    found: Column, rules: Column, requirements: Column, suppressors: Column, headers: Column
+) -> Column:
     """Headers hit, given the numbers of the needles found in a text.
 
-    Only the rules of the found needles are looked at. A generic header is dropped if one of its
-    suppressors is hit as well.
+    Only the rules of the found needles are looked at, and each requirement they ask for is decided
+    once. A generic header is dropped if one of its suppressors is hit as well.
     """
+
+    def satisfied(rules_found: Column) -> Column:
+        asked = F.array_distinct(F.transform(rules_found, lambda r: r["required"]))
+        met = F.filter(
+            asked,
+            lambda q: F.when(q < 0, True).otherwise(
+                F.arrays_overlap(F.get(requirements, q), found)
+            ),
+        )
+        return let(
+            met, lambda m: F.filter(rules_found, lambda r: F.array_contains(m, r["required"]))
+        )
+
     rules_found = F.flatten(F.transform(found, lambda n: F.element_at(rules, n + 1)))
-    satisfied = F.filter(
-        rules_found,
-        lambda r: (F.size(r["required"]) == 0) | F.arrays_overlap(r["required"], found),
-    )
-    positions = F.sort_array(F.array_distinct(F.transform(satisfied, lambda r: r["pos"])))
+    true = let(rules_found, satisfied)
+    positions = F.sort_array(F.array_distinct(F.transform(true, lambda r: r["pos"])))
     kept = let(
         positions,
         lambda hit: F.filter(
@@ -214,17 +243,17 @@ def tag_messages(
     required: str = ANY,
     suppress: bool = True,
     full_fold: bool = False,
-    native_max_needles: int = NATIVE_MAX_NEEDLES,
     max_rules: int = SHIPPED_MAX_RULES,
+    max_bytes: int = SHIPPED_MAX_BYTES,
 ) -> DataFrame:
     """Add ``hits`` to every message; ``rules`` come from ``prepare_rules``.
 
     ``suppress=False`` leaves out the generic fallback and gives the hits before it.
     """
-    index = index_rules(rules, required, suppress, full_fold, max_rules)
+    index = index_rules(rules, required, suppress, full_fold, max_rules, max_bytes)
     if index is None:
         return tag_by_join(messages, rules, message_col, required, suppress, full_fold)
-    return tag_by_index(messages, index, message_col, full_fold, native_max_needles)
+    return tag_by_index(messages, index, message_col, full_fold)
 
 
 def tag_by_index(
@@ -232,18 +261,13 @@ def tag_by_index(
     index: RuleIndex,
     message_col: str = "messageBody",
     full_fold: bool = False,
-    native_max_needles: int = NATIVE_MAX_NEEDLES,
 ) -> DataFrame:
     """``tag_messages`` with a collected rule table: no join and no shuffle."""
     if not index.needles:
         return messages.withColumn("hits", F.array().cast(HITS))
-    folded = fold_case(message_col, full_fold)
-    if len(index.needles) <= native_max_needles:
-        found = find_native(folded, index.needles)
-    else:
-        found = find_batched(folded, index.needles)
+    found = find_batched(fold_case(message_col, full_fold), index.needles)
     row = index_row(messages, index)
-    names = ["rules", "suppressors", "headers"]
+    names = ["rules", "requirements", "suppressors", "headers"]
     with_index = messages.withColumn("_found", found).withColumns(
         {f"_{n}": row.select(n).scalar() for n in names}
     )
@@ -263,7 +287,7 @@ def tag_by_join(
     """``tag_messages`` for rule tables of any size.
 
     Hits depend on the text alone, so they are found once per distinct text. Every join is on
-    equality; those whose key may be hot are salted. The keywords found, which several joins
+    equality. The keywords found, which several joins
     need, are kept in the shared folder.
     """
     folded = fold_case(message_col, full_fold)
@@ -322,8 +346,9 @@ def text_key(folded: Column) -> Column:
 def attach_by_text(messages: DataFrame, per_text: DataFrame, folded: Column) -> DataFrame:
     """Give every message the hits of its text; no text or no hits gives an empty array."""
     keyed = messages.withColumn("_text", F.coalesce(text_key(folded), F.lit("")))
+    # stored, so that the partition of a very common text can be split
     return (
-        salted_join(keyed, per_text, ["_text"], "left")
+        keyed.join(keep(per_text, "hits"), "_text", "left")
         .withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
         .drop("_text")
     )
@@ -344,18 +369,9 @@ def explode_hits(tagged: DataFrame) -> DataFrame:
 def header_names(rules: DataFrame) -> list[str]:
     """Headers in order of first appearance, for one column each.
 
-    A table has at most ``MAX_HEADER_COLUMNS`` of them; past that use ``explode_hits``.
+    A table gets as many columns as there are headers; ``explode_hits`` has rows instead.
     """
-    rows = header_order(rules).orderBy("ord").limit(MAX_HEADER_COLUMNS + 1).collect()
-    if len(rows) > MAX_HEADER_COLUMNS:
-        raise ValueError(
-            f"more than {MAX_HEADER_COLUMNS} headers; use the long form (explode_hits)"
-        )
-    return [r["headers"] for r in rows]
-
-
-# Columns of a worksheet, the widest output there is.
-MAX_HEADER_COLUMNS = 16_384
+    return [r["headers"] for r in header_order(rules).orderBy("ord").collect()]
 
 
 def wide_tags(tagged: DataFrame, headers: list[str]) -> DataFrame:

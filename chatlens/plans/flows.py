@@ -1,4 +1,8 @@
-"""The steps from raw exports to the final table. Each one is a lazy DataFrame function."""
+"""The steps from raw exports to the final table.
+
+Most are lazy DataFrame functions. Reading CSV trees, measuring rule tables and asking a model run
+jobs of their own while the plan is built.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from chatlens.operators import rows, rules as rule_ops, scoring, tagging
 from chatlens.operators.routing import route_chats
 from chatlens.operators.validation import check_chats, check_rules
+from chatlens.schemas import EXPORT_COLUMNS, text_schema
 from chatlens.sources.csv_files import (
     scan_exports,
     scan_folders,
@@ -43,6 +48,9 @@ def load_chats(spark: SparkSession, root: str) -> DataFrame:
 def load_routed(spark: SparkSession, root: str) -> DataFrame:
     """Chats written by ``write_by_nature`` in canonical form, with their category as ``sheet``."""
     columns = scan_header(spark, root)
+    if not columns:
+        empty = spark.createDataFrame([], text_schema([*EXPORT_COLUMNS, "Source", "nature"]))
+        return rows.chat_rows(empty, keep=["nature"]).withColumnRenamed("nature", "sheet")
     chats = scan_partitioned(spark, root, columns, ["nature", "Source"])
     return rows.chat_rows(check_chats(chats), keep=["nature"]).withColumnRenamed(
         "nature", "sheet"
@@ -63,6 +71,7 @@ def model_scorer(
     template: str = scoring.PROMPT,
     max_attempts: int = scoring.MAX_ATTEMPTS,
     partitions: int | None = None,
+    batch_size: int = scoring.BATCH_SIZE,
 ) -> ScoreStep:
     """Score with an external scorer that is told all rules in its system prompt."""
 
@@ -70,7 +79,7 @@ def model_scorer(
         text = scoring.system_prompt(F.col("rules_json"), system_template)
         system = rule_ops.rules_json(rules).select(text).first()[0]
         return scoring.score_by_model(
-            tagged, make_scorer, system, message_col, template, max_attempts, partitions
+            tagged, make_scorer, system, message_col, template, max_attempts, partitions, batch_size
         )
 
     return score
@@ -82,14 +91,22 @@ def analyse(
     score: ScoreStep,
     message_col: str = "messageBody",
     required: str = tagging.ANY,
+    full_fold: bool = False,
+    max_rules: int = tagging.SHIPPED_MAX_RULES,
+    max_bytes: int = tagging.SHIPPED_MAX_BYTES,
 ) -> DataFrame:
-    """The final table: the chat columns and one sentiment column per header."""
-    index = tagging.index_rules(rules, required)
+    """The final table: the chat columns and one sentiment column per header.
+
+    A rule table of up to ``max_rules`` rows and ``max_bytes`` is shipped to every task.
+    """
+    index = tagging.index_rules(
+        rules, required, full_fold=full_fold, max_rules=max_rules, max_bytes=max_bytes
+    )
     if index is None:
-        tagged = tagging.tag_by_join(chats, rules, message_col, required)
+        tagged = tagging.tag_by_join(chats, rules, message_col, required, full_fold=full_fold)
         headers = tagging.header_names(rules)
     else:
-        tagged = tagging.tag_by_index(chats, index, message_col)
+        tagged = tagging.tag_by_index(chats, index, message_col, full_fold)
         headers = index.headers
     return scoring.wide_sentiment(scoring.with_reason(score(tagged)), headers)
 
@@ -103,15 +120,20 @@ def run(
     required: str = tagging.ANY,
     positive: list[str] | None = None,
     negative: list[str] | None = None,
+    **limits,
 ) -> DataFrame:
-    """Everything: merge, route, tag, score. ``sheet`` holds the category of each chat."""
+    """Everything: merge, route, tag, score. ``sheet`` holds the category of each chat.
+
+    A column that all exports lack is an error. ``limits`` are further options of ``analyse``.
+    """
     rules = prepare_rules(keywords)
+    united = check_chats(rows.union_exports(exports))
     # route first: the rows of chats without a category then skip the shuffle
-    routed = rows.drop_duplicate_rows(route_chats(rows.union_exports(exports), group_info))
+    routed = rows.drop_duplicate_rows(route_chats(united, group_info))
     chats = rows.chat_rows(routed, keep=["nature"]).withColumnRenamed("nature", "sheet")
     if score is None:
         score = lexicon_scorer(positive or [], negative or [], message_col)
-    return analyse(chats, rules, score, message_col, required)
+    return analyse(chats, rules, score, message_col, required, **limits)
 
 
 def run_files(
@@ -119,11 +141,20 @@ def run_files(
     exports_root: str,
     group_info_path: str,
     keywords_path: str,
+    bad_files: str = "skip",
+    na_tokens: list[str] | None = None,
+    required_columns: list[str] = EXPORT_COLUMNS,
     **options,
 ) -> DataFrame:
-    """``run`` on files: a tree of CSV exports and the two lookup files."""
+    """``run`` on files: a tree of CSV exports and the two lookup files.
+
+    A file that lacks one of ``required_columns`` is an error.
+    """
+    exports = scan_exports(
+        spark, exports_root, bad_files, required=required_columns, na_tokens=na_tokens
+    )
     return run(
-        [scan_exports(spark, exports_root)],
+        [exports],
         scan_group_info(spark, group_info_path),
         scan_keywords(spark, keywords_path),
         **options,

@@ -27,7 +27,7 @@ SENTIMENTS = ["P", "N", "I"]
 
 HIT = T.StructType(
     [
-        T.StructField("ord", T.IntegerType(), False),
+        T.StructField("ord", T.LongType(), False),
         T.StructField("header", T.StringType(), False),
     ]
 )
@@ -35,7 +35,7 @@ HITS = T.ArrayType(HIT, False)
 
 RESULT = T.StructType(
     [
-        T.StructField("ord", T.IntegerType()),
+        T.StructField("ord", T.LongType()),
         T.StructField("header", T.StringType()),
         T.StructField("success", T.BooleanType()),
         T.StructField("sentiment", T.StringType()),

@@ -63,11 +63,28 @@ def write_template(template: DataFrame, path: str) -> None:
     write_csv(template, path)
 
 
-def write_final(final: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """All categories as one table."""
-    write_table(final, path, file_format)
+def _in_order(final: DataFrame, mode: str, date_format: str) -> DataFrame:
+    known = final.withColumn("sheet", F.coalesce("sheet", F.lit("")))
+    return sort_chats(known, mode, date_format, within=["sheet", "Source"])
 
 
-def write_sheets(final: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """One folder per category."""
-    write_table(final, path, file_format, ["sheet"])
+def write_final(
+    final: DataFrame,
+    path: str,
+    file_format: str = "parquet",
+    mode: str = CHRONOLOGICAL,
+    date_format: str = "d/M/yyyy",
+) -> None:
+    """All categories as one table, chat by chat in order; files follow each other by name."""
+    write_table(_in_order(final, mode, date_format), path, file_format)
+
+
+def write_sheets(
+    final: DataFrame,
+    path: str,
+    file_format: str = "parquet",
+    mode: str = CHRONOLOGICAL,
+    date_format: str = "d/M/yyyy",
+) -> None:
+    """One folder per category, chat by chat in order."""
+    write_table(_in_order(final, mode, date_format), path, file_format, ["sheet"])

@@ -1,27 +1,29 @@
 """Chat exports as CSV files.
 
 Every column is text. Files of different column order or different columns may lie side by side:
-they are grouped by their header line and each group is read with its own column list, because a
-scan over many files binds columns by position.
+the whole tree is read once by position, joined to the header of each file by its path, and bound
+to names in the row. Only the distinct header lines reach the driver.
 """
 
 from __future__ import annotations
 
 import csv
 import warnings
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.functions.text import decoded_path, without_csv
+from chatlens.operators.joins import BROADCAST_MAX_ROWS
 from chatlens.schemas import EXPORT_COLUMNS, SchemaError, text_schema
+from chatlens.storage import keep
 
 CORRUPT = "_corrupt"
+RESERVED = ("path", "file_name")
 
 # Multi-line bodies with doubled quotes.
 CSV_READ = {
@@ -33,110 +35,178 @@ CSV_READ = {
     "columnNameOfCorruptRecord": CORRUPT,
 }
 
+TOO_LONG = "record longer than the header"
+OPEN_QUOTE = "quote that is never closed"
+NOT_UTF8 = "bytes that are not UTF-8"
 
-def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
-    """``(path, line)``: the header line of every non-empty CSV file.
 
-    A session of its own puts each file in its own task, and the task stops after one row, so
-    only the start of each file is read.
-    """
+def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
+    """``(path, line, valid)``: header line of every non-empty CSV file, and is it all UTF-8?"""
 
-    def first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                return
-
-    probe = spark.newSession()
-    probe.conf.set("spark.sql.files.openCostInBytes", str(1 << 40))
-    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    raw = (
-        probe.read.schema("line string")
-        .options(header="false", multiLine="true", sep="\u0001", quote="")
-        .options(recursiveFileLookup=str(recursive).lower(), pathGlobFilter="*.csv")
-        .csv(paths)
+            runs = pc.run_end_encode(batch.column(0))
+            begin, rows = 0, []
+            for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                line = next((x for i in range(begin, end) if (x := batch.column(2)[i].as_py())), None)
+                valid = pc.all(batch.column(3).slice(begin, end - begin)).as_py()
+                rows.append((path, batch.column(1)[begin].as_py(), n, line, valid))
+                begin, n = end, n + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names
+                )
+
+    names = ["path", "start", "n", "line", "valid"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    raw = spark.read.options(
+        recursiveFileLookup=str(recursive).lower(), pathGlobFilter="*.csv"
+    ).text(paths)
+    lines = raw.select(
+        decoded_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.make_valid_utf8("value").alias("line"),
+        F.is_valid_utf8("value").alias("valid"),
     )
-    return raw.select(decoded_path(F.col("_metadata.file_path")).alias("path"), "line").mapInArrow(
-        first_row, "path string, line string"
+    first = F.when((F.col("start") == 0) & F.col("line").isNotNull(), F.struct("n", "line"))
+    return (
+        lines.mapInArrow(first_lines, "path string, start long, n long, line string, valid boolean")
+        .groupBy("path")
+        .agg(F.min(first).alias("first"), F.bool_and("valid").alias("valid"))
+        .select("path", F.col("first.line").alias("line"), "valid")
+        .where("line IS NOT NULL")
     )
 
 
+def _free(name: str, taken: set[str]) -> str:
+    """The name, or the name with the first number that no other name has, whatever the case."""
+    found, count = name, 0
+    while found.lower() in taken:
+        count += 1
+        found = f"{name}.{count}"
+    taken.add(found.lower())
+    return found
+
+
 def column_names(line: str) -> tuple[str, ...]:
-    """Column names of a header line; blanks and repeated names get a number."""
-    names: list[str] = []
-    seen: dict[str, int] = defaultdict(int)
-    for i, name in enumerate(next(csv.reader([line.lstrip("\ufeff")]), [])):
-        name = name or f"Unnamed: {i}"
-        count = seen[name]
-        seen[name] += 1
-        names.append(f"{name}.{count}" if count else name)
-    return tuple(names)
-
-
-def literal_path(path: str) -> str:
-    """Escape the characters a path pattern would interpret."""
-    return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)
-
-
-def is_too_long(columns: tuple[str, ...]) -> Column:
-    """A record with more fields than the header has."""
-    outside_quotes = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
-    commas = F.char_length(outside_quotes) - F.char_length(
-        F.replace(outside_quotes, F.lit(","), F.lit(""))
-    )
-    # always true, but a scan must not ask for the corrupt record alone
-    has_column = F.char_length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0
-    return F.coalesce(commas >= len(columns), F.lit(False)) & has_column
+    """Column names of a header line; blanks and names that differ in case at most get a number."""
+    taken = set(RESERVED)
+    fields = next(csv.reader([line.lstrip("\ufeff")]), [])
+    return tuple(_free(name or f"Unnamed: {i}", taken) for i, name in enumerate(fields))
+
+
+def output_names(headers: list[tuple[str, ...]]) -> dict[str, str]:
+    """The column each name goes to: names of different files that differ in case get a number."""
+    taken = set(RESERVED)
+    names = dict.fromkeys(n for header in headers for n in header)
+    return {name: _free(name, taken) for name in names}
+
+
+def _filled(width: int) -> Column:
+    """Number of fields up to the last one that is not empty, at most ``width`` + 2."""
+    numbers = [F.when(F.char_length(f"_c{i}") > 0, i + 1).otherwise(0) for i in range(width + 1)]
+    plain = F.regexp_replace(_without_pairs(), '"[^"]*+"', "q")
+    past = F.rlike(plain, F.lit(rf"^(?:[^,]*+,){{{width + 1}}}[\s\S]*[^,\s]"))
+    return F.greatest(F.lit(0), *numbers, F.when(past, width + 2).otherwise(0))
+
+
+def _without_pairs() -> Column:
+    return F.coalesce(F.replace(F.col(CORRUPT), F.lit('""'), F.lit("")), F.lit(""))
+
+
+def _open_quote() -> Column:
+    """The record ends inside a quoted field."""
+    left = F.regexp_replace(_without_pairs(), '"[^"]*+"', "q")
+    return F.rlike(left, F.lit('(?:^|,)"'))
 
 
 @dataclass
 class _Tree:
-    """CSV files below some paths, grouped by header. Only names and header lines reach the driver."""
+    """CSV files below some paths: parsed rows by position, and the header of each file."""
 
     spark: SparkSession
-    paths: str | list[str]
-    recursive: bool
-    groups: dict[tuple[str, ...], list[str]]
+    headers: list[tuple[str, ...]]
+    examples: list[str]
+    rows: DataFrame | None
 
     @classmethod
-    def probe(cls, spark: SparkSession, paths: str | list[str], recursive: bool) -> _Tree:
-        groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-        for row in header_lines(spark, paths, recursive).collect():
-            groups[column_names(row["line"])].append(row["path"])
-        return cls(spark, paths, recursive, groups)
-
-    def without(self, bad: set[str]) -> _Tree:
-        groups = {c: [p for p in members if p not in bad] for c, members in self.groups.items()}
-        return _Tree(self.spark, [], False, {c: m for c, m in groups.items() if m})
-
-    def read(self, columns: tuple[str, ...]) -> DataFrame:
-        """The files of one group: by their names, or as a whole tree if there is one group."""
-        reader = self.spark.read.schema(text_schema([*columns, CORRUPT])).options(**CSV_READ)
-        if len(self.groups) == 1 and self.paths:
-            rows = reader.options(
-                recursiveFileLookup=str(self.recursive).lower(), pathGlobFilter="*.csv"
-            ).csv(self.paths)
-        else:
-            rows = reader.csv([literal_path(p) for p in self.groups[columns]])
-        path = decoded_path(F.col("_metadata.file_path"))
-        return rows.select(
-            *[F.col(f"`{c}`") for c in columns],
-            CORRUPT,
-            path.alias("path"),
-            F.regexp_extract(path, r"([^/]*)$", 1).alias("file_name"),
-            is_too_long(columns).alias("_too_long"),
+    def scan(cls, spark: SparkSession, paths: str | list[str], recursive: bool) -> _Tree:
+        files = keep(header_lines(spark, paths, recursive), "csv-headers")
+        found = (
+            files.groupBy("line")
+            .agg(F.min("path").alias("path"), F.count("*").alias("n"))
+            .orderBy("line")
+            .collect()
+        )
+        headers = [column_names(r["line"]) for r in found]
+        tree = cls(spark, headers, [r["path"] for r in found], None)
+        if headers:
+            numbered = tree._numbered(files, found)
+            if sum(r["n"] for r in found) <= BROADCAST_MAX_ROWS:
+                numbered = F.broadcast(numbered)
+            tree.rows = tree._parsed(paths, recursive).join(numbered, "path")
+        return tree
+
+    def _numbered(self, files: DataFrame, found: list) -> DataFrame:
+        """``path, valid, header, width`` of each file."""
+        known = self.spark.createDataFrame(
+            [(r["line"], i, len(h)) for i, (r, h) in enumerate(zip(found, self.headers))],
+            "line string, header int, width int",
+        )
+        return files.join(F.broadcast(known), "line").drop("line")
+
+    def _parsed(self, paths: str | list[str], recursive: bool) -> DataFrame:
+        width = max(len(h) for h in self.headers)
+        positions = [f"_c{i}" for i in range(width + 1)]
+        rows = (
+            self.spark.read.schema(text_schema([*positions, CORRUPT]))
+            .options(**CSV_READ)
+            .options(recursiveFileLookup=str(recursive).lower(), pathGlobFilter="*.csv")
+            .csv(paths)
+        )
+        return keep(
+            rows.select(
+                *positions,
+                decoded_path(F.col("_metadata.file_path")).alias("path"),
+                F.monotonically_increasing_id().alias("_pos"),
+                _filled(width).alias("_filled"),
+                _open_quote().alias("_open"),
+                F.coalesce(CORRUPT, F.concat_ws(",", *positions)).alias("_record"),
+            ).withColumn(
+                "_record", F.when(F.col("_open") | (F.col("_filled") > min(map(len, self.headers))), F.col("_record"))
+            ),
+            "csv-rows",
         )
 
     def bad_records(self) -> DataFrame:
-        """``(path, record)`` of the records longer than their header."""
-        empty = self.spark.createDataFrame([], "path string, record string")
-        parts = [
-            self.read(columns)
-            .where("_too_long")
-            .select("path", F.col(CORRUPT).alias("record"))
-            for columns in self.groups
-        ]
-        return reduce(DataFrame.union, parts) if parts else empty
+        """``(path, record, fault)`` of records no reader should trust."""
+        if self.rows is None:
+            return self.spark.createDataFrame([], "path string, record string, fault string")
+        fault = (
+            F.when(~F.col("valid"), NOT_UTF8)
+            .when(F.col("_open"), OPEN_QUOTE)
+            .when(F.col("_filled") > F.col("width"), TOO_LONG)
+        )
+        found = self.rows.select("path", F.col("_record").alias("record"), fault.alias("fault"))
+        return found.where("fault IS NOT NULL")
+
+    def without(self, bad: DataFrame) -> None:
+        self.rows = self.rows.join(bad.select("path"), "path", "left_anti")
+
+    def named(self) -> DataFrame:
+        """The rows with the names of their headers; fields past the header are empty."""
+        names = output_names(self.headers)
+        columns = []
+        for name, output in names.items():
+            value = F.lit(None).cast("string")
+            for i, header in enumerate(self.headers):
+                if name in header:
+                    field = F.col(f"_c{header.index(name)}")
+                    value = field if len(self.headers) == 1 else F.when(F.col("header") == i, field).otherwise(value)
+            columns.append(value.alias(output))
+        file_name = F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name")
+        return self.rows.select(*columns, "path", file_name, "_pos")
 
 
 def scan_csv(
@@ -146,60 +216,53 @@ def scan_csv(
     bad_files: str = "skip",
     required: list[str] | None = None,
     na_tokens: list[str] | None = None,
+    positions: bool = False,
 ) -> DataFrame:
-    """All CSV files below ``paths``, united by column name.
+    """All CSV files below ``paths``, united by column name; parsed once, into the shared folder.
 
-    Adds ``path`` and ``file_name``. Short records are filled with nulls. A file with a record
-    longer than its header is bad: ``skip`` leaves such files out with a warning, after one pass
-    that looks for them; ``fail`` raises while reading. ``na_tokens`` are texts to read as null.
+    Adds ``path`` and ``file_name``. Short records are filled with nulls, and empty fields past
+    the header are ignored. A file is bad if a record has more than that, if a quote is never
+    closed, or if it is not UTF-8: ``skip`` leaves such files out with a warning, ``fail`` raises.
+    ``na_tokens`` are texts to read as null. ``positions`` adds ``_pos``, ascending within a file.
     """
-    tree = _Tree.probe(spark, paths, recursive)
-    for columns, members in tree.groups.items():
+    tree = _Tree.scan(spark, paths, recursive)
+    for columns, example in zip(tree.headers, tree.examples):
         missing = [c for c in required or [] if c not in columns]
         if missing:
-            raise SchemaError(f"{members[0]}: missing columns {missing}")
-    if bad_files == "skip":
-        bad = {r["path"] for r in tree.bad_records().select("path").distinct().collect()}
-        if bad:
-            warnings.warn(f"skipped {len(bad)} unreadable CSV files", stacklevel=2)
-            tree = tree.without(bad)
-    elif bad_files != "fail":
+            raise SchemaError(f"{example}: missing columns {missing}")
+    if bad_files not in ("skip", "fail"):
         raise ValueError(f"unknown treatment of bad files {bad_files!r}")
-    if not tree.groups:
+    if not tree.headers:
         return spark.createDataFrame([], text_schema([*EXPORT_COLUMNS, "path", "file_name"]))
-
-    parts = []
-    for columns in tree.groups:
-        rows = tree.read(columns)
-        if bad_files == "fail":
-            message = F.concat(F.col("path"), F.lit(": record longer than the header: "))
-            rows = rows.where(
-                F.when(
-                    F.col("_too_long"),
-                    F.raise_error(F.concat(message, F.col(CORRUPT))).cast("boolean"),
-                ).otherwise(True)
-            )
-        rows = rows.drop(CORRUPT, "_too_long")
-        if na_tokens:
-            rows = rows.select(
-                *[
-                    F.when(~F.col(f"`{c}`").isin(na_tokens), F.col(f"`{c}`")).alias(c)
-                    for c in columns
-                ],
-                "path",
-                "file_name",
-            )
-        parts.append(rows)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if bad_files == "fail":
+        first = tree.bad_records().limit(1).collect()
+        if first:
+            raise ValueError(f"{first[0]['path']}: {first[0]['fault']}: {first[0]['record']}")
+    else:
+        bad = keep(tree.bad_records().select("path").distinct(), "csv-bad")
+        count = bad.count()
+        if count:
+            warnings.warn(f"skipped {count} unreadable CSV files", stacklevel=2)
+            tree.without(bad)
+    rows = tree.named()
+    if na_tokens:
+        own = [c for c in rows.columns if c not in (*RESERVED, "_pos")]
+        rows = rows.withColumns(
+            {c: F.when(~F.col(f"`{c}`").isin(na_tokens), F.col(f"`{c}`")) for c in own}
+        )
+    return rows if positions else rows.drop("_pos")
 
 
 def bad_records(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
-    """``(path, record)`` of the records that are longer than their header."""
-    return _Tree.probe(spark, paths, recursive).bad_records()
+    """``(path, record, fault)`` of the records for which a file is bad."""
+    return _Tree.scan(spark, paths, recursive).bad_records()
 
 
 def scan_exports(spark: SparkSession, root: str, bad_files: str = "skip", **options) -> DataFrame:
-    """Raw chat exports anywhere below ``root``, with ``Source`` from the file name."""
+    """Raw chat exports anywhere below ``root``, with ``Source`` from the file name.
+
+    ``required=EXPORT_COLUMNS`` refuses files that lack a column.
+    """
     rows = scan_csv(spark, root, recursive=True, bad_files=bad_files, **options)
     return rows.withColumn("Source", without_csv(F.col("file_name"))).drop("path")
 
@@ -241,8 +304,9 @@ def scan_partitioned(
 
 
 def scan_header(spark: SparkSession, root: str) -> list[str]:
-    """Column names of CSV files written by one sink, which all have the same header."""
-    return list(column_names(header_lines(spark, root, recursive=True).first()["line"]))
+    """Column names of CSV files written by one sink, which all have the same header; or none."""
+    found = header_lines(spark, root, recursive=True).first()
+    return list(column_names(found["line"])) if found else []
 
 
 def list_chats(spark: SparkSession, root: str) -> DataFrame:

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from chatlens import fixtures as fx
-from chatlens.functions import lexicon, replies
 from chatlens.schemas import CHAT_COLUMNS, EXPORT_COLUMNS
-from chatlens.operators.scoring import EXHAUSTED, MAX_ATTEMPTS
+
+# What the answers must say, written out here so that the engine can be found wrong.
+MAX_ATTEMPTS = 3
+EXHAUSTED = "Failed to get valid JSON after 3 times of retries"
+ARRAY_REPLY = "list indices must be integers or slices, not str"
+NULL_REPLY = "'NoneType' object does not support item assignment"
+POSITIVE_REASON = "only positive words"
+NEGATIVE_REASON = "only negative words"
+MIXED_REASON = "positive and negative words"
+NEUTRAL_REASON = "no listed word"
 
 
 def _text(value: str | None) -> str:
@@ -75,7 +83,8 @@ PART_RULES = """raw_rules AS (
 DOCUMENT_RULES = """raw_rules AS (
   SELECT CAST(doc_id AS INTEGER) AS idx, 'd' || (doc_id // 30) AS brand,
     CASE WHEN doc_id % 6 = 0 THEN 'generic' ELSE 'p' || (doc_id % 6) END AS product,
-    substr(text, 3, 6) AS keyword,
+    coalesce((SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w) WHERE length(w) >= 5
+      ORDER BY length(w), w LIMIT 1), text) AS keyword,
     CASE WHEN doc_id % 5 = 0 THEN 'p2, p3' ELSE '' END AS required_product
   FROM documents)"""
 
@@ -91,7 +100,7 @@ resolved AS (
   SELECT r.*, coalesce(t.joined, '') AS required_keyword
   FROM rules r LEFT JOIN req_text t ON t.idx = r.idx),
 heads AS (
-  SELECT headers, CAST(min(idx) AS INTEGER) AS ord, contains(headers, 'generic') AS generic,
+  SELECT headers, CAST(min(idx) AS BIGINT) AS ord, contains(headers, 'generic') AS generic,
     replace(headers, '_generic', '') AS base
   FROM rules GROUP BY headers)"""
 
@@ -138,10 +147,10 @@ SCORED = f"""scored AS (
   SELECT f.conv_id, f.turn, f.header, h.ord,
     CASE WHEN {POS} AND NOT {NEG} THEN 'P' WHEN {NEG} AND NOT {POS} THEN 'N' ELSE 'I' END
       AS sentiment,
-    CASE WHEN {POS} AND {NEG} THEN {_text(lexicon.MIXED_REASON)}
-      WHEN {POS} THEN {_text(lexicon.POSITIVE_REASON)}
-      WHEN {NEG} THEN {_text(lexicon.NEGATIVE_REASON)}
-      ELSE {_text(lexicon.NEUTRAL_REASON)} END AS reason
+    CASE WHEN {POS} AND {NEG} THEN {_text(MIXED_REASON)}
+      WHEN {POS} THEN {_text(POSITIVE_REASON)}
+      WHEN {NEG} THEN {_text(NEGATIVE_REASON)}
+      ELSE {_text(NEUTRAL_REASON)} END AS reason
   FROM final f JOIN base b ON b.conv_id = f.conv_id AND b.turn = f.turn
   JOIN heads h ON h.headers = f.header)"""
 
@@ -156,8 +165,8 @@ MODEL = f"""sized AS (SELECT *, length(prompt) AS size FROM prompts),
 scored AS (
   SELECT conv_id, turn, header, ord, size % 5 NOT IN (1, 2) AS success,
     CASE WHEN size % 5 IN (1, 2) THEN 'I' ELSE substr('PNI', 1 + size % 3, 1) END AS sentiment,
-    CASE WHEN size % 5 = 1 THEN {_text(replies.NOT_OBJECT_REASONS[0][1])}
-      WHEN size % 5 = 2 THEN {_text(EXHAUSTED.format(attempts=MAX_ATTEMPTS))}
+    CASE WHEN size % 5 = 1 THEN {_text(ARRAY_REPLY)}
+      WHEN size % 5 = 2 THEN {_text(EXHAUSTED)}
       ELSE 'size ' || size END AS reason
   FROM sized)"""
 
@@ -389,10 +398,10 @@ ends AS (
         ],
         f"""SELECT e.request_id, coalesce(t.status = 'ok', false) AS success,
   CASE WHEN t.status = 'ok' THEN t.doc->>'$.sentiment' ELSE 'I' END AS sentiment,
-  CASE WHEN t.status IS NULL THEN {_text(EXHAUSTED.format(attempts=MAX_ATTEMPTS))}
+  CASE WHEN t.status IS NULL THEN {_text(EXHAUSTED)}
     WHEN t.status = 'ok' THEN t.doc->>'$.reason'
-    WHEN json_type(t.doc) = 'ARRAY' THEN {_text(replies.NOT_OBJECT_REASONS[0][1])}
-    ELSE {_text(replies.NOT_OBJECT_REASONS[-1][1])} END AS reason,
+    WHEN json_type(t.doc) = 'ARRAY' THEN {_text(ARRAY_REPLY)}
+    ELSE {_text(NULL_REPLY)} END AS reason,
   CAST(coalesce(e.attempt, {MAX_ATTEMPTS}) AS INTEGER) AS attempts_used
 FROM ends e LEFT JOIN tried t ON t.request_id = e.request_id AND t.attempt = e.attempt""",
     ),
@@ -417,5 +426,57 @@ FROM base b LEFT JOIN scored s ON {SAME} GROUP BY b.conv_id, b.turn""",
 FROM base b LEFT JOIN scored s ON {SAME} GROUP BY b.conv_id, b.turn""",
     ),
     "final_table": _final(),
+    "final_run_files": _final(),
+    "final_written": _final("any_value(b.sheet) AS sheet, "),
+    "final_ordered": _with(
+        [BASE, BOTH, MERGED, GROUPS, _natures("group_info")],
+        f"""SELECT nature AS sheet, "Source", "Date2", "Time", "messageBody",
+  row_number() OVER (PARTITION BY nature, "Source" ORDER BY
+    try_strptime("Date2", '%d/%m/%Y') NULLS LAST, try_strptime("Time", '%H:%M:%S') NULLS LAST,
+    "messageBody") AS place
+FROM merged JOIN natures ON gus_id = "Source\"""",
+    ),
+    "offline_scores": _with(
+        [*TAGGING, PROMPTS, MODEL],
+        """SELECT conv_id, turn, header, success, sentiment, reason FROM scored""",
+    ),
+    "csv_bad_files": """SELECT v.* FROM (VALUES
+  ('latin.csv', 'bytes that are not UTF-8'), ('long.csv', 'record longer than the header'),
+  ('open.csv', 'quote that is never closed')) v(file_name, fault)
+WHERE EXISTS (SELECT 1 FROM conversations)""",
+    "csv_trailing_commas": """SELECT CAST(conv_id AS VARCHAR) AS conv_id,
+  CAST(turn AS VARCHAR) AS turn, role FROM conversations""",
+    "list_files": """SELECT 'c' || name AS gus_id, CAST(NULL AS VARCHAR) AS group_nature
+FROM (SELECT DISTINCT conv_id % 3, conv_id % 40 AS name FROM conversations)""",
+    "source_name": """SELECT 'c' || conv_id % 40 AS "Source", count(*) AS n_rows FROM conversations
+GROUP BY conv_id % 40""",
+    "load_chats": _with(
+        [BASE],
+        f"""SELECT 's' || conv_id % 3 AS sheet, 'c' || conv_id % 40 AS "Source",
+  {CANONICAL.split(", ", 1)[1]} FROM base""",
+    ),
+    "scan_chat_csv": _with(
+        [BASE],
+        f"""SELECT {RAW.split(", ", 1)[1]}, count(*) AS n FROM base
+GROUP BY ALL""",
+    ),
+    "scan_group_info": """SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS idx, 'user' || (c_custkey % 700) AS gus_id,
+  CASE WHEN c_custkey % 10 = 0 THEN 'Z' ELSE c_mktsegment END AS group_nature FROM customer""",
+    "lookup_parts": _with(
+        [
+            """group_part AS (
+  SELECT row_number() OVER (ORDER BY c_custkey % 4, c_custkey) - 1 AS idx,
+    'user' || (c_custkey % 700) AS gus_id,
+    CASE WHEN c_custkey % 10 = 0 THEN 'Z' ELSE c_mktsegment END AS group_nature
+  FROM customer)""",
+            """last AS (SELECT gus_id, arg_max(group_nature, idx) AS nature FROM group_part GROUP BY gus_id)""",
+        ],
+        """SELECT e.event_id, 'user' || e.user_id AS "Source", l.nature
+FROM events e JOIN last l ON l.gus_id = 'user' || e.user_id WHERE length(l.nature) > 1""",
+    ),
+    "rules_of_header": _with(PART, "SELECT idx, keyword FROM resolved WHERE headers = 'b1_generic'"),
+    "empty_folders": _with(
+        [BASE], f"SELECT 'none' AS sheet, {CANONICAL} FROM base WHERE conv_id < -1"
+    ),
     "final_by_sheet": _final("any_value(b.sheet) AS sheet, "),
 }

@@ -252,7 +252,7 @@ def tag_generic(spark, sf):
 
 @query
 def tag_batched(spark, sf):
-    tagged = _tagged(spark, sf, native_max_needles=0)
+    tagged = _tagged(spark, sf, max_bytes=tagging.SHIPPED_MAX_BYTES * 2)
     return tagging.explode_hits(tagged).select(*KEYS, "header")
 
 
@@ -384,3 +384,195 @@ def final_by_sheet(spark, sf):
     final = _full_run(spark, sf)
     sinks.write_sheets(final, folder)
     return spark.read.schema(final.schema).parquet(folder).select(*final.columns)
+
+
+@query
+def final_run_files(spark, sf):
+    """The full run from files: one folder per export, lookups as CSV."""
+    folder = new_folder(spark, "run")
+    for i, export in enumerate(fx.export_slices(spark, sf)):
+        named = export.withColumn("mediaCaption", F.lit(None).cast("string"))
+        sinks.write_csv(named.withColumn("chat", F.col("Source")), f"{folder}/{i}", ["Source"])
+    lookups_of = {"group_info": fx.group_info(spark), "keywords": fx.rules(spark)}
+    for name, table in lookups_of.items():
+        sinks.write_template(table.coalesce(1).drop("idx"), f"{folder}-{name}.csv")
+    exports = csv_files.scan_exports(spark, folder, required=EXPORT_COLUMNS)
+    final = flows.run(
+        [exports.withColumn("Source", F.col("chat")).drop("chat", "file_name")],
+        lookups.scan_group_info(spark, f"{folder}-group_info.csv"),
+        lookups.scan_keywords(spark, f"{folder}-keywords.csv"),
+        positive=fx.POSITIVE,
+        negative=fx.NEGATIVE,
+    )
+    return final.drop("sheet")
+
+
+@query
+def final_written(spark, sf):
+    folder = new_folder(spark, "final")
+    final = _full_run(spark, sf)
+    sinks.write_final(final, folder)
+    return spark.read.schema(final.schema).parquet(folder)
+
+
+@query
+def final_ordered(spark, sf):
+    """Place of each row in its chat, by file name and row of what the sink wrote."""
+    folder = new_folder(spark, "ordered")
+    final = _full_run(spark, sf).select("sheet", "Source", "Date2", "Time", "messageBody")
+    sinks.write_sheets(final, folder)
+    rows_read = spark.read.schema(final.schema).parquet(folder)
+    place = (
+        "row_number() OVER (PARTITION BY sheet, Source ORDER BY _metadata.file_name, _metadata.row_index)"
+    )
+    return rows_read.select(*final.columns, F.expr(place).alias("place"))
+
+
+@query
+def offline_scores(spark, sf):
+    """Replies collected by another service, attempt by attempt, and put back on the messages."""
+    tagged = _tagged(spark, sf)
+    asked = scoring.distinct_requests(tagged)
+    size = F.char_length("prompt")
+    good = F.format_string(
+        '{"sentiment":"%s","reason":"size %d"}', F.substring(F.lit("PNI"), size % 3 + 1, F.lit(1)), size
+    )
+    first = F.when(size % 5 == 0, "not json").when(size % 5 == 1, '["P"]').when(size % 5 != 2, good)
+    later = F.when(size % 5 == 0, good)
+    attempts = asked.select(
+        "request_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"), first.alias("a"), later.alias("b")
+    ).select("request_id", "attempt", F.when(F.col("attempt") == 1, F.col("a")).otherwise(F.col("b")).alias("text"))
+    answered = scoring.with_outcomes(asked, scoring.fold_replies(attempts))
+    return _results(scoring.attach_results(tagged, answered)).select(
+        *KEYS, "r.header", "r.success", "r.sentiment", "r.reason"
+    )
+
+
+# files of all kinds
+
+
+def _text_file(rows: DataFrame, path: str) -> None:
+    rows.write.option("quote", "").option("sep", "\u0001").csv(path)
+
+
+def _csv_lines(df: DataFrame, header: str, line, last: str | None = None) -> DataFrame:
+    """A header line, one line per row and perhaps a last one, in one file."""
+    ends = [(0, header)] + ([(2, last)] if last else [])
+    ends = df.sparkSession.createDataFrame(ends, "n int, value string")
+    body = df.select(F.lit(1).alias("n"), line.alias("value"))
+    return ends.union(body).coalesce(1).sortWithinPartitions("n").select("value")
+
+
+def _chat_tree(spark, sf, folder):
+    """All conversations as chats of up to 40 names in three folders, a CSV file each."""
+    chats = fx.conversation_exports(spark, sf)
+    rows_of_chat = chats.withColumns(
+        {
+            "sheet": F.concat(F.lit("s"), F.col("conv_id") % 3),
+            "chat": F.concat(F.lit("c"), F.col("conv_id") % 40),
+        }
+    ).drop(*KEYS, "Source")
+    staged = f"{folder}-staged"
+    spread = rows_of_chat.repartition(F.col("sheet"), F.col("chat"))
+    sinks.write_csv(spread, staged, ["sheet", "chat"])
+    # the sink names files by itself: give each the name of its chat
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(conf)
+    for status in fs.globStatus(path(f"{staged}/sheet=*/chat=*/*.csv")):
+        chat = status.getPath().getParent()
+        sheet = chat.getParent().getName().removeprefix("sheet=")
+        fs.mkdirs(path(f"{folder}/{sheet}"))
+        name = f"{chat.getName().removeprefix('chat=')}.csv"
+        fs.rename(status.getPath(), path(f"{folder}/{sheet}/{name}"))
+    return folder
+
+
+@query
+def list_files(spark, sf):
+    return csv_files.list_files(spark, _chat_tree(spark, sf, new_folder(spark, "tree")))
+
+
+@query
+def source_name(spark, sf):
+    exports = csv_files.scan_exports(spark, _chat_tree(spark, sf, new_folder(spark, "tree")))
+    return exports.groupBy("Source").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def load_chats(spark, sf):
+    return flows.load_chats(spark, _chat_tree(spark, sf, new_folder(spark, "tree")))
+
+
+@query
+def scan_chat_csv(spark, sf):
+    folder = new_folder(spark, "chats")
+    sinks.write_csv(fx.conversation_exports(spark, sf).drop(*KEYS, "Source"), folder)
+    found = csv_files.scan_chat_csv(spark, folder).select(*EXPORT_COLUMNS)
+    return found.groupBy(*EXPORT_COLUMNS).agg(F.count("*").alias("n"))
+
+
+@query
+def scan_group_info(spark, sf):
+    path = f"{new_folder(spark, 'groups')}/groups.csv"
+    ordered = fx.customer_groups(spark, sf).orderBy("idx").coalesce(1).drop("idx")
+    sinks.write_template(ordered, path)
+    return lookups.scan_group_info(spark, path)
+
+
+@query
+def lookup_parts(spark, sf):
+    """A lookup of four part files without ``idx``: the last row by file and place wins."""
+    folder = f"{new_folder(spark, 'parts')}.parquet"
+    groups = fx.customer_groups(spark, sf)
+    for k in range(4):
+        part = groups.where(F.col("idx") % 4 == k).orderBy("idx").coalesce(1).drop("idx")
+        part.write.parquet(f"{folder}/part={k}")
+    info = lookups.scan_group_info(spark, folder)
+    return routing.route_chats(fx.event_exports(spark, sf), info).select("event_id", "Source", "nature")
+
+
+@query
+def csv_bad_files(spark, sf):
+    """One file of each kind that no reader should trust, next to sound ones."""
+    base = fx.table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    line = F.concat_ws(",", "conv_id", "turn", "role")
+    folder = new_folder(spark, "bad")
+    _text_file(_csv_lines(base, "conv_id,turn,role", line), f"{folder}/good.csv")
+    longer = F.concat(line, F.lit(",,,x"))
+    _text_file(_csv_lines(base, "conv_id,turn,role", longer), f"{folder}/long.csv")
+    quoted = _csv_lines(base, "conv_id,turn,role", line, '0,0,"never closed')
+    _text_file(quoted, f"{folder}/open.csv")
+    latin = F.concat(line, F.lit("é"))
+    _csv_lines(base, "conv_id,turn,role", latin).write.option("encoding", "ISO-8859-1").option(
+        "quote", ""
+    ).option("sep", "\u0001").csv(f"{folder}/latin.csv")
+    found = csv_files.bad_records(spark, folder)
+    name = F.regexp_extract("path", r"([^/]*\.csv)/[^/]*$", 1).alias("file_name")
+    return found.select(name, "fault").distinct()
+
+
+@query
+def csv_trailing_commas(spark, sf):
+    """Records that end in a comma keep their file and their places."""
+    base = fx.table(spark, sf, "conversations")
+    line = F.concat(F.concat_ws(",", "conv_id", "turn", "role"), F.lit(","))
+    folder = new_folder(spark, "commas")
+    _csv_lines(base, "conv_id,turn,role", line).write.option("quote", "").option(
+        "sep", "\u0001"
+    ).csv(folder)
+    return csv_files.scan_exports(spark, folder).select("conv_id", "turn", "role")
+
+
+@query
+def rules_of_header(spark, sf):
+    return rule_ops.rules_of_header(_part_rules(spark, sf), "b1_generic").select("idx", "keyword")
+
+
+@query
+def empty_folders(spark, sf):
+    """A tree without any chat gives the canonical table without rows."""
+    folder = new_folder(spark, "nothing")
+    none = fx.conversation_exports(spark, sf).where("conv_id < -1").drop(*KEYS)
+    sinks.write_by_nature(none.withColumn("nature", F.lit("none")), folder)
+    return flows.load_routed(spark, folder)

@@ -46,17 +46,47 @@ def test_short_rows_are_filled_and_long_rows_spoil_their_file(spark, tmp_path):
     put(tmp_path, "good.csv", "a,b,c\n1,2\n\"x,y\",\"q\"\"r\",\"s\nt\"\n")
     put(tmp_path, "long.csv", "a,b,c\n1,2,3\n1,2,3,4\n")
     put(tmp_path, "blank end.csv", "a,b,c\n1,2,3,\n")
-    with pytest.warns(UserWarning, match="skipped 2"):
+    with pytest.warns(UserWarning, match="skipped 1"):
         rows = csv_files.scan_exports(spark, str(tmp_path))
-    assert rows_of(rows.select("a", "b", "c")) == [("1", "2", None), ("x,y", 'q"r', "s\nt")]
-    assert rows.count() == 2
+    # an empty field past the header does not shift or cost the row
+    assert rows_of(rows.select("a", "b", "c")) == [
+        ("1", "2", "3"), ("1", "2", None), ("x,y", 'q"r', "s\nt"),
+    ]
     assert csv_files.scan_chat_csv(spark, str(tmp_path / "good.csv")).count() == 2
     bad = csv_files.bad_records(spark, str(tmp_path))
-    assert sorted(os.path.basename(r["path"]) for r in bad.collect()) == ["blank end.csv", "long.csv"]
+    assert [os.path.basename(r["path"]) for r in bad.collect()] == ["long.csv"]
     with pytest.raises(Exception, match="record longer than the header"):
         csv_files.scan_chat_csv(spark, str(tmp_path)).collect()
 
 
+def test_unclosed_quotes_and_other_encodings_spoil_their_file(spark, tmp_path):
+    put(tmp_path, "good.csv", 'a,b\n1,5" pipe\n2,"x ""y"\n3,\ufffd\n')
+    put(tmp_path, "open.csv", 'a,b\n1,2\n3,"open\n5,6\n')
+    put(tmp_path, "far.csv", "a,b\n1,2,,,,,9\n")
+    (tmp_path / "latin.csv").write_bytes("a,b\n1,é\n".encode("latin-1"))
+    with pytest.warns(UserWarning, match="skipped 3"):
+        rows = csv_files.scan_exports(spark, str(tmp_path))
+    assert rows_of(rows.select("a", "b")) == [("1", '5" pipe'), ("2", 'x "y'), ("3", "\ufffd")]
+    faults = {os.path.basename(r["path"]): r["fault"] for r in csv_files.bad_records(spark, str(tmp_path)).collect()}
+    assert faults == {
+        "open.csv": csv_files.OPEN_QUOTE, "far.csv": csv_files.TOO_LONG, "latin.csv": csv_files.NOT_UTF8,
+    }
+    for name in ("open", "latin"):
+        with pytest.raises(ValueError, match="quote|UTF-8"):
+            csv_files.scan_chat_csv(spark, str(tmp_path / f"{name}.csv"))
+
+
+def test_names_that_differ_in_case(spark, tmp_path):
+    put(tmp_path, "a.csv", "Date2,date2,path\n1,2,3\n")
+    put(tmp_path, "b.csv", "DATE2,x\n4,5\n")
+    rows = csv_files.scan_exports(spark, str(tmp_path))
+    # headers are taken in the order of their lines
+    assert rows.columns == ["DATE2", "x", "Date2.1", "date2.1.1", "path.1", "file_name", "Source"]
+    assert rows_of(rows.drop("file_name")) == [
+        ("4", "5", None, None, None, "b"), (None, None, "1", "2", "3", "a"),
+    ]
+
+
 def test_na_tokens(spark, tmp_path):
     put(tmp_path, "c.csv", "a,b\nNA,null\nx,\n")
     kept = csv_files.scan_exports(spark, str(tmp_path))
@@ -164,6 +194,18 @@ def test_lookups_keep_row_order(spark, tmp_path):
     assert rows_of(lookups.scan_keywords(spark, str(tmp_path / "k.parquet"))) == rows_of(rules)
     put(tmp_path, "g.csv", "gus_id,group_nature\n007,mums\n")
     assert rows_of(lookups.scan_group_info(spark, str(tmp_path / "g.csv"))) == [(0, "007", "mums")]
+    for i, n in enumerate([3, 1, 5]):
+        lines = "".join(f"{i},{k}\n" for k in range(n))
+        put(tmp_path, f"parts.csv/part-{i}.csv", "gus_id,group_nature\n" + lines)
+        part = spark.createDataFrame([(f"{i}", f"{k}") for k in range(n)], "gus_id string, group_nature string")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"p/{i}"))
+    os.makedirs(tmp_path / "parts.parquet")
+    for i in range(3):
+        (file,) = (tmp_path / f"p/{i}").glob("*.parquet")
+        file.rename(tmp_path / f"parts.parquet/part-{i}.parquet")
+    expected = [(n, str(i), str(k)) for n, (i, k) in enumerate((i, k) for i, m in enumerate([3, 1, 5]) for k in range(m))]
+    for kind in ("csv", "parquet"):
+        assert rows_of(lookups.scan_group_info(spark, str(tmp_path / f"parts.{kind}"))) == expected
     with pytest.raises(ValueError, match="must be"):
         lookups.scan_group_info(spark, str(tmp_path / "g.txt"))
     with pytest.raises(SchemaError):

@@ -9,13 +9,13 @@ from chatlens.operators import joins, routing
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
+def test_large_lookup_equals_plain_join(spark, how):
     big = spark.createDataFrame([("hot" if i % 3 else f"k{i % 5}", i) for i in range(500)], "k string, v int")
     lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), ("none", 4)], "k string, w int")
     plain = big.join(lookup, "k", how)
-    salted = joins.lookup_join(big, lookup, ["k"], how, max_rows=0)
-    assert salted.columns == plain.columns
-    assert rows_of(salted) == rows_of(plain)
+    stored = joins.lookup_join(big, lookup, ["k"], how, max_rows=0)
+    assert stored.columns == plain.columns
+    assert rows_of(stored) == rows_of(plain)
     assert rows_of(joins.lookup_join(big, lookup, ["k"], how)) == rows_of(plain)
 
 
@@ -26,21 +26,31 @@ def test_only_measured_tables_are_broadcast(spark):
     assert joins.fits_broadcast(lookup, max_rows=100)
     assert not joins.fits_broadcast(lookup, max_rows=99)
     assert not joins.fits_broadcast(lookup, max_bytes=100)
-    assert "_salt" in plan_of(joins.lookup_join(big, lookup, ["id"], max_rows=99))
-
-
-def test_hot_key_is_spread(spark):
-    big = spark.range(20000).selectExpr("'hot' AS k", "id")
-    lookup = spark.createDataFrame([("hot", 1)], "k string, w int")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        sizes = joins.salted_join(big, lookup, ["k"]).rdd.glom().map(len).collect()
+        assert "Broadcast" not in plan_of(joins.lookup_join(big, lookup, ["id"], max_rows=99))
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert sum(sizes) == 20000
-    assert max(sizes) < 8000
+
+
+def test_hot_key_is_split(spark):
+    big = spark.range(300000).selectExpr("if(id % 3 = 0, 'hot', 'k' || id % 999) AS k", "id").repartition(8)
+    lookup = big.select("k").distinct().withColumn("w", big["k"])
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        joined = joins.lookup_join(big, lookup, ["k"], "left", max_rows=0)
+        assert joined.toPandas().shape[0] == 300000
+        assert "skew=true" in plan_of(joined) and "Generate" not in plan_of(joined)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
 
 
 @pytest.mark.parametrize("block", [1, 5, 256])

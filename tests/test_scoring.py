@@ -87,13 +87,13 @@ def recorder():
 
     class Recorder:
         def __call__(self, conversations):
-            if any("explode" in c[1]["content"] for c in conversations):
-                raise RuntimeError("no luck")
             return [self.one(c) for c in conversations]
 
         def one(self, conversation):
             body = conversation[1]["content"]
             ask = json.dumps({"sentiment": "P", "reason": f"asked {len(conversation)}: {body}"})
+            if "explode" in body:
+                return RuntimeError("no luck")
             if "silent" in body:
                 return None
             if "list" in body:
@@ -170,3 +170,25 @@ def test_reason_is_appended(spark):
     messages, _ = tagged(spark, ["foo"])
     scored = scoring.score_by_lexicon(messages.withColumn("Reason", F.lit("before ")), ["foo"], [])
     assert scoring.with_reason(scored).first()["Reason"] == "before a_one: only positive words\n"
+
+
+def test_no_request_is_repeated_when_one_fails(spark, tmp_path):
+    messages, rules = tagged(spark, [f"foo {i}" for i in range(20)] + ["foo explode"])
+
+    def make():
+        def scorer(conversations):
+            import uuid
+
+            for c in conversations:
+                assert c[0]["role"] == "system" and "a_one" in c[0]["content"]
+                (tmp_path / uuid.uuid4().hex).write_text(c[1]["content"])
+            if any("explode" in c[1]["content"] for c in conversations):
+                raise RuntimeError("no luck")
+            return ['{"sentiment":"P","reason":"r"}'] * len(conversations)
+
+        return scorer
+
+    scored = flows.model_scorer(make, rules, batch_size=1)(messages)
+    reasons = {r["id"]: r["results"][0]["reason"] for r in scored.collect()}
+    assert reasons == {**{i: "r" for i in range(20)}, 20: "no luck"}
+    assert len(list(tmp_path.iterdir())) == 21

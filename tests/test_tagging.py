@@ -13,7 +13,6 @@ from chatlens.schemas import SchemaError
 
 FORMS = {
     "native": {},
-    "batched": {"native_max_needles": 0},
     "joined": {"max_rules": 0},
 }
 
@@ -126,10 +125,9 @@ def test_tagging_does_not_shuffle(spark):
     raw, _ = random_case(1)
     rules = prepare_rules(keyword_table(spark, raw))
     messages = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    for options in ({}, {"native_max_needles": 0}):
-        tagged = tagging.tag_messages(messages, rules, message_col="text", **options)
-        main = plan_of(tagged).split("Subquery")[0] + plan_of(tagged).split("FileScan")[1]
-        assert "Exchange" not in main and "Join" not in main
+    tagged = tagging.tag_messages(messages, rules, message_col="text")
+    main = plan_of(tagged).split("Subquery")[0] + plan_of(tagged).split("FileScan")[1]
+    assert "Exchange" not in main and "Join" not in main
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan_of(tagged)
 
 
@@ -161,9 +159,22 @@ def test_rule_table(spark):
         prepare_rules(keyword_table(spark, raw).drop("idx"))
 
 
-def test_header_columns_have_a_limit(spark, monkeypatch):
-    rules = prepare_rules(keyword_table(spark, [("a", "one", "x", None), ("b", "one", "x", None)]))
-    assert tagging.header_names(rules) == ["a_one", "b_one"]
-    monkeypatch.setattr(tagging, "MAX_HEADER_COLUMNS", 1)
-    with pytest.raises(ValueError, match="long form"):
-        tagging.header_names(rules)
+def test_any_number_of_headers(spark):
+    table = spark.range(17_000).selectExpr(
+        "id AS idx", "'b' || id AS brand", "if(id % 9 = 0, 'generic', 'p') AS product",
+        "'word' || id AS keyword", "CAST(NULL AS string) AS required_product",
+    )
+    rules = prepare_rules(table)
+    index = tagging.index_rules(rules)
+    assert tagging.index_rules(rules, max_rules=10_000) is None
+    assert index.headers == tagging.header_names(rules)
+    assert len(index.headers) == 17_000
+
+
+def test_requirements_are_stored_once(spark):
+    raw = [("a", "two", f"k{i}", None) for i in range(100)] + [("a", "one", f"m{i}", "two") for i in range(100)]
+    index = tagging.index_rules(prepare_rules(keyword_table(spark, raw)))
+    assert [len(r) for r in index.requirements] == [100]
+    headers = [("a", f"generic{i}", "x", None) for i in range(30)] + [("ab", f"p{i}", "x", None) for i in range(30)]
+    rules = prepare_rules(keyword_table(spark, headers + [("a", "generic", "y", None)]))
+    assert tagging.build_index(tagging.rule_needles(rules), max_pairs=10) is None
