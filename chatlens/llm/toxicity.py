@@ -10,7 +10,9 @@ so two terms can be worse together than alone. The pair sum costs one pass over
 ``((sum v)**2 - sum v**2) / 2``.
 
 Fitting takes about ``sample_rows`` labelled rows. Spark counts the terms of the sample by label
-and keeps the ``n_terms`` with the largest likelihood ratio; only those, and the sample's terms
+and keeps the ``n_terms`` with the largest likelihood ratio, of those above ``min_ratio``, which
+few terms reach by chance, and of those in ``common_share`` of the rows, which may count together
+with others though not alone; only those, and the sample's terms
 among them, reach the driver. Scoring adds a column to any table, without a shuffle.
 
 Cases: a null or empty text has no terms and gets the score of the bias; unlabelled rows, null
@@ -156,6 +158,8 @@ def train(
     sample_rows: int = 20_000,
     n_terms: int = 2_000,
     min_rows: int = 3,
+    min_ratio: float = 15.0,
+    common_share: float = 0.4,
     hash_bits: int = 22,
 ) -> FactorMachine:
     """A model from ``labels(doc_id, <label>)``; ``sample_rows`` bounds what is fitted."""
@@ -187,6 +191,7 @@ def train(
         .groupBy("term")
         .agg(F.count(F.lit(1)).cast("double").alias("rows"), F.sum("label").alias("bad"))
         .where(F.col("rows") >= min_rows)
+        .where((2 * ratio >= min_ratio) | (F.col("rows") >= common_share * n))
         .orderBy(ratio.desc(), "term")
         .limit(n_terms)
     )

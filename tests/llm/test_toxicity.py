@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatlens.llm import toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, score string, label int, terms string"
 
 
