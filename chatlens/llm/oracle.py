@@ -40,5 +40,32 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op5_suffix_array_dedup": """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, s, md5(b[s + 1 : s + 400]) AS h FROM (
+    SELECT doc_id, b, unnest(range(greatest(0, n - 399))) AS s FROM d)
+), twice AS (
+  SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), starts AS (
+  SELECT doc_id, s, CASE WHEN s > lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) + 400
+    THEN 1 ELSE 0 END AS new
+  FROM w SEMI JOIN twice USING (h)
+), islands AS (
+  SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM starts
+), spans AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM islands GROUP BY doc_id, k
+), cuts AS (
+  SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS begins FROM spans
+  UNION ALL
+  SELECT d.doc_id, d.n, NULL, coalesce(max(s.hi), 0) FROM d LEFT JOIN spans s USING (doc_id)
+  GROUP BY d.doc_id, d.n
+)
+SELECT d.doc_id, any_value(d.n) AS n_bytes, CAST(coalesce(sum(c.hi - c.lo), 0) AS BIGINT) AS n_removed,
+       count(c.hi) AS n_spans,
+       sha256(unhex(string_agg(hex(d.b[c.begins + 1 : c.lo]), '' ORDER BY c.lo, c.begins))) AS kept_sha256
+FROM d JOIN cuts c USING (doc_id) GROUP BY d.doc_id
 """,
 }

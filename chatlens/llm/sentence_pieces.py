@@ -31,7 +31,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +132,7 @@ class PieceTable:
         return ids
 
     def decode(self, ids) -> str:
-        data = b"".join([self.text[i] for i in ids])
+        data = b"".join(map(self.text.__getitem__, ids))
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -281,36 +281,45 @@ def unit_ids(units: DataFrame, table: PieceTable) -> DataFrame:
     return lattice(units, table).select("unit", fold(F.col("unit"), F.col("edges")).alias("ids"))
 
 
+class RareUnits(dict):
+    """Ids of the units a worker has met that are not frequent, remembered up to a bound."""
+
+    def __init__(self, table: PieceTable):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = np.array(self.table.encode_unit(unit), np.int32).tobytes()
+        if len(self) < RARE_UNITS and len(unit) <= UNIT_CHARS:
+            self[unit] = ids
+        return ids
+
+
 def encode(docs: DataFrame, table: PieceTable, n_units: int = 200_000) -> DataFrame:
     """``docs`` with ``ids`` (array of int)."""
     spark = docs.sparkSession
     known = storage.keep(unit_ids(frequent_units(docs, n_units), table), "unit_ids")
     found = known.toPandas()
     shared = spark.sparkContext.broadcast(
-        {u: np.asarray(i, np.int32) for u, i in zip(found["unit"], found["ids"])}
+        {u: np.asarray(i, np.int32).tobytes() for u, i in zip(found["unit"], found["ids"])}
     )
     cut = re.compile(UNIT)
     key = ("rare_units", table.kind, zlib.crc32(repr(sorted(table.pieces.items())).encode()))
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        frequent, rare = shared.value, worker_store().setdefault(key, {})
-
-        def ids_of(unit: str) -> np.ndarray:
-            ids = frequent.get(unit)
-            if ids is None:
-                ids = rare.get(unit)
-            if ids is None:
-                ids = np.array(table.encode_unit(unit), np.int32)
-                if len(rare) < RARE_UNITS and len(unit) <= UNIT_CHARS:
-                    rare[unit] = ids
-            return ids
-
-        out = []
+    @F.arrow_udf("array<int>")
+    def encoded(texts: pa.Array) -> pa.Array:
+        frequent = shared.value
+        store = worker_store()
+        rare = store.setdefault(key, RareUnits(table))
+        parts, ends = [], [0]
         for text in texts:
-            units = cut.findall(MARK + text.replace(" ", MARK)) if text else []
-            out.append(np.concatenate([ids_of(u) for u in units]) if units else np.empty(0, np.int32))
-        return pd.Series(out)
+            text = text.as_py()
+            units = cut.findall(MARK + text.replace(" ", MARK)) if text else ()
+            ids = b"".join([frequent.get(u) or rare[u] for u in units])
+            parts.append(ids)
+            ends.append(ends[-1] + len(ids) // 4)
+        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     return docs.withColumn("ids", encoded("text"))
 
@@ -318,8 +327,8 @@ def encode(docs: DataFrame, table: PieceTable, n_units: int = 200_000) -> DataFr
 def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:
     """``encoded(ids)`` with ``decoded``."""
 
-    @F.pandas_udf("string")
-    def decoded(ids: pd.Series) -> pd.Series:
-        return pd.Series([table.decode(x.tolist() if x is not None else []) for x in ids])
+    @F.arrow_udf("string")
+    def decoded(ids: pa.Array) -> pa.Array:
+        return pa.array([table.decode(x.values.to_pylist() if x.is_valid else []) for x in ids], pa.string())
 
     return encoded.withColumn("decoded", decoded("ids"))
