@@ -49,42 +49,54 @@ def contains_join(
 ) -> DataFrame:
     """All distinct pairs (key, needle) where the text contains the needle, as an equi-join.
 
-    Each text is cut into its substrings of the lengths that occur among the needles, and these
-    are looked up by equality. The work per text does not depend on the number of needles, and no
-    pair is formed that does not match.
+    Each text is cut once at the length of the shortest needle. Pieces that begin no needle are
+    dropped; the others are cut at the lengths of the needles with that beginning and looked up by
+    equality. The work per text does not depend on the number of needles, and no pair is formed that
+    does not match.
     """
     wanted = needles.select(F.col(needle)).distinct()
-    lengths = wanted.agg(
-        F.array_sort(F.collect_set(F.char_length(needle))).alias("lengths")
-    ).scalar()
+    filled = wanted.where(F.char_length(needle) > 0)
+    size = F.char_length(needle)
+    bounds = wanted.agg(
+        F.min(F.nullif(size, F.lit(0))).alias("low"),
+        F.max(size).alias("high"),
+        F.bool_or(size == 0).alias("blank"),
+    ).first()
+    in_all = texts.where(F.col(text).isNotNull() & F.lit(bool(bounds["blank"])))
+    in_all = in_all.select(key, F.lit("").alias(needle))
+    if bounds["low"] is None:
+        return in_all.distinct()
+    low, high = bounds["low"], bounds["high"]
     # Blocks of bounded size: finding a position in a long text takes time proportional to it.
-    block = F.greatest(F.lit(BLOCK), F.array_max("_lengths")).cast("string")
     blocks = F.regexp_extract_all(
-        F.col(text), F.concat(F.lit("(?s).{1,"), block, F.lit("}")), F.lit(0)
-    )
-    per_length = (
-        texts.withColumn("_lengths", lengths)
-        .select(
-            key,
-            F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(blocks).alias("_blocks"),
-            F.explode("_lengths").alias("_length"),
-        )
+        F.col(text), F.lit(f"(?s).{{1,{max(BLOCK, high)}}}"), F.lit(0)
     )
     # a block and the start of the next one, so that no substring is cut in two
     pieces = F.transform(
         "_blocks",
-        lambda b, i: F.concat(
-            b, F.substring(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(1), F.col("_length") - 1)
+        lambda b, i: F.struct(
+            F.char_length(b).alias("size"),
+            F.concat(
+                b, F.left(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(high - 1))
+            ).alias("text"),
         ),
     )
     per_piece = (
-        per_length.select(key, "_length", F.explode(pieces).alias("_piece"))
-        .withColumn("_starts", F.char_length("_piece") - F.col("_length") + 1)
-        .where("_starts > 0")
+        texts.select(key, blocks.alias("_blocks"))
+        .select(key, F.explode(pieces).alias("_piece"))
+        .withColumn("_start", F.explode(F.sequence(F.lit(1), F.col("_piece.size"))))
+        .select(key, F.substring("_piece.text", F.col("_start"), F.lit(high)).alias("_cut"))
+        .withColumn("_begin", F.left("_cut", F.lit(low)))
+        .where(F.char_length("_begin") == low)
+    )
+    beginnings = filled.groupBy(F.left(needle, F.lit(low)).alias("_begin")).agg(
+        F.collect_set(size).alias("_lengths")
     )
     cut = (
-        per_piece.withColumn("_start", F.explode(F.sequence(F.lit(1), F.col("_starts"))))
-        .withColumn(needle, F.substring(F.col("_piece"), F.col("_start"), F.col("_length")))
-        .select(key, needle)
+        lookup_join(per_piece, beginnings, ["_begin"])
+        .select(key, "_cut", F.explode("_lengths").alias("_length"))
+        .where(F.char_length("_cut") >= F.col("_length"))
+        .select(key, F.left("_cut", F.col("_length")).alias(needle))
     )
-    return lookup_join(cut, wanted, [needle]).select(key, needle).distinct()
+    found = lookup_join(cut, filled, [needle]).select(key, needle)
+    return found.unionByName(in_all).distinct()
