@@ -48,6 +48,8 @@ UNIT = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 UNIT_CHARS = 64
 RARE_UNITS = 100_000
 UNKNOWN_PENALTY = 10.0
+SHORT_CHARS = 40
+NO_PIECE = float("-inf")
 
 
 @dataclass
@@ -61,6 +63,7 @@ class PieceTable:
     def __post_init__(self):
         self.longest = max((len(p) for p in self.pieces), default=1)
         low = min((s for _, s in self.pieces.values()), default=0.0)
+        self.score = {p: s for p, (_, s) in self.pieces.items()}
         self.unknown_score = low - UNKNOWN_PENALTY
         self.text = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()}
         self.text |= {i: bytes([b]) for b, i in enumerate(self.bytes)}
@@ -76,6 +79,34 @@ class PieceTable:
 
     def merge(self, unit: str) -> list[int]:
         """Join the neighbours that make the best piece, leftmost first, until none do."""
+        return self._merge_long(unit) if len(unit) > SHORT_CHARS else self._merge_short(unit)
+
+    def _merge_short(self, unit: str) -> list[int]:
+        """By looking at all neighbours for every join."""
+        part = list(unit)
+        scores = [self.score.get(a + b, NO_PIECE) for a, b in zip(part, part[1:])]
+        while scores:
+            best = max(scores)
+            if best == NO_PIECE:
+                break
+            i = scores.index(best)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = self.score.get(part[i - 1] + part[i], NO_PIECE)
+            if i < len(scores):
+                scores[i] = self.score.get(part[i] + part[i + 1], NO_PIECE)
+        return self._ids(part)
+
+    def _ids(self, part: list) -> list[int]:
+        ids: list[int] = []
+        for p in part:
+            if p is not None:
+                ids += [self.pieces[p][0]] if p in self.pieces else self.of_char(p)
+        return ids
+
+    def _merge_long(self, unit: str) -> list[int]:
+        """By a queue of joins, for units of any length."""
         part: list[str | None] = list(unit)
         after = list(range(1, len(part) + 1))
         before = list(range(-1, len(part) - 1))
@@ -99,11 +130,7 @@ class PieceTable:
                 before[after[i]] = i
             offer(before[i], i)
             offer(i, after[i])
-        ids: list[int] = []
-        for p in part:
-            if p is not None:
-                ids += [self.pieces[p][0]] if p in self.pieces else self.of_char(p)
-        return ids
+        return self._ids(part)
 
     def viterbi(self, unit: str) -> list[int]:
         """Path with the best sum of scores; of equal ones that with the shorter last pieces."""
@@ -295,7 +322,7 @@ class RareUnits(dict):
         return ids
 
 
-def encode(docs: DataFrame, table: PieceTable, n_units: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, n_units: int = 300_000) -> DataFrame:
     """``docs`` with ``ids`` (array of int)."""
     spark = docs.sparkSession
     known = storage.keep(unit_ids(frequent_units(docs, n_units), table), "unit_ids")
