@@ -8,8 +8,9 @@ out as nested conditions, scores them. What the forest takes for a secret is a f
 
 The forest is fitted by Spark on labelled findings ``left, value, right, label``. ``labelled_findings``
 makes such a table from a bounded sample of about ``sample_docs`` documents: their own candidates,
-labelled by whether they are assigned to a secret's name, and values derived from them in places
-known to be secrets or harmless. A table of own, reviewed findings can be given instead.
+labelled by whether they are assigned to a secret's name or have a secret's form, and values derived
+from them in places known to be secrets or harmless; private keys and tokens with a provider's
+prefix are secrets wherever they stand. A table of own, reviewed findings can be given instead.
 
 Cases: a null text has no candidates and stays null; candidates of any length and number are
 scored; a null ``doc_id`` and repeated rows are scanned like all others; an empty table gives no
@@ -40,6 +41,12 @@ PATTERN = f"{_KEY}|{_LONG}|{_NAMED}"
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private|credential|auth|bearer"
 HASH_WORDS = "commit|sha-?\\d|md5|checksum|digest|etag|uuid|revision|version|build|order|card|phone|number|isbn"
 SAMPLE_WORDS = "example|sample|test|dummy|placeholder|your|changeme|xxx|fake"
+#: What a secret shows by itself, wherever it stands: the mark of a private key, a provider's prefix.
+KNOWN_FORMS = (
+    "^-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY|^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[opsur]_[A-Za-z0-9]{20}|^github_pat_[A-Za-z0-9]"
+    "|^glpat-[A-Za-z0-9_-]{16}|^sk-(?=\\S*[0-9])[A-Za-z0-9_-]{16}|^[sr]k_(?:live|test)_[A-Za-z0-9]{12}|^xox[abeoprs]-[A-Za-z0-9-]{10}"
+    "|^AIza[A-Za-z0-9_-]{30}|^eyJ[A-Za-z0-9_-]{12}|^SG\\.[A-Za-z0-9_-]{12}|^(?:npm|hf)_[A-Za-z0-9]{20}"
+)
 #: Frequent parts of names and placeholders, as the dictionary of coverage.
 DICTIONARY = (
     "about access account action address admin album api app article asset auth author backup "
@@ -96,7 +103,9 @@ def features(left: Column, value: Column, right: Column) -> dict[str, Column]:
         "quoted": _flag(left, "[\"'`]$") * _flag(right, "^[\"'`]"),
         "secret_word": _flag(before, f"(?:{SECRET_WORDS})[a-z_-]{{0,12}}\\s?[=:]?\\s?[\"'`]?$"),
         "hash_word": _flag(before, f"\\b(?:{HASH_WORDS})[^a-z]{{0,4}}$"),
-        "sample_word": _flag(F.concat(F.right(before, F.lit(24)), F.lit(" "), low), SAMPLE_WORDS),
+        # A key's body may hold any letters.
+        "sample_word": _flag(F.concat(F.right(before, F.lit(24)), F.lit(" "), F.regexp_replace(low, "^-----begin[\\s\\S]*", "")), SAMPLE_WORDS),
+        "known_form": _flag(value, KNOWN_FORMS),
     }
 
 
@@ -169,12 +178,35 @@ def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
     cut = texts.select(candidates(text).alias("c"), between(text).alias("b"))
     real = cut.select(F.explode(_neighbourhoods(F.col("c"), F.col("b"))).alias("x")).select("x.*")
     named = F.rlike("left", F.lit(f"(?i)(?:{SECRET_WORDS})[a-z_-]{{0,12}}\\s?[=:]\\s?[\"'`]?$"))
-    real = real.withColumn("label", named & ~F.rlike("value", F.lit(f"(?i){SAMPLE_WORDS}")))
+    sample = F.rlike("value", F.lit(f"(?i)^(?!-----BEGIN)[\\s\\S]*(?:{SAMPLE_WORDS})"))
+    real = real.withColumn("label", (named | F.rlike("value", F.lit(KNOWN_FORMS))) & ~sample)
     words = F.regexp_extract(text, "(\\S+\\s+\\S+\\s+)", 1)
     md5, sha1, sha2 = F.md5(text), F.sha1(text), F.sha2(text, 256)
     mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(text, 512))), "[+/=\\s]", "x")
     digits = F.translate(F.left(md5, F.lit(16)), "abcdef", "123456")
     dashed = F.concat_ws("-", *[F.substring(md5, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 12))])
+    lines = [F.left(F.base64(F.unhex(F.sha2(F.concat(sha2, F.lit(str(i))), 512))), F.lit(64)) for i in range(4)]
+    small = F.left(F.regexp_replace(lines[3], "[+/]", "x"), F.lit(40))
+    capital = F.translate(F.upper(F.left(sha1, F.lit(16))), "ABCDEF", "QWZKXM")
+
+    def key(kind: str, *body: Column) -> Column:
+        return F.concat_ws("\n", F.lit(f"-----BEGIN {kind}PRIVATE KEY-----"), *body, F.lit(f"-----END {kind}PRIVATE KEY-----"))
+
+    def token(prefix: str, size: int) -> Column:
+        return F.concat(F.lit(prefix), F.left(small, F.lit(size)))
+
+    alone = [
+        ("", key("RSA ", *lines * 6), "\n"), ("\n", key("", *lines * 7), " "), ("key: ", key("EC ", *lines[:3]), "\n"),
+        ("", key("OPENSSH ", *lines), ""), ("", key("RSA ", lines[0], F.left(lines[1], F.lit(20))), " "), ("\n", key("", F.left(lines[2], F.lit(12))), "\n"),
+        ("", F.concat(F.lit("AKIA"), capital), " "), ("key ", F.concat(F.lit("ASIA"), capital), "\n"), ("", token("ghp_", 36), " "),
+        ("(", token("gho_", 36), ")"), ("use ", token("sk-", 40), "."), ("", token("sk_live_", 24), ","), ("\n", token("glpat-", 20), "\n"),
+        ("`", F.concat(F.lit("xoxb-"), F.translate(F.left(md5, F.lit(11)), "abcdef", "123456"), F.lit("-"), F.left(small, F.lit(24))), "`"),
+        ("", token("AIza", 35), " "), ('"', token("eyJ", 40), '"'),
+    ]
+    bare = [
+        *[("", F.left(mixed, F.lit(n)), " ") for n in (17, 20, 24, 32, 40, 56)], ("", small, "\n"), ("id ", F.left(small, F.lit(22)), ","),
+        ("", capital, " "), ("(", F.upper(F.left(mixed, F.lit(20))), ")"), ('"', F.left(mixed, F.lit(36)), '"'), ("`", F.left(small, F.lit(28)), "`"),
+    ]
     made = [
         ('token = "', sha1, '"', 1), ("api_key: ", md5, "\n", 1), ("password = '", F.left(mixed, F.lit(18)), "'", 1),
         ("Authorization: Bearer ", mixed, " ", 1), ("client_secret=", F.upper(sha1), "&", 1),
@@ -193,7 +225,7 @@ def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
                 F.lit(b).alias("right"),
                 F.lit(bool(y)).alias("label"),
             )
-            for a, v, b, y in made
+            for a, v, b, y in made + [(*x, 1) for x in alone] + [(*x, 0) for x in bare]
         ]
     )
     derived = texts.select(F.explode(rows).alias("x")).select("x.*")
