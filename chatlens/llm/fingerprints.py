@@ -115,12 +115,23 @@ def with_next(
         F.percentile_approx("doc_id", cuts, 10 * parts).alias("cuts"), F.min("doc_id").alias("first")
     ).head()
     first = known["first"]
-    bounds = np.array(sorted({b for b in known["cuts"] or [] if b > first}), np.int64)
+    near = np.array(sorted({b for b in known["cuts"] or [] if b > first}), np.int64)
 
+    @F.pandas_udf("int")
+    def near_range(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(near, ids.to_numpy().astype(np.int64), side="right"))
+
+    # percentile_approx computes in float64: a bound is the first id that exists from there on.
+    whole_ids = docs.select(F.col("doc_id").cast("long").alias("id")).where(F.col("id").isNotNull())
+    firsts = whole_ids.groupBy(near_range("id").alias("range")).agg(F.min("id").alias("id"))
+    exact = {r["id"] for r in firsts.collect()} if len(near) else set()
+    bounds = np.array(sorted(b for b in exact if b > first), np.int64)
+
+    # Nulls are filled here: pandas would round the ids of a batch with nulls to float64.
     @F.pandas_udf("array<struct<range: int, ahead: boolean>>")
-    def places(ids: pd.Series) -> pd.Series:
-        null = ids.isna().to_numpy()
-        whole = ids.fillna(0).to_numpy().astype(np.int64)
+    def places(ids: pd.Series, nulls: pd.Series) -> pd.Series:
+        null = nulls.to_numpy(bool)
+        whole = ids.to_numpy().astype(np.int64)
         at = np.where(null, len(bounds), np.searchsorted(bounds, whole, side="right"))
         out = []
         for value, missing, part in zip(whole, null, at):
@@ -134,7 +145,8 @@ def with_next(
         return pd.Series(out)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("place", F.explode(places("doc_id"))).select(
+    filled = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    rows = rows.withColumn("place", F.explode(places(filled, F.isnull("doc_id")))).select(
         "place.range", "place.ahead", "doc_id", "text"
     )
     order = ["range", "ahead", F.col("doc_id").asc_nulls_last(), "text"]

@@ -92,3 +92,13 @@ def test_next_document(spark, ids):
 
 def test_empty_table(spark):
     assert fp.compare_with_edited(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_next_document_of_wide_ids_and_nulls(spark):
+    """Ids that float64 cannot tell apart, in batches with nulls."""
+    r = random.Random(5)
+    ids = [2**62 + 3 * i for i in range(200)] + [-(2**62) - i for i in range(50)] + [None] * 5
+    rows = [(i, " ".join(r.choices(["a", "bb", "ccc", "dd"], k=r.randint(1, 30)))) for i in ids]
+    r.shuffle(rows)
+    got = fp.compare_with_edited(table(spark, rows)).collect()
+    assert sorted((tuple(x) for x in got), key=str) == expected(rows)
