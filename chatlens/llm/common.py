@@ -55,7 +55,7 @@ def word_parts(data: bytes, overlap: int, part_bytes: int = PART_BYTES) -> Itera
         end = cut.start() if cut else len(data)
         words = last + data[start:end].split()
         yield words
-        last = words[len(words) - overlap :] if overlap else []
+        last = words[-overlap:] if overlap else []
         start = end
 
 

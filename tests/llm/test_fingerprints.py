@@ -102,3 +102,13 @@ def test_next_document_of_wide_ids_and_nulls(spark):
     r.shuffle(rows)
     got = fp.compare_with_edited(table(spark, rows)).collect()
     assert sorted((tuple(x) for x in got), key=str) == expected(rows)
+
+
+@pytest.mark.parametrize("part_bytes", [1, 2, 4, 7, 12, 30])
+def test_shingles_of_small_parts(part_bytes):
+    """Parts of fewer words than the overlap lose none."""
+    for text in (b"a b <huge> c d e f g", b"a b c d e f g h i j k", b"a bb ccc dddd", b" a  b\nc d e "):
+        w = text.split()
+        runs = [b" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or [b" ".join(w)]
+        got = np.concatenate(list(fp.shingle_hashes(text, 5, part_bytes=part_bytes)))
+        assert got.tolist() == np.concatenate([list(fp.shingle_hashes(x, 5))[0] for x in runs]).tolist()
