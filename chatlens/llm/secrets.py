@@ -31,22 +31,36 @@ from chatlens import storage
 from chatlens.llm.common import let
 
 PLACEHOLDER = "[SECRET]"
-LEFT_CHARS = 48
+LEFT_CHARS = 80
 RIGHT_CHARS = 16
-_KEY = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\\s]++-----END [A-Z ]{0,40}PRIVATE KEY-----"
-_LONG = "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-_NAMED = "(?<=(?:password|passwd|secret|Password|PASSWORD)\\s?[=:]\\s?[\"']?)[^\\s\"']{6,}+"
-PATTERN = f"{_KEY}|{_LONG}|{_NAMED}"
-
-SECRET_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private|credential|auth|bearer"
+SECRET_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private|credential|auth(?!ors?\\b|orit)|bearer"
 HASH_WORDS = "commit|sha-?\\d|md5|checksum|digest|etag|uuid|revision|version|build|order|card|phone|number|isbn"
 SAMPLE_WORDS = "example|sample|test|dummy|placeholder|your|changeme|xxx|fake"
+#: A name and what assigns a value to it, in lower or upper case; of bounded length, as it is looked back at.
+_SCHEME = "(?:(?:bearer|basic)\\s{1,4})?"
+_ASSIGNED = f"(?:{SECRET_WORDS})[a-z0-9_-]{{0,20}}[\"'`]?\\]?\\s{{0,16}}[=:]{{1,2}}>?\\s{{0,16}}[\"'`]?{_SCHEME}"
+_KEY = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_LONG = (
+    "(?<![A-Za-z0-9_+/-])(?=[_+/-]*+[A-Za-z0-9])(?:(?:eyJ|SG\\.)[A-Za-z0-9_-]{6,}+(?:\\.[A-Za-z0-9_-]{6,}+)++"
+    "|[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\"'`-]))?+)"
+)
+# The look-behinds before the last only save time.
+_NAMED = (
+    "(?<=[=:>\\s\"'`])(?=[^\\s\"'`=:>])(?!(?i:bearer|basic)\\s)"
+    f"(?<=[=:>]\\s{{0,16}}[\"'`]?(?i:{_SCHEME}))(?<=(?i:{_ASSIGNED}))"
+    "(?:(?<=[\"'`])[^\"'`\\r\\n]{1,256}+(?=[\"'`])|[^\\s\"'`]++)"
+)
+PATTERN = f"{_KEY}|{_NAMED}|{_LONG}"
+
 #: What a secret shows by itself, wherever it stands: the mark of a private key, a provider's prefix.
 KNOWN_FORMS = (
     "^-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY|^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[opsur]_[A-Za-z0-9]{20}|^github_pat_[A-Za-z0-9]"
     "|^glpat-[A-Za-z0-9_-]{16}|^sk-(?=\\S*[0-9])[A-Za-z0-9_-]{16}|^[sr]k_(?:live|test)_[A-Za-z0-9]{12}|^xox[abeoprs]-[A-Za-z0-9-]{10}"
     "|^AIza[A-Za-z0-9_-]{30}|^eyJ[A-Za-z0-9_-]{12}|^SG\\.[A-Za-z0-9_-]{12}|^(?:npm|hf)_[A-Za-z0-9]{20}"
 )
+#: Prose, and values that are looked up, called or missing.
+PLAIN_WORD = "^[(\\[]?\\p{L}\\p{Ll}*[.,;:!?)\\]]*$"
+CODE = "[(\\[{<$]|^[A-Za-z_]+(?:\\.[A-Za-z_]+)+[;,)]*$|^(?i:none|null|nil|true|false|undefined|str|string|int)[;,)]*$"
 #: Frequent parts of names and placeholders, as the dictionary of coverage.
 DICTIONARY = (
     "about access account action address admin album api app article asset auth author backup "
@@ -99,13 +113,15 @@ def features(left: Column, value: Column, right: Column) -> dict[str, Column]:
         "slashes": F.regexp_count(value, F.lit("/")) / size,
         "path_left": _flag(left, "(?:[/\\\\.]|://\\S*)$"),
         "path_right": _flag(right, "^\\.[A-Za-z]|^[/\\\\]"),
-        "assigned": _flag(left, "[=:]\\s?[\"'`]?$|[Bb]earer $"),
+        "assigned": _flag(left, "[=:]>?\\s{0,16}[\"'`]?$|[Bb]earer\\s{1,4}$"),
         "quoted": _flag(left, "[\"'`]$") * _flag(right, "^[\"'`]"),
-        "secret_word": _flag(before, f"(?:{SECRET_WORDS})[a-z_-]{{0,12}}\\s?[=:]?\\s?[\"'`]?$"),
+        "secret_word": _flag(before, f"(?:{_ASSIGNED}|bearer\\s{{1,4}})$"),
         "hash_word": _flag(before, f"\\b(?:{HASH_WORDS})[^a-z]{{0,4}}$"),
         # A key's body may hold any letters.
         "sample_word": _flag(F.concat(F.right(before, F.lit(24)), F.lit(" "), F.regexp_replace(low, "^-----begin[\\s\\S]*", "")), SAMPLE_WORDS),
         "known_form": _flag(value, KNOWN_FORMS),
+        "word": _flag(value, PLAIN_WORD),
+        "code": _flag(value, CODE),
     }
 
 
@@ -177,15 +193,25 @@ def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
     text = F.col("text")
     cut = texts.select(candidates(text).alias("c"), between(text).alias("b"))
     real = cut.select(F.explode(_neighbourhoods(F.col("c"), F.col("b"))).alias("x")).select("x.*")
-    named = F.rlike("left", F.lit(f"(?i)(?:{SECRET_WORDS})[a-z_-]{{0,12}}\\s?[=:]\\s?[\"'`]?$"))
+    quoted = F.rlike("left", F.lit("[\"'`]$"))
+    prose = F.rlike("value", F.lit(PLAIN_WORD)) | F.rlike("value", F.lit(CODE))
+    named = F.rlike("left", F.lit(f"(?i){_ASSIGNED}$")) & (quoted | ~prose)
     sample = F.rlike("value", F.lit(f"(?i)^(?!-----BEGIN)[\\s\\S]*(?:{SAMPLE_WORDS})"))
     real = real.withColumn("label", (named | F.rlike("value", F.lit(KNOWN_FORMS))) & ~sample)
-    words = F.regexp_extract(text, "(\\S+\\s+\\S+\\s+)", 1)
-    md5, sha1, sha2 = F.md5(text), F.sha1(text), F.sha2(text, 256)
-    mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(text, 512))), "[+/=\\s]", "x")
+    # What is derived is computed once a text, then dealt out.
+    start = F.left(text, F.lit(400))
+    base = texts.select(
+        F.regexp_extract(start, "(\\S+\\s+\\S+\\s+)", 1).alias("words"), F.regexp_extract(start, "(\\p{L}+)", 1).alias("word"),
+        F.left(F.regexp_replace(start, "[^A-Za-z]", ""), F.lit(24)).alias("joined"), F.md5(text).alias("md5"), F.sha1(text).alias("sha1"),
+        F.sha2(text, 256).alias("sha2"), F.regexp_replace(F.base64(F.unhex(F.sha2(text, 512))), "[+/=\\s]", "x").alias("mixed"),
+    )
+    base = base.select(
+        "*", *[F.left(F.base64(F.unhex(F.sha2(F.concat("sha2", F.lit(str(i))), 512))), F.lit(64)).alias(f"line{i}") for i in range(4)]
+    )
+    words, word, joined, md5, sha1, sha2, mixed = [F.col(n) for n in ("words", "word", "joined", "md5", "sha1", "sha2", "mixed")]
     digits = F.translate(F.left(md5, F.lit(16)), "abcdef", "123456")
     dashed = F.concat_ws("-", *[F.substring(md5, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 12))])
-    lines = [F.left(F.base64(F.unhex(F.sha2(F.concat(sha2, F.lit(str(i))), 512))), F.lit(64)) for i in range(4)]
+    lines = [F.col(f"line{i}") for i in range(4)]
     small = F.left(F.regexp_replace(lines[3], "[+/]", "x"), F.lit(40))
     capital = F.translate(F.upper(F.left(sha1, F.lit(16))), "ABCDEF", "QWZKXM")
 
@@ -203,6 +229,18 @@ def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
         ("`", F.concat(F.lit("xoxb-"), F.translate(F.left(md5, F.lit(11)), "abcdef", "123456"), F.lit("-"), F.left(small, F.lit(24))), "`"),
         ("", token("AIza", 35), " "), ('"', token("eyJ", 40), '"'),
     ]
+    letters = F.translate(sha1, "0123456789", "ghijklmnop")
+    short = [
+        ('"password": "', F.left(small, F.lit(8)), '"', 1), ("pwd=", F.left(small, F.lit(10)), "\n", 1), ("token=", F.left(md5, F.lit(8)), "\n", 1),
+        ('api_key: "', F.left(md5, F.lit(12)), '"', 1), ("auth: ", F.left(small, F.lit(9)), "\n", 1), ("password  =  ", F.left(small, F.lit(7)), "\n", 1),
+        ("secret:  '", F.left(small, F.lit(6)), "'", 1), ('passwd = "', word, '"', 1), ("PASSWORD=", F.concat(F.left(letters, F.lit(6)), F.left(digits, F.lit(2))), "\n", 1),
+        ('token = "', F.left(letters, F.lit(24)), '"', 1), ("secret_key: ", F.left(letters, F.lit(32)), "\n", 1), ('"auth": "', F.left(letters, F.lit(9)), '"', 1),
+        ("pwd: ", F.concat(F.left(letters, F.lit(6)), F.lit("2"), F.left(letters, F.lit(1))), "\n", 1), ('"password": "', F.concat(word, F.left(digits, F.lit(2))), '"', 1),
+        ("the password: ", word, " ", 0), ("token: ", F.concat(word, F.lit(",")), " ", 0), ("a secret:\n", word, " ", 0), ("credentials: ", F.concat(word, F.lit(".")), "\n", 0),
+        ("token = ", F.concat(F.lit("get_"), word, F.lit("()")), "\n", 0), ("password = ", F.lit("None"), "\n", 0), ("secret = ", F.concat(F.lit("self."), F.lower(word)), "\n", 0),
+        ("", joined, " ", 0), ("", F.lower(joined), " ", 0), ("export ", F.concat(F.upper(F.left(joined, F.lit(8))), F.lit("_SECRET_KEY")), "=", 0),
+        ("in ", F.concat(F.lit("usr/share/"), F.lower(joined)), " ", 0), ("", F.concat_ws("-", F.lower(word), F.lower(joined)), ",", 0),
+    ]
     bare = [
         *[("", F.left(mixed, F.lit(n)), " ") for n in (17, 20, 24, 32, 40, 56)], ("", small, "\n"), ("id ", F.left(small, F.lit(22)), ","),
         ("", capital, " "), ("(", F.upper(F.left(mixed, F.lit(20))), ")"), ('"', F.left(mixed, F.lit(36)), '"'), ("`", F.left(small, F.lit(28)), "`"),
@@ -225,21 +263,31 @@ def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
                 F.lit(b).alias("right"),
                 F.lit(bool(y)).alias("label"),
             )
-            for a, v, b, y in made + [(*x, 1) for x in alone] + [(*x, 0) for x in bare]
+            for a, v, b, y in made + short + [(*x, 1) for x in alone] + [(*x, 0) for x in bare]
         ]
     )
-    derived = texts.select(F.explode(rows).alias("x")).select("x.*")
+    derived = base.select(F.explode(rows).alias("x")).select("x.*")
     return real.unionByName(derived).withColumn("label", F.col("label").cast("double"))
 
 
 def _neighbourhoods(found: Column, gaps: Column) -> Column:
-    """``left, value, right`` of each candidate."""
+    """``left, value, right`` of each candidate; a name beside it may be a candidate itself."""
+
+    def near(cut, part: Column, n: int) -> Column:
+        return F.coalesce(cut(part, F.lit(n)), F.lit(""))
+
     return F.transform(
         found,
         lambda v, i: F.struct(
-            F.right(F.get(gaps, i), F.lit(LEFT_CHARS)).alias("left"),
+            F.right(
+                F.concat(near(F.right, F.get(found, i - 1), LEFT_CHARS), near(F.right, F.get(gaps, i), LEFT_CHARS)),
+                F.lit(LEFT_CHARS),
+            ).alias("left"),
             v.alias("value"),
-            F.left(F.get(gaps, i + 1), F.lit(RIGHT_CHARS)).alias("right"),
+            F.left(
+                F.concat(near(F.left, F.get(gaps, i + 1), RIGHT_CHARS), near(F.left, F.get(found, i + 1), RIGHT_CHARS)),
+                F.lit(RIGHT_CHARS),
+            ).alias("right"),
         ),
     )
 
