@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.llm import (
+    alignment,
     chat_format,
     fingerprints,
     line_dedup,
+    minhash,
     packing,
     quality,
+    resampling,
     secrets,
     sentence_pieces,
     simhash,
@@ -137,6 +140,26 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, folder), shingle=4, percent=80)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(
+        documents(spark, folder),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return resampling.resample(
+        documents(spark, folder), benchmark, percent=10, max_words=1, buckets=10_000, seed=2024, min_words=20
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -148,4 +171,7 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_importance_resampling": op13_importance_resampling,
 }
