@@ -440,10 +440,14 @@ FROM merged JOIN natures ON gus_id = "Source\"""",
         [*TAGGING, PROMPTS, MODEL],
         """SELECT conv_id, turn, header, success, sentiment, reason FROM scored""",
     ),
-    "csv_bad_files": """SELECT v.* FROM (VALUES
-  ('latin.csv', 'bytes that are not UTF-8'), ('long.csv', 'record longer than the header'),
-  ('open.csv', 'quote that is never closed')) v(file_name, fault)
-WHERE EXISTS (SELECT 1 FROM conversations)""",
+    "csv_bad_files": """SELECT DISTINCT v.*, conv_id % 8 AS file FROM conversations, (VALUES
+  ('latin', 'bytes that are not UTF-8'), ('long', 'record longer than the header'),
+  ('open', 'quote that is never closed')) v(kind, fault)""",
+    "csv_many_headers": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
+  CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""",
+    "csv_quoted_header": """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn,
+  CAST(length(body) AS INTEGER) AS size, sha256(body) AS body_sha256
+FROM (SELECT conv_id, turn, coalesce(text, '') || chr(10) || ', "end"' AS body FROM conversations)""",
     "csv_trailing_commas": """SELECT CAST(conv_id AS VARCHAR) AS conv_id,
   CAST(turn AS VARCHAR) AS turn, role FROM conversations""",
     "list_files": """SELECT 'c' || name AS gus_id, CAST(NULL AS VARCHAR) AS group_nature
@@ -476,7 +480,7 @@ FROM events e JOIN last l ON l.gus_id = 'user' || e.user_id WHERE length(l.natur
     ),
     "rules_of_header": _with(PART, "SELECT idx, keyword FROM resolved WHERE headers = 'b1_generic'"),
     "empty_folders": _with(
-        [BASE], f"SELECT 'none' AS sheet, {CANONICAL} FROM base WHERE conv_id < -1"
+        [BASE], f"""SELECT "Source" AS sheet, {CANONICAL} FROM base WHERE "Source" <> 'grp0'"""
     ),
     "final_by_sheet": _final("any_value(b.sheet) AS sheet, "),
 }

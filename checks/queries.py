@@ -451,16 +451,31 @@ def offline_scores(spark, sf):
 # files of all kinds
 
 
-def _text_file(rows: DataFrame, path: str) -> None:
-    rows.write.option("quote", "").option("sep", "\u0001").csv(path)
-
-
-def _csv_lines(df: DataFrame, header: str, line, last: str | None = None) -> DataFrame:
-    """A header line, one line per row and perhaps a last one, in one file."""
-    ends = [(0, header)] + ([(2, last)] if last else [])
-    ends = df.sparkSession.createDataFrame(ends, "n int, value string")
-    body = df.select(F.lit(1).alias("n"), line.alias("value"))
-    return ends.union(body).coalesce(1).sortWithinPartitions("n").select("value")
+PARTS = 8
+
+
+def _csv_files(rows: DataFrame, path: str, header, line, last: str | None = None, encoding: str = "UTF-8") -> None:
+    """Raw text as files below ``path``, one for each value of ``file``; each has a header and perhaps a last line.
+
+    ``header`` and ``line`` are expressions; the header must be the same in all rows of a file.
+    """
+    rows = rows.select("file", header.alias("header"), line.alias("value"))
+    ends = [F.struct(F.lit(0).alias("n"), F.col("header").alias("value"))]
+    if last:
+        ends.append(F.struct(F.lit(2).alias("n"), F.lit(last).alias("value")))
+    extra = rows.select("file", "header").distinct().select("file", F.explode(F.array(*ends)).alias("x"))
+    texts = rows.select("file", F.lit(1).alias("n"), "value").union(extra.select("file", "x.n", "x.value"))
+    texts = texts.withColumn("row", F.monotonically_increasing_id())
+    # line by line, as the sink would put signs around a value with line breaks
+    (
+        texts.select("file", "n", "row", F.posexplode(F.split("value", "\n")).alias("k", "value"))
+        .repartition("file")
+        .sortWithinPartitions("file", "n", "row", "k")
+        .select("file", "value")
+        .write.partitionBy("file")
+        .options(quote="", sep="\u0001", emptyValue="", encoding=encoding)
+        .csv(path)
+    )
 
 
 def _chat_tree(spark, sf, folder):
@@ -512,58 +527,91 @@ def scan_chat_csv(spark, sf):
     return found.groupBy(*EXPORT_COLUMNS).agg(F.count("*").alias("n"))
 
 
+def _group_parts(spark, sf, folder: str, parts: int, write) -> None:
+    """The group info in ``parts`` files, range by range, each in order."""
+    groups = fx.customer_groups(spark, sf)
+    ordered = groups.repartitionByRange(parts, "idx").sortWithinPartitions("idx").drop("idx")
+    write(ordered, folder)
+
+
 @query
 def scan_group_info(spark, sf):
+    """A lookup of several part files in the order of their names."""
     path = f"{new_folder(spark, 'groups')}/groups.csv"
-    ordered = fx.customer_groups(spark, sf).orderBy("idx").coalesce(1).drop("idx")
-    sinks.write_template(ordered, path)
+    _group_parts(spark, sf, path, PARTS, sinks.write_template)
     return lookups.scan_group_info(spark, path)
 
 
 @query
 def lookup_parts(spark, sf):
-    """A lookup of four part files without ``idx``: the last row by file and place wins."""
+    """A lookup of part files without ``idx``: the last row by file and place wins."""
     folder = f"{new_folder(spark, 'parts')}.parquet"
     groups = fx.customer_groups(spark, sf)
+    # each of the four folders has its rows in several files
     for k in range(4):
-        part = groups.where(F.col("idx") % 4 == k).orderBy("idx").coalesce(1).drop("idx")
-        part.write.parquet(f"{folder}/part={k}")
+        part = groups.where(F.col("idx") % 4 == k).repartitionByRange(PARTS, "idx")
+        part.sortWithinPartitions("idx").drop("idx").write.parquet(f"{folder}/part={k}")
     info = lookups.scan_group_info(spark, folder)
     return routing.route_chats(fx.event_exports(spark, sf), info).select("event_id", "Source", "nature")
 
 
 @query
 def csv_bad_files(spark, sf):
-    """One file of each kind that no reader should trust, next to sound ones."""
+    """Files of each kind that no reader should trust, next to sound ones."""
     base = fx.table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    base = base.withColumn("file", F.col("conv_id") % PARTS)
+    header = F.lit("conv_id,turn,role")
     line = F.concat_ws(",", "conv_id", "turn", "role")
     folder = new_folder(spark, "bad")
-    _text_file(_csv_lines(base, "conv_id,turn,role", line), f"{folder}/good.csv")
-    longer = F.concat(line, F.lit(",,,x"))
-    _text_file(_csv_lines(base, "conv_id,turn,role", longer), f"{folder}/long.csv")
-    quoted = _csv_lines(base, "conv_id,turn,role", line, '0,0,"never closed')
-    _text_file(quoted, f"{folder}/open.csv")
-    latin = F.concat(line, F.lit("é"))
-    _csv_lines(base, "conv_id,turn,role", latin).write.option("encoding", "ISO-8859-1").option(
-        "quote", ""
-    ).option("sep", "\u0001").csv(f"{folder}/latin.csv")
+    _csv_files(base, f"{folder}/good", header, line)
+    _csv_files(base, f"{folder}/long", header, F.concat(line, F.lit(",,,x")))
+    _csv_files(base, f"{folder}/open", header, line, last='0,0,"never closed')
+    _csv_files(base, f"{folder}/latin", header, F.concat(line, F.lit("é")), encoding="ISO-8859-1")
     found = csv_files.bad_records(spark, folder)
-    name = F.regexp_extract("path", r"([^/]*\.csv)/[^/]*$", 1).alias("file_name")
-    return found.select(name, "fault").distinct()
+    name = F.regexp_extract("path", r"/([a-z]+)/file=(\d+)/[^/]*$", 1).alias("kind")
+    number = F.regexp_extract("path", r"/([a-z]+)/file=(\d+)/[^/]*$", 2).cast("long").alias("file")
+    return found.select(name, number, "fault").distinct()
 
 
 @query
 def csv_trailing_commas(spark, sf):
     """Records that end in a comma keep their file and their places."""
-    base = fx.table(spark, sf, "conversations")
+    base = fx.table(spark, sf, "conversations").withColumn("file", F.col("conv_id") % PARTS)
     line = F.concat(F.concat_ws(",", "conv_id", "turn", "role"), F.lit(","))
     folder = new_folder(spark, "commas")
-    _csv_lines(base, "conv_id,turn,role", line).write.option("quote", "").option(
-        "sep", "\u0001"
-    ).csv(folder)
+    _csv_files(base, folder, F.lit("conv_id,turn,role"), line)
     return csv_files.scan_exports(spark, folder).select("conv_id", "turn", "role")
 
 
+@query
+def csv_many_headers(spark, sf):
+    """600 files of one tree, each with its own order of columns and a column of its own."""
+    names = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+    base = fx.table(spark, sf, "customer").select(*names).withColumn("file", F.col("c_custkey") % 600)
+    cells = [F.struct(F.xxhash64("file", F.lit(n)).alias("by"), F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names]
+    own = F.struct(F.lit(0).cast("long").alias("by"), F.concat(F.lit("own"), "file").alias("name"), F.lit("x").alias("value"))
+    ordered = F.array_sort(F.array(*cells, own))
+    folder = new_folder(spark, "headers")
+    _csv_files(
+        base, folder, F.array_join(F.transform(ordered, lambda c: c["name"]), ","), F.array_join(F.transform(ordered, lambda c: c["value"]), ",")
+    )
+    return csv_files.scan_exports(spark, folder).select(*names)
+
+
+@query
+def csv_quoted_header(spark, sf):
+    """Line breaks, commas and quotes in headers and bodies, and lines of blanks between the records."""
+    base = fx.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    base = base.withColumn("file", F.col("conv_id") % PARTS)
+    body = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('\n, ""end"""'))
+    line = F.concat(F.concat_ws(",", "conv_id", body, "turn"), F.lit("\n  \n"))
+    folder = new_folder(spark, "quoted")
+    _csv_files(base, folder, F.lit('conv_id,"the\n""body"", whole",turn'), line)
+    found = csv_files.scan_exports(spark, folder)
+    body = F.col('`the\n"body", whole`')
+    return found.select("conv_id", "turn", F.char_length(body).alias("size"), F.sha2(body, 256).alias("body_sha256"))
+
+
 @query
 def rules_of_header(spark, sf):
     return rule_ops.rules_of_header(_part_rules(spark, sf), "b1_generic").select("idx", "keyword")
@@ -571,8 +619,13 @@ def rules_of_header(spark, sf):
 
 @query
 def empty_folders(spark, sf):
-    """A tree without any chat gives the canonical table without rows."""
+    """A folder without files beside a full one gives no rows, and a tree without any chat the empty table."""
     folder = new_folder(spark, "nothing")
-    none = fx.conversation_exports(spark, sf).where("conv_id < -1").drop(*KEYS)
-    sinks.write_by_nature(none.withColumn("nature", F.lit("none")), folder)
-    return flows.load_routed(spark, folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    chats = fx.conversation_exports(spark, sf).drop(*KEYS).withColumn("nature", F.col("Source"))
+    sinks.write_by_nature(chats.where(chats.Source != "grp0"), f"{folder}/some")
+    sinks.write_by_nature(chats.limit(0), f"{folder}/none")
+    for place in ("some/nature=grp0", "some/nature=grp0/Source=grp0"):
+        path(folder).getFileSystem(conf).mkdirs(path(f"{folder}/{place}"))
+    return flows.load_routed(spark, f"{folder}/some").unionByName(flows.load_routed(spark, f"{folder}/none"))
