@@ -10,6 +10,8 @@ from chatlens.storage import keep
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 BLOCK = 256
+GRAM = 6
+SAMPLE = 128
 
 
 def fits_broadcast(
@@ -49,54 +51,89 @@ def contains_join(
 ) -> DataFrame:
     """All distinct pairs (key, needle) where the text contains the needle, as an equi-join.
 
-    Each text is cut once at the length of the shortest needle. Pieces that begin no needle are
-    dropped; the others are cut at the lengths of the needles with that beginning and looked up by
-    equality. The work per text does not depend on the number of needles, and no pair is formed that
-    does not match.
+    Every needle is filed under one of its grams, the one that is rarest in a sample of the texts; needles of up to
+    ``GRAM`` characters are their own gram. Texts give (gram, place) only, whatever the length of the
+    needles, and what meets a filed gram is compared with the needle at its own place in the text. The choice of the gram
+    affects the number of comparisons, never the pairs found.
     """
     wanted = needles.select(F.col(needle)).distinct()
-    filled = wanted.where(F.char_length(needle) > 0)
     size = F.char_length(needle)
-    bounds = wanted.agg(
-        F.min(F.nullif(size, F.lit(0))).alias("low"),
-        F.max(size).alias("high"),
-        F.bool_or(size == 0).alias("blank"),
+    filled = keep(wanted.where(size > 0).select(needle, size.alias("_size")), "needles")
+    bounds = filled.agg(
+        F.max("_size").alias("high"), F.collect_set(F.least("_size", F.lit(GRAM))).alias("sizes")
     ).first()
-    in_all = texts.where(F.col(text).isNotNull() & F.lit(bool(bounds["blank"])))
-    in_all = in_all.select(key, F.lit("").alias(needle))
-    if bounds["low"] is None:
+    blank = not wanted.where(size == 0).isEmpty()
+    in_all = texts.where(F.col(text).isNotNull() & F.lit(blank)).select(key, F.lit("").alias(needle))
+    if bounds["high"] is None:
         return in_all.distinct()
-    low, high = bounds["low"], bounds["high"]
-    # Blocks of bounded size: finding a position in a long text takes time proportional to it.
-    blocks = F.regexp_extract_all(
-        F.col(text), F.lit(f"(?s).{{1,{max(BLOCK, high)}}}"), F.lit(0)
+    blocks = keep(_blocks(texts, key, text, bounds["high"]), "blocks")
+    grams = _grams(blocks, key, sorted(bounds["sizes"]))
+    filed = keep(_filed(filled, needle, grams, key), "filed")
+    met = keep(
+        lookup_join(grams, filed, ["_gram"]).select(
+            key, "_block", (F.col("_place") - F.col("_at")).alias("_start"), needle, "_size"
+        ),
+        "met",
+    )
+    short = F.col("_size") <= GRAM
+    compared = lookup_join(blocks, met.where(~short), [key, "_block"]).where(
+        F.substring("_shown", F.col("_start"), F.col("_size")) == F.col(needle)
     )
-    # a block and the start of the next one, so that no substring is cut in two
+    found = met.where(short).select(key, needle).unionByName(compared.select(key, needle))
+    return found.unionByName(in_all).distinct()
+
+
+def _blocks(texts: DataFrame, key: str, text: str, high: int) -> DataFrame:
+    """``key, _block, _shown, _left, _own``: texts in blocks with ``high - 1`` characters of their neighbours.
+
+    Blocks are of bounded size, as finding a position in a long text takes time proportional to it. ``_left``
+    characters come from the block before, ``_own`` are the block's.
+    """
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{max(BLOCK, high)}}}"), F.lit(0))
+    # a block is at least as long as the longest needle, so that its neighbours have enough
+    other = lambda i: F.coalesce(F.get("_parts", i), F.lit(""))
     pieces = F.transform(
-        "_blocks",
+        "_parts",
         lambda b, i: F.struct(
-            F.char_length(b).alias("size"),
-            F.concat(
-                b, F.left(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(high - 1))
-            ).alias("text"),
+            i.alias("_block"),
+            F.right(other(i - 1), F.lit(high - 1)).alias("left"),
+            b.alias("own"),
+            F.left(other(i + 1), F.lit(high - 1)).alias("right"),
         ),
     )
-    per_piece = (
-        texts.select(key, blocks.alias("_blocks"))
-        .select(key, F.explode(pieces).alias("_piece"))
-        .withColumn("_start", F.explode(F.sequence(F.lit(1), F.col("_piece.size"))))
-        .select(key, F.substring("_piece.text", F.col("_start"), F.lit(high)).alias("_cut"))
-        .withColumn("_begin", F.left("_cut", F.lit(low)))
-        .where(F.char_length("_begin") == low)
+    rows = texts.select(key, parts.alias("_parts")).select(key, F.explode(pieces).alias("_piece"))
+    return rows.select(
+        key,
+        "_piece._block",
+        F.concat("_piece.left", "_piece.own", "_piece.right").alias("_shown"),
+        F.char_length("_piece.left").alias("_left"),
+        F.char_length("_piece.own").alias("_own"),
     )
-    beginnings = filled.groupBy(F.left(needle, F.lit(low)).alias("_begin")).agg(
-        F.collect_set(size).alias("_lengths")
+
+
+def _grams(blocks: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """``key, _block, _place, _gram``: what begins at each place, in each of a few sizes."""
+    places = F.explode(F.sequence(F.col("_left") + 1, F.col("_left") + F.col("_own")))
+    rows = blocks.select(key, "_block", "_shown", places.alias("_place"))
+    size = F.explode(F.array(*map(F.lit, sizes)))
+    rows = rows.select(key, "_block", "_place", F.substring("_shown", F.col("_place"), F.lit(sizes[-1])).alias("_cut"), size.alias("_n"))
+    rows = rows.where(F.char_length("_cut") >= F.col("_n"))
+    return rows.select(key, "_block", "_place", F.left("_cut", F.col("_n")).alias("_gram"))
+
+
+def _filed(filled: DataFrame, needle: str, grams: DataFrame, key: str) -> DataFrame:
+    """``_gram, _at, needle, _size``: each needle under its rarest gram, which is ``_at`` characters into it."""
+    n = F.least("_size", F.lit(GRAM))
+    of_needle = filled.select(
+        needle, "_size", F.explode(F.sequence(F.lit(0), F.col("_size") - n)).alias("_at"), n.alias("_n")
     )
-    cut = (
-        lookup_join(per_piece, beginnings, ["_begin"])
-        .select(key, "_cut", F.explode("_lengths").alias("_length"))
-        .where(F.char_length("_cut") >= F.col("_length"))
-        .select(key, F.left("_cut", F.col("_length")).alias(needle))
+    of_needle = of_needle.select(
+        needle, "_size", "_at", F.substring(needle, F.col("_at") + 1, F.col("_n")).alias("_gram")
     )
-    found = lookup_join(cut, filled, [needle]).select(key, needle)
-    return found.unionByName(in_all).distinct()
+    sample = grams.where(F.pmod(F.xxhash64(key, "_block"), F.lit(SAMPLE)) == 0)
+    long = of_needle.where(F.col("_size") > GRAM)
+    known = lookup_join(sample, long.select("_gram").distinct(), ["_gram"], "left_semi")
+    counts = known.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    choice = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_at", "_gram")
+    chosen = of_needle.join(counts, "_gram", "left").groupBy(needle, "_size").agg(F.min(choice).alias("_c"))
+    return chosen.select("_c._gram", "_c._at", needle, "_size")

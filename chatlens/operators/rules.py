@@ -49,11 +49,22 @@ def required_headers(rules: DataFrame) -> DataFrame:
     )
 
 
+def requirement_words(rules: DataFrame) -> DataFrame:
+    """``brand, required_product, idx, keyword``: the keywords of each distinct requirement.
+
+    A requirement has its keywords once, however many rules ask for it.
+    """
+    words = rules.select("headers", "idx", "keyword")
+    return lookup_join(words, required_headers(rules), ["headers"]).select(
+        "brand", "required_product", "idx", "keyword"
+    )
+
+
 def resolve_required(rules: DataFrame) -> DataFrame:
     """Look up, in the same table, the keywords of the products a rule asks for.
 
-    Adds ``required_words`` (array, table order) and ``required_keyword`` (joined by ``|``). The
-    look-up runs once per distinct requirement, not once per rule.
+    Adds ``required_words`` (array, table order) and ``required_keyword`` (joined by ``|``), which each rule
+    has a copy of. Tagging does without: see ``requirement_words``.
     """
     words = rules.select("headers", F.col("idx").alias("_idx"), "keyword")
     resolved = (

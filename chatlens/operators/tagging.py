@@ -29,6 +29,7 @@ from chatlens.operators.rules import (
     GENERIC,
     GENERIC_SUFFIX,
     header_order,
+    requirement_words,
     suppressor_pairs,
 )
 from chatlens.schemas import HITS
@@ -53,52 +54,64 @@ class RuleIndex:
     suppressors: list[list[int]]
 
 
-def rule_needles(rules: DataFrame, required: str = ANY, full_fold: bool = False) -> DataFrame:
-    """Rules with folded search texts: ``needle`` and the alternatives in ``required_needles``.
+@dataclass
+class Needles:
+    """Folded search texts of rules, and those of the requirements that rules ask for."""
+
+    rules: DataFrame  # idx, headers, needle, brand, required_product, asks
+    alternatives: DataFrame  # brand, required_product, needle
+
+
+REQUIREMENT = ["brand", "required_product"]
+
 
-    ``any``: one of the looked-up keywords must occur. ``literal``: their joined text must.
-    A rule without a resolved requirement has no alternatives and always counts.
+def rule_needles(rules: DataFrame, required: str = ANY, full_fold: bool = False) -> Needles:
+    """Rules with their folded ``needle``, and the alternatives of each requirement, one of which must occur.
+
+    ``any``: one of the looked-up keywords must occur. ``literal``: their joined text must. Both are
+    kept by requirement and not by rule. A rule whose requirement is not resolved asks for nothing.
     """
+    words = requirement_words(rules)
     if required == ANY:
-        alternatives = F.transform("required_words", lambda w: fold_case(w, full_fold))
+        alternatives = words.select(*REQUIREMENT, fold_case("keyword", full_fold).alias("needle"))
     elif required == LITERAL:
-        alternatives = F.array(fold_case("required_keyword", full_fold))
+        listed = F.array_sort(F.collect_list(F.struct("idx", "keyword")))
+        joined = words.groupBy(*REQUIREMENT).agg(listed.alias("_words"))
+        joined = joined.select(*REQUIREMENT, F.array_join("_words.keyword", "|").alias("_text"))
+        alternatives = joined.where("_text <> ''").select(*REQUIREMENT, fold_case("_text", full_fold).alias("needle"))
     else:
         raise ValueError(f"unknown requirement mode {required!r}")
-    none = F.array().cast("array<string>")
-    return rules.select(
-        "idx",
-        "headers",
-        fold_case("keyword", full_fold).alias("needle"),
-        F.when(F.col("required_keyword") == "", none)
-        .otherwise(F.array_distinct(alternatives))
-        .alias("required_needles"),
+    alternatives = keep(alternatives.distinct(), "alternatives")
+    resolved = alternatives.select(*REQUIREMENT, F.lit(True).alias("asks")).distinct()
+    own = rules.select("idx", "headers", fold_case("keyword", full_fold).alias("needle"), *REQUIREMENT)
+    marked = lookup_join(own, resolved, REQUIREMENT, "left")
+    return Needles(
+        keep(marked.withColumn("asks", F.coalesce("asks", F.lit(False))), "needles"), alternatives
     )
 
 
 def build_index(
-    needles: DataFrame, suppress: bool = True, max_pairs: int = SHIPPED_MAX_BYTES // 4
+    needles: Needles, suppress: bool = True, max_pairs: int = SHIPPED_MAX_BYTES // 4
 ) -> RuleIndex | None:
     """Collect a rule table that has been measured before.
 
-    A requirement is stored once, however many rules ask for it. None if there are more than
-    ``max_pairs`` pairs of a generic header and one that suppresses it.
+    None if there are more than ``max_pairs`` pairs of a generic header and one that suppresses it.
     """
-    rule_rows = sorted(needles.collect(), key=lambda r: r["idx"])
+    rule_rows = sorted(needles.rules.collect(), key=lambda r: r["idx"])
+    words_of: dict[tuple[str, str], list[str]] = {}
+    for r in needles.alternatives.collect():
+        words_of.setdefault((r["brand"], r["required_product"]), []).append(r["needle"])
     first_row: dict[str, int] = {}
     for r in rule_rows:
         first_row.setdefault(r["headers"], r["idx"])
     headers = list(first_row)
     position = {h: i for i, h in enumerate(headers)}
-    words = sorted(
-        {r["needle"] for r in rule_rows} | {w for r in rule_rows for w in r["required_needles"]}
-    )
+    words = sorted({r["needle"] for r in rule_rows} | {w for found in words_of.values() for w in found})
     number = {w: i for i, w in enumerate(words)}
-    asked: dict[tuple[str, ...], int] = {}
+    asked = {requirement: i for i, requirement in enumerate(words_of)}
     rules_of_needle: list[list[dict]] = [[] for _ in words]
     for r in rule_rows:
-        required = tuple(r["required_needles"])
-        asked_for = asked.setdefault(required, len(asked)) if required else -1
+        asked_for = asked[r["brand"], r["required_product"]] if r["asks"] else -1
         rule = {"pos": position[r["headers"]], "required": asked_for}
         rules_of_needle[number[r["needle"]]].append(rule)
     suppressors = _suppressors(headers, max_pairs) if suppress else [[] for _ in headers]
@@ -109,7 +122,7 @@ def build_index(
         headers=headers,
         ords=list(first_row.values()),
         rules_of_needle=rules_of_needle,
-        requirements=[[number[w] for w in required] for required in asked],
+        requirements=[sorted(number[w] for w in found) for found in words_of.values()],
         suppressors=suppressors,
     )
 
@@ -227,13 +240,10 @@ def index_rules(
     max_bytes: int = SHIPPED_MAX_BYTES,
 ) -> RuleIndex | None:
     """Measure a rule table and collect it if it is small enough to ship; else None."""
-    needles = rule_needles(rules, required, full_fold).persist()
-    try:
-        if fits_broadcast(needles, max_rules, max_bytes):
-            return build_index(needles, suppress)
-        return None
-    finally:
-        needles.unpersist()
+    needles = rule_needles(rules, required, full_fold)
+    if all(fits_broadcast(t, max_rules, max_bytes) for t in (needles.rules, needles.alternatives)):
+        return build_index(needles, suppress)
+    return None
 
 
 def tag_messages(
@@ -299,23 +309,20 @@ def tag_by_join(
         # cutting takes long for its bytes: keep partitions from being merged by size
         .repartition(shuffle_partitions(messages), "_text")
     )
-    needles = keep(rule_needles(rules, required, full_fold), "needles")
-    headers = header_order(needles)
-    alternatives = needles.select("idx", F.explode("required_needles").alias("needle"))
-    every_needle = needles.select("needle").union(alternatives.select("needle")).distinct()
+    needles = rule_needles(rules, required, full_fold)
+    headers = keep(header_order(needles.rules), "headers")
+    every_needle = needles.rules.select("needle").union(needles.alternatives.select("needle")).distinct()
     found = keep(contains_join(texts, "_text", "_folded", every_needle, "needle"), "found")
 
-    ordered = needles.join(headers.select("headers", "ord"), "headers").select(
-        "idx", "needle", "ord", (F.size("required_needles") == 0).alias("simple")
+    ordered = lookup_join(needles.rules, headers.select("headers", "ord"), ["headers"]).select(
+        "needle", "ord", *REQUIREMENT, "asks"
     )
-    candidates = lookup_join(found, ordered, ["needle"])
-    simple = candidates.where("simple").select("_text", "ord")
+    candidates = lookup_join(found, ordered.distinct(), ["needle"])
+    simple = candidates.where("NOT asks").select("_text", "ord")
+    # a requirement is decided once a text, then the rules that ask for it look it up
+    met = lookup_join(found, needles.alternatives, ["needle"]).select("_text", *REQUIREMENT).distinct()
     complex_hits = (
-        lookup_join(
-            candidates.where("NOT simple").select("_text", "ord", "idx"), alternatives, ["idx"]
-        )
-        .join(found, ["_text", "needle"], "left_semi")
-        .select("_text", "ord")
+        candidates.where("asks").join(met, ["_text", *REQUIREMENT], "left_semi").select("_text", "ord")
     )
     hits = simple.union(complex_hits).distinct()
     if suppress:

@@ -178,3 +178,18 @@ def test_requirements_are_stored_once(spark):
     headers = [("a", f"generic{i}", "x", None) for i in range(30)] + [("ab", f"p{i}", "x", None) for i in range(30)]
     rules = prepare_rules(keyword_table(spark, headers + [("a", "generic", "y", None)]))
     assert tagging.build_index(tagging.rule_needles(rules), max_pairs=10) is None
+
+
+def test_requirements_shared_by_thousands_of_rules_stay_linear(spark):
+    """3,000 rules ask for a product of 3,000 keywords: nothing holds 9,000,000 of them."""
+    table = [(k, "b", "x", f"ask{k}x", "y") for k in range(3000)]
+    table += [(3000 + k, "b", "y", f"word{k}y", "") for k in range(3000)]
+    rules = prepare_rules(spark.createDataFrame(table, "idx int, brand string, product string, keyword string, required_product string"))
+    needles = tagging.rule_needles(rules)
+    assert (needles.rules.count(), needles.alternatives.count()) == (6000, 3000)
+    index = tagging.index_rules(rules)
+    assert [len(r) for r in index.requirements] == [3000]
+    messages = spark.createDataFrame([(0, "ask7x word9y"), (1, "ask7x"), (2, "word9y word8y")], "id int, messageBody string")
+    expected = [(0, ["b_x", "b_y"]), (1, []), (2, ["b_y"])]
+    for tagged in (tagging.tag_by_index(messages, index), tagging.tag_by_join(messages, rules)):
+        assert rows_of(tagged.select("id", "hits.header")) == expected
