@@ -2,7 +2,8 @@
 
 ``results ARRAY<STRUCT<ord, header, success, sentiment, reason>>`` stays on the message row; the
 wide table and the Reason text are projections of it. The word-list scorer is an expression. A
-model is asked once per distinct (text, header); its replies are kept in the shared folder, so that a lost executor does not lead to asking again.
+model is asked once per distinct (text, header); every attempt is written to
+a table as its round ends, so that neither a lost executor nor a new run leads to asking again for what was answered.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from chatlens.functions.replies import (
 from chatlens.functions.text import all_columns_hash, fold_case
 from chatlens.operators.tagging import explode_hits
 from chatlens.schemas import RESULTS
-from chatlens.storage import keep
+from chatlens.storage import keep, new_folder
 
 # The text of a request, the outcome of a failed one, the attempts of each.
 PROMPT = "Formula Brand: {header}, Message: {message}"
@@ -82,15 +83,18 @@ def distinct_requests(
 ) -> DataFrame:
     """One row per distinct text and header hit: ``text_id, ord, header, request_id, prompt``.
 
-    Copies of a text are combined before the shuffle.
+    Texts are combined by their hash: one that is repeated is shuffled once a task, whatever the number of
+    its headers, and messages without hits not at all.
     """
-    # explode first: a filter on the hits would make the optimizer compute them twice
-    found = explode_hits(tagged.select(message_col, "hits")).distinct()
+    # through a list of at most one: a filter on the hits would make the optimizer compute them twice
+    one = F.transform(F.slice("hits", 1, 1), lambda _: F.struct(F.col(message_col).alias("text"), "hits"))
+    found = tagged.select(F.sha2(message_col, 256).alias("text_id"), F.explode(one).alias("_found"))
+    texts = found.groupBy("text_id").agg(F.first("_found").alias("_found"))
+    each = texts.select("text_id", "_found.text", F.explode("_found.hits").alias("_hit"))
     return (
-        found.withColumn("text_id", F.sha2(message_col, 256))
-        .withColumn("prompt", prompt(F.col("header"), F.col(message_col), template))
+        each.withColumn("prompt", prompt(F.col("_hit.header"), F.col("text"), template))
         .withColumn("request_id", F.sha2("prompt", 256))
-        .select("text_id", "ord", "header", "request_id", "prompt")
+        .select("text_id", "_hit.ord", "_hit.header", "request_id", "prompt")
     )
 
 
@@ -164,63 +168,81 @@ def ask_model(
     rejected: str = REJECTED,
     partitions: int | None = None,
     batch_size: int = BATCH_SIZE,
+    log: str | None = None,
 ) -> DataFrame:
     """Ask a scorer: adds ``success, sentiment, reason`` to every row of ``requests``.
 
     An invalid reply is sent back with the error; a missing text is asked for again as it was; a
-    reply that is no object, or an exception, ends the request. The rounds follow each other in
-    one stage, and a settled request is not asked again. The calls run in ``partitions`` tasks
-    (default: the number of shuffle partitions, not merged by size, as a call takes long however
-    short its text is).
+    reply that is no object, or an exception, ends the request. Every round is one job that asks for what
+    is not settled and appends the attempts to a table in the folder ``log`` (default: a new one in the shared folder).
+    A run that is given the folder of one that died asks only for what is not there. The calls run in
+    ``partitions`` tasks (default: the number of shuffle partitions, not merged by size, as a call
+    takes long however short its text is).
     """
+    spark = requests.sparkSession
     if partitions is None:
-        partitions = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    requests = keep(requests, "requests")
+    attempts = _attempts(spark, log or new_folder(spark, "attempts"))
     before, after = rejected.split("{error}", 1)
-    current = (
-        requests.repartition(partitions, "request_id")
-        .withColumn(
-            "_conversation",
-            F.array(_message("user", F.col("prompt"))),
-        )
-        .withColumn("_outcome", F.lit(None).cast(OUTCOME))
-    )
+    wanted = requests.select("request_id", "prompt").repartition(partitions, "request_id")
+    wanted = wanted.dropDuplicates(["request_id"])
     ask = _ask(make_scorer, system, batch_size)
-    read = parse_reply(F.col("_reply.text"))
-    feedback = F.concat(F.lit(before), F.col("_read.status"), F.lit(after))
-    for _ in range(max_attempts):
-        current = (
-            current.withColumn(
-                "_reply", ask(F.when(F.col("_outcome").isNull(), F.to_json("_conversation")))
+    for attempt in range(1, max_attempts + 1):
+        done = attempts().where((F.col("attempt") >= attempt) | F.col("settled")).select("request_id")
+        due = wanted.join(done, "request_id", "left_anti")
+        feedback = lambda a: F.concat(F.lit(before), a["status"], F.lit(after))
+        answers = lambda a: F.array(_message("assistant", a["text"]), _message("user", feedback(a)))
+        rejects = attempts().where((F.col("attempt") < attempt) & F.col("status").isin(BAD_JSON, BAD_STRUCTURE))
+        said = rejects.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "text", "status"))).alias("_said"))
+        due = due.join(said, "request_id", "left")
+        first = F.array(_message("user", F.col("prompt")))
+        more = F.flatten(F.transform("_said", answers))
+        conversation = F.to_json(F.when(F.col("_said").isNull(), first).otherwise(F.concat(first, more)))
+        # the join may have changed the partitioning
+        asked = due.select("request_id", conversation.alias("_conversation")).repartition(partitions, "request_id")
+        asked = asked.select("request_id", ask("_conversation").alias("_reply"))
+        read = asked.withColumn("_read", parse_reply(F.col("_reply.text")))
+        outcome = (
+            F.when(F.col("_reply.error").isNotNull(), _failure(F.col("_reply.error")))
+            .when(
+                F.col("_read.status") == OK,
+                _outcome(F.lit(True), F.col("_read.sentiment"), F.col("_read.reason")),
             )
-            .withColumn("_read", read)
-            .withColumn(
-                "_outcome",
-                F.when(F.col("_outcome").isNotNull(), F.col("_outcome"))
-                .when(F.col("_reply.error").isNotNull(), _failure(F.col("_reply.error")))
-                .when(
-                    F.col("_read.status") == OK,
-                    _outcome(F.lit(True), F.col("_read.sentiment"), F.col("_read.reason")),
-                )
-                .when(F.col("_read.status") == NOT_OBJECT, _failure(F.col("_read.error"))),
-            )
-            .withColumn(
-                "_conversation",
-                F.when(
-                    F.col("_read.status").isin(BAD_JSON, BAD_STRUCTURE),
-                    F.concat(
-                        "_conversation",
-                        F.array(
-                            _message("assistant", F.col("_reply.text")),
-                            _message("user", feedback),
-                        ),
-                    ),
-                ).otherwise(F.col("_conversation")),
+            .when(F.col("_read.status") == NOT_OBJECT, _failure(F.col("_read.error")))
+        )
+        attempts.append(
+            read.select(
+                "request_id",
+                F.lit(attempt).alias("attempt"),
+                "_reply.text",
+                "_read.status",
+                outcome.alias("outcome"),
+                outcome.isNotNull().alias("settled"),
             )
-            .drop("_reply", "_read")
         )
-    outcome = F.coalesce("_outcome", _failure(F.lit(EXHAUSTED.format(attempts=max_attempts))))
-    answered = current.select(*requests.columns, outcome.alias("_outcome"))
-    return keep(answered.select(*requests.columns, "_outcome.*"), "answered")
+    settled = attempts().where((F.col("attempt") <= max_attempts) & F.col("settled")).select("request_id", "outcome")
+    exhausted = _failure(F.lit(EXHAUSTED.format(attempts=max_attempts)))
+    answered = requests.join(settled.dropDuplicates(["request_id"]), "request_id", "left")
+    answered = answered.withColumn("_outcome", F.coalesce("outcome", exhausted))
+    return answered.select(*requests.columns, "_outcome.*")
+
+
+class _attempts:
+    """The table of attempts in a folder: call it to read, ``append`` to it round by round."""
+
+    SCHEMA = f"request_id string, attempt int, text string, status string, outcome {OUTCOME}, settled boolean"
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def __call__(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
 
 
 def _outcome(success: Column, sentiment: Column, reason: Column) -> Column:
@@ -317,12 +339,16 @@ def score_by_model(
     max_attempts: int = MAX_ATTEMPTS,
     partitions: int | None = None,
     batch_size: int = BATCH_SIZE,
+    log: str | None = None,
 ) -> DataFrame:
-    """Add ``results`` by asking an external scorer; the calls are made here, not when it is read."""
+    """Add ``results`` by asking an external scorer; the calls are made here, not when it is read.
+
+    ``log`` is the folder of the attempts: see ``ask_model``.
+    """
     tagged = keep(tagged, "tagged")
     requests = distinct_requests(tagged, message_col, template)
     answered = ask_model(
-        requests, make_scorer, system, max_attempts, partitions=partitions, batch_size=batch_size
+        requests, make_scorer, system, max_attempts, partitions=partitions, batch_size=batch_size, log=log
     )
     return attach_results(tagged, answered, message_col)
 

@@ -72,14 +72,18 @@ def model_scorer(
     max_attempts: int = scoring.MAX_ATTEMPTS,
     partitions: int | None = None,
     batch_size: int = scoring.BATCH_SIZE,
+    log: str | None = None,
 ) -> ScoreStep:
-    """Score with an external scorer that is told all rules in its system prompt."""
+    """Score with an external scorer that is told all rules in its system prompt.
+
+    A run that is given the ``log`` folder of one that died goes on where that ended.
+    """
 
     def score(tagged: DataFrame) -> DataFrame:
         text = scoring.system_prompt(F.col("rules_json"), system_template)
         system = rule_ops.rules_json(rules).select(text).first()[0]
         return scoring.score_by_model(
-            tagged, make_scorer, system, message_col, template, max_attempts, partitions, batch_size
+            tagged, make_scorer, system, message_col, template, max_attempts, partitions, batch_size, log
         )
 
     return score

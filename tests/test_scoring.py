@@ -1,5 +1,9 @@
 """Replies, retries, model scoring and the final cells."""
 
+import os
+import uuid
+
+import pytest
 from conftest import plan_of, rows_of
 from pyspark.sql import functions as F
 
@@ -192,3 +196,32 @@ def test_no_request_is_repeated_when_one_fails(spark, tmp_path):
     reasons = {r["id"]: r["results"][0]["reason"] for r in scored.collect()}
     assert reasons == {**{i: "r" for i in range(20)}, 20: "no luck"}
     assert len(list(tmp_path.iterdir())) == 21
+
+
+def test_a_run_that_died_goes_on_where_it_ended(spark, tmp_path):
+    folder, cured = str(tmp_path / "asked"), str(tmp_path / "cured")
+    os.makedirs(folder)
+
+    def make():
+        def scorer(conversations):
+            if any(len(c) > 2 for c in conversations) and not os.path.exists(cured):
+                raise SystemExit("killed in the second round")
+            for c in conversations:
+                with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+                    f.write(f"{len(c)} {c[1]['content']}")
+            return ["junk" if len(c) == 2 and "second" in c[1]["content"] else '{"sentiment":"P","reason":"r"}' for c in conversations]
+
+        return scorer
+
+    messages, rules = tagged(spark, ["foo", "foo second", "foo bar second", "nothing", "foo"])
+    score = flows.model_scorer(make, rules, log=str(tmp_path / "log"))
+    with pytest.raises(Exception):
+        score(messages)
+    assert len(os.listdir(folder)) == 4
+    open(cured, "w").close()
+    scored = score(messages)
+    assert all(r["success"] for row in scored.collect() for r in row["results"])
+    asked = sorted(open(f"{folder}/{name}").read() for name in os.listdir(folder))
+    assert len(asked) == len(set(asked)) == 7  # four requests, of which three are asked a second time
+    score(messages)
+    assert len(os.listdir(folder)) == 7
