@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens import storage
-from chatlens.llm.common import let
+from chatlens.llm.common import hash_share, let
 
 PLACEHOLDER = "[SECRET]"
 LEFT_CHARS = 80
@@ -164,13 +164,19 @@ def _grown(node, names: list[str]) -> Node | Leaf:
     )
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 5, seed: int = 7) -> list:
-    """A forest from ``left, value, right, label``, a table of bounded size."""
+def train(
+    findings: DataFrame, trees: int = 20, depth: int = 5, seed: int = 7, max_findings: int = 200_000
+) -> list:
+    """A forest from ``left, value, right, label``: about ``max_findings`` of them, by their hash, if there are more."""
     found = features(F.col("left"), F.col("value"), F.col("right"))
     names = list(found)
     rows = findings.where(F.col("label").isNotNull() & F.col("value").isNotNull())
     rows = rows.select(*[c.alias(n) for n, c in found.items()], F.col("label").cast("double"))
     rows = storage.keep(rows.na.fill(0.0), "findings")
+    count = rows.count()
+    if count > max_findings:
+        # by place, as many may be equal; the table is stored, so its places stay
+        rows = rows.where(hash_share(F.monotonically_increasing_id(), max_findings, count))
     # One sorted partition: bootstrap samples depend on the order. The table is a bounded sample.
     rows = rows.coalesce(1).sortWithinPartitions(*names, "label")
     kinds = [r["label"] for r in rows.select("label").distinct().collect()]
@@ -188,8 +194,8 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 5, seed: int = 7) -
 def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
     """Labelled findings from about ``sample_docs`` documents, chosen by the hash of the text."""
     texts = docs.select("text").where(F.col("text") != "")
-    share = 1_000_000 * sample_docs // max(texts.count(), sample_docs)
-    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    # a group of copies is taken whole or not at all: once, however many there are
+    texts = texts.where(hash_share(F.col("text"), sample_docs, texts.count())).distinct()
     text = F.col("text")
     cut = texts.select(candidates(text).alias("c"), between(text).alias("b"))
     real = cut.select(F.explode(_neighbourhoods(F.col("c"), F.col("b"))).alias("x")).select("x.*")

@@ -1,5 +1,8 @@
 """Every stage of the pipeline against what it must do to its own input."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__
 from chatlens import storage
@@ -47,4 +50,44 @@ def test_run_and_entries(spark):
     assert result.count() > 0
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == [n for n in names if n.startswith("op")]
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == [n for n in names if n.startswith("op")]
+
+
+SECRET = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
+
+
+@pytest.fixture
+def own_columns(spark):
+    """Documents with columns named like what the operators add, null ids and texts, and repeated rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_lines")
+    extra = spark.createDataFrame(
+        [(None, f"a token {SECRET} alone\nnext"), (900_001, None), (900_002, ""), (900_003, "same here"), (900_003, "same here")],
+        "doc_id long, text string",
+    )
+    rows = docs.unionByName(extra, allowMissingColumns=True)
+    return rows.withColumns(
+        {
+            "n_lines": F.lit("mine"), "findings": F.lit("my own"), "n_candidates": F.lit(-5), "n_dropped": F.lit(1.5),
+            "_secret_cut": F.lit("x"), "kept": F.lit("y"), "fingerprint": F.lit("z"), "n_words": F.lit(0), "bucket": F.lit(0),
+        }
+    )
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_leave_other_columns_alone(spark, own_columns, name, stage):
+    after = storage.keep(stage(spark, own_columns, SF), "stage")
+    assert after.schema == own_columns.schema or after.columns == own_columns.columns
+    changed = [c for c in own_columns.columns if c not in ("text", "n_chars")]
+    assert after.select(*changed).exceptAll(own_columns.select(*changed)).isEmpty()
+    if name in ("line_dedup", "secret_scans"):
+        assert after.count() == own_columns.count()
+    if name == "secret_scans":
+        everything = " ".join(str(v) for r in after.collect() for v in r)
+        assert SECRET not in everything and "[SECRET] alone" in everything
+
+
+def test_stages_of_empty_tables(spark, own_columns):
+    docs = own_columns.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = storage.keep(stage(spark, docs, SF), name)
+        assert docs.isEmpty()

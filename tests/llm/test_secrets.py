@@ -133,3 +133,24 @@ def test_values_of_all_names(spark):
     got = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
     expected = [f"some words {a}{secrets.PLACEHOLDER}{b}" for a, _, b in shown] + kept
     assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_samples_are_never_empty(spark):
+    from chatlens.llm.common import hash_share
+
+    rows = spark.range(2_000_000)
+    for wanted, total in ((500, 10**6), (1_000_000, 10**6), (300, 10**9)):
+        found = rows.where(hash_share(F.col("id"), wanted, total)).count()
+        expected = 2_000_000 * wanted / total
+        assert abs(found - expected) <= 5 * expected**0.5 + 1
+    # 500 of 10**12 is a share that keeps some rows of a table of that size
+    share = hash_share(F.col("id"), 500, 10**12)
+    assert "500" in str(share) and spark.range(1).where(share).count() in (0, 1)
+
+
+def test_many_findings_are_sampled(spark):
+    rows = spark.range(5000).select(
+        F.lit("password = ").alias("left"), F.when(F.col("id") % 2 == 0, F.sha1(F.col("id").cast("string"))).otherwise("word").alias("value"),
+        F.lit(" ").alias("right"), (F.col("id") % 2 == 0).cast("double").alias("label"),
+    )
+    assert len(secrets.train(rows, trees=3, max_findings=200)) == 3
