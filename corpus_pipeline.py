@@ -1,12 +1,14 @@
 """The corpus pipeline: stages that each call one operator of ``chatlens.llm``.
 
 Every stage takes what its predecessor kept. All but the last return the columns of the documents;
-``n_chars`` follows the text where a stage changes it. Nulls, empty tables, repeated rows and other
+``n_chars`` follows the text where a stage changes it; other columns stay as they are, whatever their names. Nulls, empty tables, repeated rows and other
 columns are treated as the operators say.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +17,21 @@ from chatlens import storage
 from chatlens.llm import line_dedup, packing, quality, secrets, simhash
 
 
-def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with ``n_chars`` of the changed texts."""
+def _with_new_texts(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs``, with the texts that ``change`` makes and ``n_chars`` of these.
+
+    All other columns pass through it in one struct, so that what it adds never meets a column of theirs.
+    """
+    own = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    changed = change(docs.select("doc_id", "text", own.alias("_doc")))
 
     def column(name: str) -> Column:
+        if name == "text":
+            return F.col(name)
         if name == "n_chars":
             kind = docs.schema[name].dataType
             return F.coalesce(F.char_length("text"), F.lit(0)).cast(kind).alias(name)
-        return F.col(f"`{name}`")
+        return F.col("_doc").getField(name).alias(name)
 
     return changed.select(*[column(c) for c in docs.columns])
 
@@ -34,7 +43,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a smaller doc_id already has go."""
-    return _like(docs, line_dedup.dedup_lines(docs))
+    return _with_new_texts(docs, line_dedup.dedup_lines)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +54,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; all documents stay."""
     forest = secrets.train(secrets.labelled_findings(docs))
-    return _like(docs, secrets.redact(docs, forest))
+    return _with_new_texts(docs, lambda rows: secrets.redact(rows, forest))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
