@@ -9,11 +9,18 @@ weight per term and, for every pair of terms, the product of their factors:
 so two terms can be worse together than alone. The pair sum costs one pass over the terms, by
 ``((sum v)**2 - sum v**2) / 2``.
 
-Fitting takes about ``sample_rows`` labelled rows. Spark counts the terms of the sample by label
-and keeps the ``n_terms`` with the largest likelihood ratio, of those above ``min_ratio``, which
-few terms reach by chance, and of those in ``common_share`` of the rows, which may count together
-with others though not alone; only those, and the sample's terms
-among them, reach the driver. Scoring adds a column to any table, without a shuffle.
+Fitting takes about ``sample_rows`` labelled rows and has two steps, because most terms of a text say
+nothing and would only be learnt by heart:
+
+1. Spark counts the terms of the sample by label and keeps the ``n_terms`` with the largest
+   likelihood ratio, of those above ``min_ratio``, which few terms reach by chance. A machine is
+   fitted to them.
+2. What it leaves unexplained is summed for every pair of the ``pair_words`` most frequent words.
+   A pair whose sum is ``min_pair_z`` standard deviations from nothing brings in both its words,
+   whatever they say alone, up to ``n_pair_terms``. The machine is fitted anew to all terms kept.
+
+Only the sample's terms among these reach the driver. Scoring adds a column to any table, without a
+shuffle.
 
 Cases: a null or empty text has no terms and gets the score of the bias; unlabelled rows, null
 labels and null ids are not used to fit; without labels of both kinds every score is that of the
@@ -151,6 +158,38 @@ def fit(
     return weight, factor, bias
 
 
+PAIR_BLOCK = 2_000
+
+
+def pair_terms(
+    rows: list[np.ndarray], y: np.ndarray, chance: np.ndarray, words: np.ndarray, min_z: float, limit: int
+) -> list[int]:
+    """The columns among ``words`` of the pairs whose rows are not what ``chance`` says, surest pair first.
+
+    A pair's rows together have ``sum(y - chance)`` more of label 1 than expected, with the variance
+    ``sum(chance * (1 - chance))``; one is added, so that a few rows prove nothing.
+    """
+    place = np.full(int(max(words, default=-1)) + 1, -1)
+    place[words] = np.arange(len(words))
+    surplus = np.zeros((len(words), len(words)), np.float32)
+    variance = np.ones_like(surplus)
+    error, spread = (y - chance).astype(np.float32), (chance * (1 - chance)).astype(np.float32)
+    for at in range(0, len(rows), PAIR_BLOCK):
+        part = range(at, min(at + PAIR_BLOCK, len(rows)))
+        present = np.zeros((len(part), len(words)), np.float32)
+        for i in part:
+            here = place[rows[i][rows[i] < len(place)]]
+            present[i - at, here[here >= 0]] = 1
+        surplus += present.T @ (present * error[part, None])
+        variance += present.T @ (present * spread[part, None])
+    z = np.triu(np.abs(surplus) / np.sqrt(variance), 1)
+    first, second = np.nonzero(z >= min_z)
+    # so many pairs have at least ``limit`` different words
+    best = np.argsort(-z[first, second], kind="stable")[: limit * limit]
+    found = np.stack([words[first[best]], words[second[best]]], axis=1).ravel()
+    return list(dict.fromkeys(found.tolist()))[:limit]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -159,19 +198,25 @@ def train(
     n_terms: int = 2_000,
     min_rows: int = 3,
     min_ratio: float = 15.0,
-    common_share: float = 0.4,
+    pair_words: int = 3_000,
+    min_pair_z: float = 5.5,
+    n_pair_terms: int = 500,
     hash_bits: int = 22,
 ) -> FactorMachine:
     """A model from ``labels(doc_id, <label>)``; ``sample_rows`` bounds what is fitted."""
 
-    @F.pandas_udf("array<int>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            [sorted({t for w in words(x or "") for t in terms(w, hash_bits)}) for x in texts]
-        )
+    @F.pandas_udf("words array<int>, parts array<int>")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        each = [[terms(w, hash_bits) for w in words(x or "")] for x in texts]
+        whole = [sorted({t[0] for t in x}) for x in each]
+        parts = [sorted({t for w in x for t in w[1:]} - set(y)) for x, y in zip(each, whole)]
+        return pd.DataFrame({"words": whole, "parts": parts})
 
     sample = labelled_sample(docs, labels, label, sample_rows)
-    sample = storage.keep(sample.select("label", hashed("text").alias("terms")), "toxic_sample")
+    sample = sample.select("label", hashed("text").alias("found")).select(
+        "label", "found.words", F.concat("found.words", "found.parts").alias("terms")
+    )
+    sample = storage.keep(sample, "toxic_sample")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).head()
     n, bad = totals["n"], totals["bad"] or 0.0
 
@@ -191,19 +236,48 @@ def train(
         .groupBy("term")
         .agg(F.count(F.lit(1)).cast("double").alias("rows"), F.sum("label").alias("bad"))
         .where(F.col("rows") >= min_rows)
-        .where((2 * ratio >= min_ratio) | (F.col("rows") >= common_share * n))
+        .where(2 * ratio >= min_ratio)
         .orderBy(ratio.desc(), "term")
         .limit(n_terms)
     )
-    position = {r["term"]: i for i, r in enumerate(best.select("term").collect())}
-    chosen = F.array([F.lit(t) for t in position] or [F.lit(-1)])
-    few = sample.select("label", F.array_intersect("terms", chosen).alias("terms")).toPandas()
-    rows = [np.array(sorted(position[t] for t in x), np.int64) for x in few["terms"]]
+    often = (
+        sample.select(F.explode("words").alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") >= min_rows)
+        .orderBy(F.desc("rows"), "term")
+        .limit(pair_words)
+    )
+    alone = [r["term"] for r in best.select("term").collect()]
+    frequent = [r["term"] for r in often.select("term").collect()]
+    position = {t: i for i, t in enumerate(dict.fromkeys([*alone, *frequent]))}
+
+    @F.pandas_udf("array<int>")
+    def among(found: pd.Series) -> pd.Series:
+        return pd.Series([sorted(position[t] for t in x.tolist() if t in position) for x in found])
+
+    few = sample.select("label", among("terms").alias("terms")).toPandas()
+    rows = [np.array(x, np.int64) for x in few["terms"]]
     # A fixed order, whatever order the rows arrive in.
     order = sorted(range(len(rows)), key=lambda i: (few["label"][i], rows[i].tolist()))
     y = few["label"].to_numpy(np.float64)[order]
-    weight, factor, bias = fit([rows[i] for i in order], y, len(position))
-    return FactorMachine(hash_bits, position, weight, factor, bias)
+    rows = [rows[i] for i in order]
+    single = [r[r < len(alone)] for r in rows]
+    weight, factor, bias = fit(single, y, len(alone))
+    kept = list(range(len(alone)))
+    if len(y) and y.min() < y.max():
+        chance = sigmoid(margins(single, weight, factor, bias)[0])
+        candidates = np.array([position[t] for t in frequent], np.int64)
+        pairs = pair_terms(rows, y, chance, candidates, min_pair_z, n_pair_terms)
+        added = [c for c in pairs if c >= len(alone)]
+        if pairs:
+            kept += added
+            column = np.full(len(position), -1)
+            column[kept] = np.arange(len(kept))
+            rows = [c[c >= 0] for c in (column[r] for r in rows)]
+            weight, factor, bias = fit(rows, y, len(kept))
+    by_position = list(position)
+    return FactorMachine(hash_bits, {by_position[c]: i for i, c in enumerate(kept)}, weight, factor, bias)
 
 
 def score(docs: DataFrame, model: FactorMachine) -> DataFrame:

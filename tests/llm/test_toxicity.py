@@ -37,6 +37,36 @@ def test_learns_what_single_terms_cannot(spark):
     assert np.mean([(scores[i] >= 0.5) == bool(y) for i, y in labels]) > 0.97
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2, 0.35])
+def test_pairs_of_words_that_say_nothing_alone(spark, share):
+    """Rows with one word are as often bad as rows without: only both together are always bad."""
+    r = random.Random(1)
+    filler = [f"word{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(8000):
+        a, b = r.random() < share, r.random() < share
+        one = max(0.2 - share, 0) / (1 - share)
+        bad = r.random() < (1 if a and b else one if a or b else 0.2)
+        rows.append((i, " ".join(r.choices(filler, k=20) + ["insult"] * a + ["group"] * b), "s", 1, "t"))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = [" ".join(r.choices(filler, k=20)) for _ in range(50)]
+    mean = {
+        extra: toxicity.sigmoid(model.margin([model.columns(f"{t} {extra}", {}) for t in texts])).mean()
+        for extra in ("", "insult", "group", "insult group")
+    }
+    assert mean["insult group"] > 0.6, mean
+    assert max(mean[""], mean["insult"], mean["group"]) < 0.3, mean
+
+
+def test_chance_brings_in_no_pairs():
+    r = np.random.default_rng(3)
+    rows = [np.flatnonzero(r.random(300) < 0.1) for _ in range(3000)]
+    y = (r.random(3000) < 0.1).astype(float)
+    assert toxicity.pair_terms(rows, y, np.full(3000, 0.1), np.arange(300), 5.5, 500) == []
+
+
 def test_words_of_parts(monkeypatch):
     text = " ".join(f"Wörd{i}_x" for i in range(500))
     whole = toxicity.words(text)
