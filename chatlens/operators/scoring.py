@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.functions.lexicon import contains_any, lexicon_verdict
+from chatlens.functions.lexicon import contains_any, lexicon_verdict, sides_found
 from chatlens.functions.replies import (
     BAD_JSON,
     BAD_STRUCTURE,
@@ -24,6 +24,7 @@ from chatlens.functions.replies import (
     parse_reply,
 )
 from chatlens.functions.text import all_columns_hash, fold_case
+from chatlens.operators.joins import contains_join, fits_broadcast, lookup_join
 from chatlens.operators.tagging import explode_hits
 from chatlens.schemas import RESULTS
 from chatlens.storage import keep, new_folder
@@ -98,18 +99,82 @@ def distinct_requests(
     )
 
 
+# Lists of up to so many words become conditions of the plan, longer ones a search.
+FEW_WORDS = 32
+# Word tables of up to this size are shipped to every task, larger ones are joined.
+SHIPPED_MAX_WORDS = 200_000
+SHIPPED_MAX_BYTES = 8 * 1024 * 1024
+
+Words = list[str] | DataFrame
+
+
 def score_by_lexicon(
     tagged: DataFrame,
-    positive: list[str],
-    negative: list[str],
+    positive: Words,
+    negative: Words,
     message_col: str = "messageBody",
+    max_words: int = SHIPPED_MAX_WORDS,
+    max_bytes: int = SHIPPED_MAX_BYTES,
 ) -> DataFrame:
-    """Add ``results`` by word lists; every hit of a message gets the verdict of its text."""
+    """Add ``results`` by word lists; every hit of a message gets the verdict of its text.
+
+    A list may also be a table with a column ``word``, of any size: one of up to ``max_words`` rows and
+    ``max_bytes`` is collected, a larger one is matched by joins. Null words are left out, case does not
+    count, and a blank word is in every text that is not null.
+    """
+    tables = [w for w in (positive, negative) if isinstance(w, DataFrame)]
+    if all(fits_broadcast(t.select("word"), max_words, max_bytes) for t in tables):
+        folded = fold_case(message_col)
+        lists = [_folded_words(w) for w in (positive, negative)]
+        if sum(map(len, lists)) <= FEW_WORDS:
+            sides = F.struct(*[contains_any(folded, w).alias(n) for w, n in zip(lists, SIDES)])
+        else:
+            # of all texts: the hits may hold a subquery, which a function of theirs could not be given
+            sides = sides_found(folded, *lists)
+        judged = tagged.withColumn("_sides", sides)
+    else:
+        judged = _sides_by_join(tagged, positive, negative, message_col)
+    verdict = lexicon_verdict(F.col("_sides.positive"), F.col("_sides.negative"))
+    return _same_verdict(judged, verdict).drop("_sides")
+
+
+SIDES = ["positive", "negative"]
+
+
+def _folded_words(words: Words) -> list[str]:
+    if isinstance(words, DataFrame):
+        table = words.select(fold_case("word").alias("word")).where("word IS NOT NULL").distinct()
+        return sorted(r["word"] for r in table.collect())
+    return [w.lower() for w in words]
+
+
+def _sides_by_join(tagged: DataFrame, positive: Words, negative: Words, message_col: str) -> DataFrame:
+    """Add ``_sides`` for word tables of any size: found once per distinct text that has hits."""
+    spark = tagged.sparkSession
+    tables = []
+    for words, side in zip((positive, negative), SIDES):
+        if not isinstance(words, DataFrame):
+            words = spark.createDataFrame([(w,) for w in words], "word string")
+        tables.append(words.select(fold_case("word").alias("_word"), F.lit(side).alias("_side")))
+    words = keep(tables[0].union(tables[1]).where("_word IS NOT NULL").distinct(), "words")
     folded = fold_case(message_col)
-    verdict = lexicon_verdict(
-        contains_any(folded, [w.lower() for w in positive]),
-        contains_any(folded, [w.lower() for w in negative]),
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # kept, as the texts are cut into blocks more than once
+    texts = tagged.where(F.size("hits") > 0).select(folded.alias("_folded")).where("_folded IS NOT NULL")
+    texts = texts.distinct().withColumn("_text", F.sha2("_folded", 256)).repartition(partitions, "_text")
+    found = contains_join(keep(texts, "texts"), "_text", "_folded", words, "_word")
+    of_text = lookup_join(found, words, ["_word"]).groupBy("_text").agg(
+        *[F.bool_or(F.col("_side") == side).alias(side) for side in SIDES]
     )
+    own_key = F.concat(F.lit("-"), all_columns_hash(tagged.columns).cast("string"))
+    text_id = F.when((F.size("hits") > 0) & folded.isNotNull(), F.sha2(folded, 256)).otherwise(own_key)
+    joined = lookup_join(tagged.withColumn("_text", text_id), of_text, ["_text"], "left")
+    sides = F.struct(*[F.coalesce(side, F.lit(False)).alias(side) for side in SIDES])
+    return joined.select(*tagged.columns, sides.alias("_sides"))
+
+
+def _same_verdict(tagged: DataFrame, verdict: Column) -> DataFrame:
+    """Give every hit of a message the same verdict."""
     judged = tagged.withColumn("_verdict", F.when(F.size("hits") > 0, verdict))
     return judged.withColumn(
         "results",

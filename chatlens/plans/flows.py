@@ -58,7 +58,7 @@ def load_routed(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lexicon_scorer(
-    positive: list[str], negative: list[str], message_col: str = "messageBody"
+    positive: scoring.Words, negative: scoring.Words, message_col: str = "messageBody"
 ) -> ScoreStep:
     return lambda tagged: scoring.score_by_lexicon(tagged, positive, negative, message_col)
 
@@ -122,8 +122,8 @@ def run(
     score: ScoreStep | None = None,
     message_col: str = "messageBody",
     required: str = tagging.ANY,
-    positive: list[str] | None = None,
-    negative: list[str] | None = None,
+    positive: scoring.Words | None = None,
+    negative: scoring.Words | None = None,
     **limits,
 ) -> DataFrame:
     """Everything: merge, route, tag, score. ``sheet`` holds the category of each chat.
@@ -136,7 +136,9 @@ def run(
     routed = rows.drop_duplicate_rows(route_chats(united, group_info))
     chats = rows.chat_rows(routed, keep=["nature"]).withColumnRenamed("nature", "sheet")
     if score is None:
-        score = lexicon_scorer(positive or [], negative or [], message_col)
+        score = lexicon_scorer(
+            [] if positive is None else positive, [] if negative is None else negative, message_col
+        )
     return analyse(chats, rules, score, message_col, required, **limits)
 
 

@@ -248,6 +248,17 @@ FROM canon b LEFT JOIN scored s ON {SAME} GROUP BY b.conv_id, b.turn""",
     )
 
 
+WORD_SIDES = """words AS (
+  SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{10,}')) AS word FROM documents),
+sides AS (
+  SELECT m."messageBody" AS body, coalesce(bool_or(length(w.word) % 2 = 0), false) AS pos,
+    coalesce(bool_or(length(w.word) % 2 = 1), false) AS neg
+  FROM (SELECT DISTINCT b."messageBody" FROM base b JOIN final f USING (conv_id, turn)) m
+  LEFT JOIN words w ON contains(lower(m."messageBody"), w.word) GROUP BY m."messageBody")"""
+WORD_VERDICTS = """SELECT f.conv_id, f.turn, f.header,
+  CASE WHEN s.pos AND NOT s.neg THEN 'P' WHEN s.neg AND NOT s.pos THEN 'N' ELSE 'I' END AS sentiment
+FROM final f JOIN base b USING (conv_id, turn) JOIN sides s ON s.body = b."messageBody\""""
+
 ORACLE: dict[str, str] = {
     "union_exports": _with([BASE, BOTH], f"SELECT {CANONICAL} FROM both_slices"),
     "merge_dedupe": _with([BASE, BOTH], "SELECT DISTINCT * FROM both_slices"),
@@ -380,6 +391,8 @@ WHERE r.required_keyword = ''""",
     "lexicon_scores": _with(
         [*TAGGING, SCORED], "SELECT conv_id, turn, header, sentiment FROM scored"
     ),
+    "lexicon_word_tables": _with([*TAGGING, WORD_SIDES], WORD_VERDICTS),
+    "lexicon_word_join": _with([*TAGGING, WORD_SIDES], WORD_VERDICTS),
     "parse_replies": _with(
         [_replies()],
         """SELECT conv_id, turn, status,

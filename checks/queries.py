@@ -315,6 +315,28 @@ def lexicon_scores(spark, sf):
     return _results(_scored(spark, sf)).select(*KEYS, "r.header", "r.sentiment")
 
 
+def _document_words(spark, sf, odd: int):
+    """The words of the documents with 10 or more small letters, by the parity of their length."""
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    found = F.explode(F.regexp_extract_all("text", F.lit("[a-z]{10,}"), F.lit(0)))
+    return texts.select(found.alias("word")).distinct().where(F.length("word") % 2 == odd)
+
+
+@query
+def lexicon_word_tables(spark, sf):
+    """Words by search: the tables fit the bound."""
+    words = [_document_words(spark, sf, odd) for odd in (0, 1)]
+    return _results(scoring.score_by_lexicon(_tagged(spark, sf), *words)).select(*KEYS, "r.header", "r.sentiment")
+
+
+@query
+def lexicon_word_join(spark, sf):
+    """Words by joins: the tables are above the bound given."""
+    words = [_document_words(spark, sf, odd) for odd in (0, 1)]
+    scored = scoring.score_by_lexicon(_tagged(spark, sf), *words, max_words=10)
+    return _results(scored).select(*KEYS, "r.header", "r.sentiment")
+
+
 @query
 def parse_replies(spark, sf):
     return (

@@ -1,6 +1,7 @@
 """Replies, retries, model scoring and the final cells."""
 
 import os
+import random
 import uuid
 
 import pytest
@@ -11,6 +12,7 @@ from chatlens import fixtures as fx
 from chatlens.functions.replies import parse_reply
 from chatlens.operators import scoring, tagging
 from chatlens.plans import flows
+from chatlens.schemas import HITS
 
 RULES = [("a", "one", "foo", None), ("b", "one", "bar", None)]
 
@@ -225,3 +227,33 @@ def test_a_run_that_died_goes_on_where_it_ended(spark, tmp_path):
     assert len(asked) == len(set(asked)) == 7  # four requests, of which three are asked a second time
     score(messages)
     assert len(os.listdir(folder)) == 7
+
+
+def test_word_lists_of_any_size(spark):
+    """Conditions, search and joins give the same verdicts as testing every word."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcäİ", k=r.randint(1, 5)))
+    positive = [word().upper() for _ in range(20)]
+    negative = [word() for _ in range(20)] + positive[:2]
+    texts = [None, "", *["".join(r.choices("abcäİ ", k=r.randint(0, 12))) for _ in range(150)]]
+    hits = [(1, "h")]
+    rows = [(i, t, hits if i % 5 else []) for i, t in enumerate(texts + texts[:40])]
+    tagged = spark.createDataFrame(rows, f"id int, messageBody string, hits {HITS.simpleString()}")
+    table = lambda words: spark.createDataFrame([(w,) for w in [*words, None]], "word string")
+
+    def verdicts(a, b, **limits):
+        scored = scoring.score_by_lexicon(tagged, a, b, **limits)
+        assert scored.columns == ["id", "messageBody", "hits", "results"]
+        return {x.id: [(y.header, y.sentiment) for y in x.results] for x in scored.collect()}
+
+    for a, b in ((positive, negative), (positive + [""], negative), ([], negative), ([], [])):
+        folded = [[w.lower() for w in words] for words in (a, b)]
+        want = {}
+        for i, text, own in rows:
+            p, n = [text is not None and any(w in text.lower() for w in words) for words in folded]
+            want[i] = [(h, "P" if p and not n else "N" if n and not p else "I") for _, h in own]
+        assert verdicts(a, b) == want
+        assert verdicts(table(a), b) == want
+        assert verdicts(table(a), table(b), max_words=1) == want
+        many = [f"zz{i}" for i in range(20_000)]
+        assert verdicts(a + many, b + many[:50]) == want
