@@ -434,19 +434,20 @@ def with_reason(scored: DataFrame) -> DataFrame:
     return scored.withColumn("Reason", F.concat(before, reason_text(F.col("results"))))
 
 
+def sentiment_cells(scored: DataFrame) -> DataFrame:
+    """One column ``cells``, a map of the headers hit: ``1`` if scoring failed, else P, N or I.
+
+    For any number of headers; ``sinks.files.write_wide`` writes it with a column for each.
+    """
+    cells = F.transform(
+        "results",
+        lambda r: F.struct(r["header"], F.when(r["success"], r["sentiment"]).otherwise(F.lit("1"))),
+    )
+    return scored.withColumn("cells", F.map_from_entries(cells)).drop("hits", "results")
+
+
 def wide_sentiment(scored: DataFrame, headers: list[str]) -> DataFrame:
     """One text column per header: blank without a hit, ``1`` if scoring failed, else P, N or I."""
-    cells = F.map_from_entries(
-        F.transform(
-            "results",
-            lambda r: F.struct(
-                r["header"],
-                F.when(r["success"], r["sentiment"]).otherwise(F.lit("1")),
-            ),
-        )
-    )
-    kept = scored.drop("hits", "results").columns
-    return scored.withColumn("_cells", cells).select(
-        *kept,
-        *[F.coalesce(F.col("_cells")[h], F.lit("")).alias(h) for h in headers],
-    )
+    given = sentiment_cells(scored.withColumnRenamed("cells", "_own") if "cells" in scored.columns else scored)
+    kept = [F.col(c).alias("cells" if c == "_own" else c) for c in given.drop("cells").columns]
+    return given.select(*kept, *[F.coalesce(F.col("cells")[h], F.lit("")).alias(h) for h in headers])

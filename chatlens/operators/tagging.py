@@ -388,3 +388,9 @@ def wide_tags(tagged: DataFrame, headers: list[str]) -> DataFrame:
         *tagged.drop("hits").columns,
         *[F.array_contains("_names", h).cast("int").alias(h) for h in headers],
     )
+
+
+def tag_cells(tagged: DataFrame) -> DataFrame:
+    """``wide_tags`` for any number of headers: one column ``cells``, a map of the headers hit to ``1``."""
+    cells = F.transform("hits", lambda h: F.struct(h["header"], F.lit("1")))
+    return tagged.withColumn("cells", F.map_from_entries(cells)).drop("hits")

@@ -98,9 +98,11 @@ def analyse(
     full_fold: bool = False,
     max_rules: int = tagging.SHIPPED_MAX_RULES,
     max_bytes: int = tagging.SHIPPED_MAX_BYTES,
+    as_cells: bool = False,
 ) -> DataFrame:
     """The final table: the chat columns and one sentiment column per header.
 
+    With ``as_cells`` a map ``cells`` takes the place of the header columns, however many there are.
     A rule table of up to ``max_rules`` rows and ``max_bytes`` is shipped to every task.
     """
     index = tagging.index_rules(
@@ -108,11 +110,13 @@ def analyse(
     )
     if index is None:
         tagged = tagging.tag_by_join(chats, rules, message_col, required, full_fold=full_fold)
-        headers = tagging.header_names(rules)
     else:
         tagged = tagging.tag_by_index(chats, index, message_col, full_fold)
-        headers = index.headers
-    return scoring.wide_sentiment(scoring.with_reason(score(tagged)), headers)
+    scored = scoring.with_reason(score(tagged))
+    if as_cells:
+        return scoring.sentiment_cells(scored)
+    headers = tagging.header_names(rules) if index is None else index.headers
+    return scoring.wide_sentiment(scored, headers)
 
 
 def run(

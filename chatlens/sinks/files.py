@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.operators.rows import CHRONOLOGICAL, sort_chats
@@ -88,3 +88,57 @@ def write_sheets(
 ) -> None:
     """One folder per category, chat by chat in order."""
     write_table(_in_order(final, mode, date_format), path, file_format, ["sheet"])
+
+
+FIRST_ROWS = (1 << 33) - 1
+
+
+def _csv_field(value: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(value.rlike("[\",\r\n]"), quoted).otherwise(F.coalesce(value, F.lit("")))
+
+
+def write_wide(
+    table: DataFrame,
+    headers: DataFrame,
+    path: str,
+    blank: str = "",
+    mode: str = CHRONOLOGICAL,
+    date_format: str = "d/M/yyyy",
+) -> None:
+    """CSV with a column for each row of ``headers(headers, ord)``, filled from the map ``cells``; else ``blank``.
+
+    The header columns are one array expression, so that the plan is as small for 20,000 of them as for two.
+    Tables with a chat (``sheet``, ``Source``, ``Date2``, ``Time``) are ordered as ``write_final`` does, others
+    stay as they are. Each file begins with the header line; a table without rows gives no file. Nulls
+    are written as blanks. The line of all headers is one text, as it is one in the file.
+    """
+    base = [c for c in table.columns if c != "cells"]
+    in_order = F.array_sort(F.collect_list(F.struct("ord", "headers")))
+    # one row, which every task gets once
+    names = headers.select("ord", "headers").agg(in_order["headers"].alias("names"))
+    names = names.select("names", F.array_join(F.transform("names", _csv_field), ",").alias("top"))
+    # values are quoted in the map, not in the many fields
+    quoted = F.transform_values("cells", lambda _, v: _csv_field(v))
+    cell = lambda h: F.coalesce(F.element_at("_quoted", h), _csv_field(F.lit(blank)))
+    filled = table.withColumn("_quoted", quoted).withColumn("_names", names.select("names").scalar())
+    cells = F.array_join(F.transform("_names", cell), ",")
+    filled = filled.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in base], cells.alias("_cells"))
+    if {"sheet", "Source", "Date2", "Time"} <= set(base):
+        filled = _in_order(filled, mode, date_format)
+    any_header = F.size(names.select("names").scalar()) > 0
+    lines = lambda fields, more: F.concat(
+        F.concat_ws(",", *fields), F.when(any_header, F.concat(F.lit("," if base else ""), more)).otherwise("")
+    )
+    line = lines([_csv_field(F.col(f"`{c}`")) for c in base], F.col("_cells"))
+    top = lines([_csv_field(F.lit(c)) for c in base], names.select("top").scalar())
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(FIRST_ROWS)) == 0
+    numbered = filled.select(line.alias("_line"), first.alias("_first"))
+    text = F.when(F.col("_first"), F.concat(top, F.lit("\n"), F.col("_line"))).otherwise(F.col("_line"))
+    numbered.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_cells(table: DataFrame, headers: list[str], blank: str = "") -> DataFrame:
+    """The columns of some headers out of the map ``cells`` of a stored table."""
+    kept = [F.col(f"`{c}`") for c in table.columns if c != "cells"]
+    return table.select(*kept, *[F.coalesce(F.element_at("cells", F.lit(h)), F.lit(blank)).alias(h) for h in headers])

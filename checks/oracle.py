@@ -370,6 +370,11 @@ WHERE r.required_keyword = ''""",
         [BASE, DOCUMENT_RULES, RULES, CONVERSATION_HITS],
         "SELECT conv_id, turn, header FROM final",
     ),
+    "wide_many_headers": _with(
+        [BASE, DOCUMENT_RULES, RULES, CONVERSATION_HITS],
+        """SELECT conv_id, turn, header,
+  CAST((SELECT count(*) FROM heads) + 2 AS INTEGER) AS n_columns FROM final""",
+    ),
     "tag_wide": _with(
         TAGGING,
         "SELECT b.conv_id, b.turn, "

@@ -290,6 +290,27 @@ def tag_wide(spark, sf):
     return tagging.wide_tags(tagged, tagging.header_names(_rules(spark)))
 
 
+@query
+def wide_many_headers(spark, sf):
+    """A file with a column for each of the many headers, read back line by line."""
+    folder = new_folder(spark, "wide")
+    rules = flows.prepare_rules(fx.document_rules(spark, sf))
+    messages = fx.conversation_exports(spark, sf).select(*KEYS, "messageBody")
+    tagged = tagging.tag_messages(messages, rules).drop("messageBody")
+    sinks.write_wide(tagging.tag_cells(tagged), rule_ops.header_order(rules), folder, blank="0")
+    fields = spark.read.text(folder).select(F.split("value", ",").alias("f"))
+    top = fields.where(F.col("f")[0] == KEYS[0]).select("f").distinct()
+    rows_read = fields.where(F.col("f")[0] != KEYS[0]).withColumn("names", top.scalar())
+    hit = F.filter(F.arrays_zip("names", "f"), lambda x: x["f"] == "1")
+    hit = F.filter(hit, lambda x: ~x["names"].isin(KEYS))
+    return rows_read.select(
+        F.col("f")[0].cast("long").alias(KEYS[0]),
+        F.col("f")[1].cast("int").alias(KEYS[1]),
+        F.size("f").alias("n_columns"),
+        F.explode(F.transform(hit, lambda x: x["names"])).alias("header"),
+    )
+
+
 # scoring
 
 

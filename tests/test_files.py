@@ -1,9 +1,11 @@
 """CSV and lookup files with everything that goes wrong in practice."""
 
+import csv
 import os
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from chatlens.operators.rows import chat_rows, sort_chats
 from chatlens.plans import flows
@@ -240,3 +242,31 @@ def test_canonical_columns(spark):
     row = chat_rows(df, source=F.lit("s")).first().asDict()
     assert list(row) == ["Source", "Group", "Date1", "Date2", "Time", "userPhone", "quotedMessage", "messageBody", "mediaType", "mediaCaption", "Reason"]
     assert (row["userPhone"], row["messageBody"], row["Date1"]) == ("7", "", None)
+
+
+def test_twenty_thousand_columns(spark, tmp_path):
+    """Every header gets its column, whatever the texts contain, and the plan stays small."""
+    n = 20_000
+    headers = spark.range(n).select(F.concat(F.lit('h,"'), "id").alias("headers"), (n - F.col("id")).alias("ord"))
+    rows = [
+        (1, 's"1', "two\nlines, and a comma", {'h,"0': "P", f'h,"{n - 1}': "N"}),
+        (2, None, "", {}),
+        (3, "é", "x", {'h,"7': "1"}),
+    ]
+    table = spark.createDataFrame(rows, "id int, `a.b` string, text string, cells map<string,string>")
+    sinks.write_wide(table.repartition(2, "id"), headers, str(tmp_path / "wide"))
+    read = {}
+    for path in (tmp_path / "wide").glob("part-*"):
+        with open(path, encoding="utf-8", newline="") as f:
+            top, *body = list(csv.reader(f))
+        assert top == ["id", "a.b", "text", *[f'h,"{i}' for i in reversed(range(n))]]
+        for row in body:
+            cells = {h: v for h, v in zip(top[3:], row[3:], strict=True) if v}
+            read[int(row[0])] = (*row[1:3], cells)
+    assert read == {i: (a or "", t, c) for i, a, t, c in rows}
+    sinks.write_wide(table.limit(0), headers, str(tmp_path / "none"))
+    sinks.write_wide(table, headers.limit(0), str(tmp_path / "plain"))
+    lines = spark.read.text(str(tmp_path / "plain")).where("value like 'id%'").distinct().collect()
+    assert [r.value for r in lines] == ["id,a.b,text"]
+    one = sinks.read_cells(table, ['h,"7', "other"], blank="-").where("id = 3").first()
+    assert tuple(one)[3:] == ("1", "-")

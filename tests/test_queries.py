@@ -8,6 +8,10 @@ import __spark_entry__
 from checks.compare import difference, open_tables
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from chatlens import fixtures as fx
+from chatlens.operators import tagging
+from chatlens.plans import flows
+from chatlens.sinks import files as sinks
 
 HEADERS = [
     "thal_one", "thal_two", "thal_generic", "enor_pro", "enor_max", "enor_lite",
@@ -106,3 +110,17 @@ def test_hits_of_final_table_are_distinct_cells(spark):
     )
     assert wide.count() == 536
     assert both.count() == 0
+
+
+def test_final_table_as_cells(spark):
+    """The map of cells read back by name is the wide table."""
+    folder = sf("0.001")
+    wide = QUERIES["final_table"](spark, folder)
+    run = flows.run(
+        fx.export_slices(spark, folder), fx.group_info(spark), fx.rules(spark),
+        positive=fx.POSITIVE, negative=fx.NEGATIVE, as_cells=True,
+    )
+    headers = tagging.header_names(flows.prepare_rules(fx.rules(spark)))
+    cells = sinks.read_cells(run.drop("sheet"), headers)
+    assert cells.columns == wide.columns and headers
+    assert sorted(map(str, cells.collect())) == sorted(map(str, wide.collect()))
