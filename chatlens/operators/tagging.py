@@ -71,6 +71,8 @@ def rule_needles(rules: DataFrame, required: str = ANY, full_fold: bool = False)
     ``any``: one of the looked-up keywords must occur. ``literal``: their joined text must. Both are
     kept by requirement and not by rule. A rule whose requirement is not resolved asks for nothing.
     """
+    # kept, as they are read several times and may be dear to derive; of their resolved form nothing is needed
+    rules = keep(rules.select("idx", "headers", "keyword", *REQUIREMENT), "rules")
     words = requirement_words(rules)
     if required == ANY:
         alternatives = words.select(*REQUIREMENT, fold_case("keyword", full_fold).alias("needle"))
@@ -182,52 +184,55 @@ def find_batched(folded: Column, needles: list[str]) -> Column:
 
 
 def index_row(messages: DataFrame, index: RuleIndex) -> DataFrame:
-    """The rule index as one row, to be used as a scalar subquery."""
-    rule = pa.struct([("pos", pa.int32()), ("required", pa.int32())])
+    """The rule index as one row, to be used as a scalar subquery.
+
+    ``simple``: places of the headers a needle hits by itself. ``asking``: those it hits if a requirement is
+    met, as pairs. ``meets``: the requirements a needle meets. ``granted``: the pairs of a requirement.
+    ``suppresses``: the generic headers a header stands for. A pair is the number of the requirement times the
+    number of headers plus the place of the header.
+    """
+    n = len(index.headers)
+    simple = [sorted({r["pos"] for r in of if r["required"] < 0}) for of in index.rules_of_needle]
+    asking = [
+        sorted({r["required"] * n + r["pos"] for r in of if r["required"] >= 0}) for of in index.rules_of_needle
+    ]
+    meets: list[list[int]] = [[] for _ in index.needles]
+    for q, needles in enumerate(index.requirements):
+        for needle in needles:
+            meets[needle].append(q)
+    granted: list[list[int]] = [[] for _ in index.requirements]
+    for pair in sorted({p for pairs in asking for p in pairs}):
+        granted[pair // n].append(pair)
+    suppresses: list[list[int]] = [[] for _ in index.headers]
+    for generic, specifics in enumerate(index.suppressors):
+        for p in specifics:
+            suppresses[p].append(generic)
     head = pa.struct([("ord", pa.int64()), ("header", pa.string())])
     headers = [{"ord": o, "header": h} for o, h in zip(index.ords, index.headers)]
+    lists = dict(simple=simple, asking=asking, meets=meets, granted=granted, suppresses=suppresses)
     table = pa.table(
-        {
-            "rules": pa.array([index.rules_of_needle], pa.list_(pa.list_(rule))),
-            "requirements": pa.array([index.requirements], pa.list_(pa.list_(pa.int32()))),
-            "suppressors": pa.array([index.suppressors], pa.list_(pa.list_(pa.int32()))),
-            "headers": pa.array([headers], pa.list_(head)),
-        }
+        {name: pa.array([of], pa.list_(pa.list_(pa.int64()))) for name, of in lists.items()}
+        | {"headers": pa.array([headers], pa.list_(head))}
     )
     return messages.sparkSession.createDataFrame(table)
 
 
-def resolve_hits(
-    found: Column, rules: Column, requirements: Column, suppressors: Column, headers: Column
-) -> Column:
-    """Headers hit, given the numbers of the needles found in a text.
+def resolve_hits(found: Column, index: dict[str, Column]) -> Column:
+    """Headers hit, given the numbers of the needles found in a text and the columns of ``index_row``.
 
-    Only the rules of the found needles are looked at, and each requirement they ask for is decided
-    once. A generic header is dropped if one of its suppressors is hit as well.
+    Only what belongs to the needles found is looked at, and by set operations, so that the time grows with the
+    rules of these needles. A generic header is dropped if one of its suppressors is hit as well.
     """
 
-    def satisfied(rules_found: Column) -> Column:
-        asked = F.array_distinct(F.transform(rules_found, lambda r: r["required"]))
-        met = F.filter(
-            asked,
-            lambda q: F.when(q < 0, True).otherwise(
-                F.arrays_overlap(F.get(requirements, q), found)
-            ),
-        )
-        return let(
-            met, lambda m: F.filter(rules_found, lambda r: F.array_contains(m, r["required"]))
-        )
+    def of(numbers: Column, name: str) -> Column:
+        return F.flatten(F.transform(numbers, lambda i: F.element_at(index[name], (i + 1).cast("int"))))
 
-    rules_found = F.flatten(F.transform(found, lambda n: F.element_at(rules, n + 1)))
-    true = let(rules_found, satisfied)
-    positions = F.sort_array(F.array_distinct(F.transform(true, lambda r: r["pos"])))
-    kept = let(
-        positions,
-        lambda hit: F.filter(
-            hit, lambda p: ~F.arrays_overlap(F.element_at(suppressors, p + 1), hit)
-        ),
-    )
-    hits = F.transform(kept, lambda p: F.element_at(headers, p + 1))
+    met = F.array_distinct(of(found, "meets"))
+    pairs = F.array_intersect(of(found, "asking"), of(met, "granted"))
+    asked = F.transform(pairs, lambda p: F.pmod(p, F.size(index["headers"]).cast("bigint")))
+    hit = F.array_distinct(F.concat(of(found, "simple"), asked))
+    kept = let(hit, lambda h: F.sort_array(F.array_except(h, of(h, "suppresses"))))
+    hits = F.transform(kept, lambda p: F.element_at(index["headers"], (p + 1).cast("int")))
     return F.when(F.size(found) > 0, hits).otherwise(F.array().cast(HITS))
 
 
@@ -277,13 +282,13 @@ def tag_by_index(
         return messages.withColumn("hits", F.array().cast(HITS))
     found = find_batched(fold_case(message_col, full_fold), index.needles)
     row = index_row(messages, index)
-    names = ["rules", "requirements", "suppressors", "headers"]
+    names = {n: f"_{n}" for n in row.columns}
     with_index = messages.withColumn("_found", found).withColumns(
-        {f"_{n}": row.select(n).scalar() for n in names}
+        {own: row.select(n).scalar() for n, own in names.items()}
     )
     return with_index.withColumn(
-        "hits", resolve_hits(F.col("_found"), *[F.col(f"_{n}") for n in names])
-    ).drop("_found", *[f"_{n}" for n in names])
+        "hits", resolve_hits(F.col("_found"), {n: F.col(own) for n, own in names.items()})
+    ).drop("_found", *names.values())
 
 
 def tag_by_join(
