@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.functions.text import day_first_date, second_of_day, without_csv
+from chatlens.functions.text import all_columns_hash, day_first_date, second_of_day, without_csv
 from chatlens.operators.joins import fits_broadcast, lookup_join
 from chatlens.schemas import CHAT_COLUMNS
 from chatlens.storage import keep
@@ -31,6 +31,36 @@ def drop_duplicate_rows(chats: DataFrame) -> DataFrame:
     return chats.distinct()
 
 
+# Bits of the filter that tells rows that may be repeated: 2 ** 27 are 16 MB at most.
+FILTER_BITS = 27
+
+
+def drop_repeated_rows(chats: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``drop_duplicate_rows`` that shuffles hashes first, and whole rows only if their hash is met twice.
+
+    The repeated hashes set the bits of a filter of at most 2 ** ``filter_bits`` bits, which is broadcast. A row whose bit is
+    not set is the only one of its kind and stays where it is; all others are compared as a whole, so that neither equal
+    hashes nor shared bits change the result. The more rows are repeated, the more unique ones share a bit and
+    are shuffled as well. The input is read three times: it should be stored, and must be the same each time.
+    """
+    # the row in one struct, so that its columns may have any names
+    row = F.struct(*[F.col(f"`{c}`") for c in chats.columns])
+    hashed = chats.select(row.alias("_row"), all_columns_hash(chats.columns).alias("_hash"))
+    place = F.col("_hash").bitwiseAND(F.lit(2**filter_bits - 1))
+    repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    filters = repeated.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), F.pmod(at, F.lit(8)).cast("int"))
+    marked = hashed.withColumn("_bucket", F.bitmap_bucket_number(place)).join(
+        F.broadcast(filters), "_bucket", "left"
+    )
+    maybe = F.coalesce(bit, F.lit(0)) == 1
+    return marked.where(~maybe).select("_row.*").union(marked.where(maybe).select("_row.*").distinct())
+
+
 def fill_nulls(df: DataFrame) -> DataFrame:
     return df.fillna("")
 

@@ -27,12 +27,17 @@ from chatlens.sources.lookups import scan_group_info, scan_keywords
 ScoreStep = Callable[[DataFrame], DataFrame]
 
 
-def merge_exports(exports: list[DataFrame]) -> DataFrame:
+def merge_exports(exports: list[DataFrame], hash_first: bool = True) -> DataFrame:
     """Unite exports by column name and drop identical rows of a chat.
 
-    Order is a matter of output: see ``sort_chats`` and the sinks.
+    With ``hash_first`` stored exports are read three times and rows that are not repeated stay where they are; without, they are
+    read once and all rows are shuffled. Order is a matter of output: see ``sort_chats`` and the sinks.
     """
-    return rows.drop_duplicate_rows(rows.union_exports(exports))
+    return _without_duplicates(rows.union_exports(exports), hash_first)
+
+
+def _without_duplicates(chats: DataFrame, hash_first: bool) -> DataFrame:
+    return rows.drop_repeated_rows(chats) if hash_first else rows.drop_duplicate_rows(chats)
 
 
 def prepare_rules(keywords: DataFrame) -> DataFrame:
@@ -128,16 +133,18 @@ def run(
     required: str = tagging.ANY,
     positive: scoring.Words | None = None,
     negative: scoring.Words | None = None,
+    hash_first: bool = True,
     **limits,
 ) -> DataFrame:
     """Everything: merge, route, tag, score. ``sheet`` holds the category of each chat.
 
-    A column that all exports lack is an error. ``limits`` are further options of ``analyse``.
+    A column that all exports lack is an error. ``hash_first`` is that of ``merge_exports``, ``limits`` are further
+    options of ``analyse``.
     """
     rules = prepare_rules(keywords)
     united = check_chats(rows.union_exports(exports))
     # route first: the rows of chats without a category then skip the shuffle
-    routed = rows.drop_duplicate_rows(route_chats(united, group_info))
+    routed = _without_duplicates(route_chats(united, group_info), hash_first)
     chats = rows.chat_rows(routed, keep=["nature"]).withColumnRenamed("nature", "sheet")
     if score is None:
         score = lexicon_scorer(
@@ -154,11 +161,13 @@ def run_files(
     bad_files: str = "skip",
     na_tokens: list[str] | None = None,
     required_columns: list[str] = EXPORT_COLUMNS,
+    hash_first: bool = False,
     **options,
 ) -> DataFrame:
     """``run`` on files: a tree of CSV exports and the two lookup files.
 
-    A file that lacks one of ``required_columns`` is an error.
+    A file that lacks one of ``required_columns`` is an error. ``hash_first`` reads the exports three times, which for CSV
+    takes longer than a shuffle of the rows unless storage is fast.
     """
     exports = scan_exports(
         spark, exports_root, bad_files, required=required_columns, na_tokens=na_tokens
@@ -167,5 +176,6 @@ def run_files(
         [exports],
         scan_group_info(spark, group_info_path),
         scan_keywords(spark, keywords_path),
+        hash_first=hash_first,
         **options,
     )

@@ -86,6 +86,45 @@ def test_duplicates_with_nulls(spark):
     )
 
 
+def brute_distinct(raw):
+    return sorted(set(raw), key=repr)
+
+
+@pytest.mark.parametrize("bits", [15, 18, rows.FILTER_BITS])
+def test_repeated_rows_by_hash(spark, bits):
+    # a third of all rows are copies of one, some are met twice, nulls and blanks differ
+    raw = [("hot", None, "1", "same")] * 2000
+    raw += [("c", f"{i}", None if i % 3 else "", f"text {i}") for i in range(3000)]
+    raw += [("c", f"{i}", None if i % 3 else "", f"text {i}") for i in range(0, 3000, 7)]
+    chats = spark.createDataFrame(raw, SCHEMA).repartition(5)
+    assert rows_of(rows.drop_repeated_rows(chats, bits)) == brute_distinct(raw)
+
+
+def test_repeated_rows_of_any_columns(spark):
+    raw = [(0.0, 1, 2, None), (-0.0, 1, 2, None), (float("nan"), 1, 2, "x"), (float("nan"), 1, 2, "x"), (1.5, None, 2, "x")]
+    chats = spark.createDataFrame(raw, "_bits double, _hash int, `_row.a` int, _bucket string")
+    found = rows.drop_repeated_rows(chats)
+    assert found.columns == chats.columns
+    assert repr(rows_of(found)) == repr(rows_of(chats.distinct()))
+    assert found.count() == 3
+    empty = spark.createDataFrame([], SCHEMA)
+    assert rows.drop_repeated_rows(empty).collect() == []
+    assert rows_of(rows.drop_repeated_rows(chats.select("_hash"))) == [(1,), (None,)]
+
+
+def test_unique_rows_are_not_shuffled(spark, tmp_path):
+    raw = [(f"c{i % 9}", f"{i}", "1", f"text {i}") for i in range(3000)]
+    spark.createDataFrame(raw + raw[:20], SCHEMA).write.parquet(str(tmp_path / "chats"))
+    found = rows.drop_repeated_rows(spark.read.parquet(str(tmp_path / "chats")))
+    assert found.count() == 3000
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    unique = final[: final.index("HashAggregate(keys=[")]
+    assert "Exchange hashpartitioning(messageBody" not in final
+    assert "BroadcastHashJoin" in unique and "hashpartitioning(Source" not in unique
+
+
 def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([("1", "2")], "a string, b string")
     b = spark.createDataFrame([("3", "4")], "c string, a string")
