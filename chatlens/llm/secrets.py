@@ -8,10 +8,12 @@ out as nested conditions, scores them. What the forest takes for a secret is a f
 
 The forest is fitted by Spark on labelled findings ``left, value, right, label``. ``labelled_findings``
 makes such a table from a bounded sample of about ``sample_docs`` documents: their own candidates,
-labelled by whether they are assigned to a secret's name or have a secret's form, and values derived
+labelled by whether they are assigned to a secret's name, stand for a password in an address or have a secret's form, and values derived
 from them in places known to be secrets or harmless; private keys and tokens with a provider's
 prefix are secrets wherever they stand. A table of own, reviewed findings can be given instead.
 
+A value and its name may be 64 blanks apart on each side of the sign between them; quoted values end at their quote, others at a blank.
+
 Cases: a null text has no candidates and stays null; candidates of any length and number are
 scored; a null ``doc_id`` and repeated rows are scanned like all others; an empty table gives no
 rows, and a forest that saw one label only says that label; the columns ``findings`` and
@@ -31,26 +33,30 @@ from chatlens import storage
 from chatlens.llm.common import hash_share, let
 
 PLACEHOLDER = "[SECRET]"
-LEFT_CHARS = 80
+LEFT_CHARS = 120
 RIGHT_CHARS = 16
-SECRET_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private|credential|auth(?!ors?\\b|orit)|bearer"
+SECRET_WORDS = "token|secret|passw|passphrase|(?<![a-z])pass(?![a-z])|pwd|api.?key|access.?key|private|credential|auth(?!ors?\\b|orit)|bearer"
 HASH_WORDS = "commit|sha-?\\d|md5|checksum|digest|etag|uuid|revision|version|build|order|card|phone|number|isbn"
 SAMPLE_WORDS = "example|sample|test|dummy|placeholder|your|changeme|xxx|fake"
 #: A name and what assigns a value to it, in lower or upper case; of bounded length, as it is looked back at.
 _SCHEME = "(?:(?:bearer|basic)\\s{1,4})?"
-_ASSIGNED = f"(?:{SECRET_WORDS})[a-z0-9_-]{{0,20}}[\"'`]?\\]?\\s{{0,16}}[=:]{{1,2}}>?\\s{{0,16}}[\"'`]?{_SCHEME}"
+_TOLD = "(?:passw(?:or)?d|passphrase|pwd)\\s{1,4}(?:is|was)\\s{1,4}[\"'`]?"
+_ASSIGNED = f"(?:(?:{SECRET_WORDS})[a-z0-9_-]{{0,20}}[\"'`]?\\]?\\s{{0,64}}[=:]{{1,2}}>?\\s{{0,64}}[\"'`]?{_SCHEME}|{_TOLD})"
 _KEY = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 _LONG = (
     "(?<![A-Za-z0-9_+/-])(?=[_+/-]*+[A-Za-z0-9])(?:(?:eyJ|SG\\.)[A-Za-z0-9_-]{6,}+(?:\\.[A-Za-z0-9_-]{6,}+)++"
     "|[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\"'`-]))?+)"
 )
-# The look-behinds before the last only save time.
+# The look-behinds before the last only save time: most words follow a word and one space.
 _NAMED = (
     "(?<=[=:>\\s\"'`])(?=[^\\s\"'`=:>])(?!(?i:bearer|basic)\\s)"
-    f"(?<=[=:>]\\s{{0,16}}[\"'`]?(?i:{_SCHEME}))(?<=(?i:{_ASSIGNED}))"
-    "(?:(?<=[\"'`])[^\"'`\\r\\n]{1,256}+(?=[\"'`])|[^\\s\"'`]++)"
+    "(?:(?<![^=:>\\s\"'`]\\s)|(?<=(?i:bearer|basic|\\s(?:is|was))\\s))"
+    f"(?<=[=:>]\\s{{0,64}}[\"'`]?(?i:{_SCHEME})|(?i:{_TOLD}))(?<=(?i:{_ASSIGNED}))"
+    "(?:(?<=[\"'`])[^\"'`\\r\\n]++(?=[\"'`])|[^\\s\"'`]++)"
 )
-PATTERN = f"{_KEY}|{_NAMED}|{_LONG}"
+#: The password in an address, between the user and the host.
+_IN_ADDRESS = "(?<=://[^\\s/@:]{0,64}:)[^\\s/@\"'`]++(?=@)"
+PATTERN = f"{_KEY}|{_IN_ADDRESS}|{_NAMED}|{_LONG}"
 
 #: What a secret shows by itself, wherever it stands: the mark of a private key, a provider's prefix.
 KNOWN_FORMS = (
@@ -113,7 +119,8 @@ def features(left: Column, value: Column, right: Column) -> dict[str, Column]:
         "slashes": F.regexp_count(value, F.lit("/")) / size,
         "path_left": _flag(left, "(?:[/\\\\.]|://\\S*)$"),
         "path_right": _flag(right, "^\\.[A-Za-z]|^[/\\\\]"),
-        "assigned": _flag(left, "[=:]>?\\s{0,16}[\"'`]?$|[Bb]earer\\s{1,4}$"),
+        "assigned": _flag(left, "[=:]>?\\s{0,64}[\"'`]?$|[Bb]earer\\s{1,4}$"),
+        "in_address": _flag(left, "://[^\\s/@:]{0,64}:$") * _flag(right, "^@"),
         "quoted": _flag(left, "[\"'`]$") * _flag(right, "^[\"'`]"),
         "secret_word": _flag(before, f"(?:{_ASSIGNED}|bearer\\s{{1,4}})$"),
         "hash_word": _flag(before, f"\\b(?:{HASH_WORDS})[^a-z]{{0,4}}$"),
@@ -202,13 +209,13 @@ def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
     quoted = F.rlike("left", F.lit("[\"'`]$"))
     prose = F.rlike("value", F.lit(PLAIN_WORD)) | F.rlike("value", F.lit(CODE))
     named = F.rlike("left", F.lit(f"(?i){_ASSIGNED}$")) & (quoted | ~prose)
+    named = named | (F.rlike("left", F.lit("://[^\\s/@:]{0,64}:$")) & F.rlike("right", F.lit("^@")))
     sample = F.rlike("value", F.lit(f"(?i)^(?!-----BEGIN)[\\s\\S]*(?:{SAMPLE_WORDS})"))
     real = real.withColumn("label", (named | F.rlike("value", F.lit(KNOWN_FORMS))) & ~sample)
     # What is derived is computed once a text, then dealt out.
-    start = F.left(text, F.lit(400))
     base = texts.select(
-        F.regexp_extract(start, "(\\S+\\s+\\S+\\s+)", 1).alias("words"), F.regexp_extract(start, "(\\p{L}+)", 1).alias("word"),
-        F.left(F.regexp_replace(start, "[^A-Za-z]", ""), F.lit(24)).alias("joined"), F.md5(text).alias("md5"), F.sha1(text).alias("sha1"),
+        F.regexp_extract(text, "(\\S+\\s+\\S+\\s+)", 1).alias("words"), F.regexp_extract(text, "(\\p{L}+)", 1).alias("word"),
+        F.left(F.regexp_replace(text, "[^A-Za-z]", ""), F.lit(24)).alias("joined"), F.md5(text).alias("md5"), F.sha1(text).alias("sha1"),
         F.sha2(text, 256).alias("sha2"), F.regexp_replace(F.base64(F.unhex(F.sha2(text, 512))), "[+/=\\s]", "x").alias("mixed"),
     )
     base = base.select(
@@ -242,6 +249,14 @@ def labelled_findings(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
         ("secret:  '", F.left(small, F.lit(6)), "'", 1), ('passwd = "', word, '"', 1), ("PASSWORD=", F.concat(F.left(letters, F.lit(6)), F.left(digits, F.lit(2))), "\n", 1),
         ('token = "', F.left(letters, F.lit(24)), '"', 1), ("secret_key: ", F.left(letters, F.lit(32)), "\n", 1), ('"auth": "', F.left(letters, F.lit(9)), '"', 1),
         ("pwd: ", F.concat(F.left(letters, F.lit(6)), F.lit("2"), F.left(letters, F.lit(1))), "\n", 1), ('"password": "', F.concat(word, F.left(digits, F.lit(2))), '"', 1),
+        ("password =" + " " * 20, F.left(small, F.lit(9)), "\n", 1), ("DB_PASS=", F.left(small, F.lit(10)), "\n", 1), ("pass: ", F.left(md5, F.lit(9)), "\n", 1),
+        ("postgres://app:", F.left(small, F.lit(9)), "@db", 1), ("https://", F.concat(F.lower(word), F.left(digits, F.lit(2))), "@host", 0),
+        ("https://admin:", F.left(letters, F.lit(8)), "@", 1), ("amqp://user:", F.concat(word, F.left(digits, F.lit(2))), "@mq", 1), ("ftp://me:", F.lower(word), "@", 1),
+        ("password is ", F.left(small, F.lit(8)), " ", 1), ("passphrase was '", F.left(letters, F.lit(12)), "'", 1), ("password is ", word, " ", 0), ("pass: ", word, " ", 0),
+        ("https://host:", F.concat(F.left(digits, F.lit(4)), F.lit("/path/"), F.lower(joined)), " ", 0), ("http://www.site.org:", F.concat(F.lit("443/"), F.lower(word), F.lit("/page/"), F.lower(word)), "\n", 0),
+        ("https://host/", F.concat(F.lower(word), F.lit("/"), F.lower(joined)), "?", 0),
+        ("a pass: ", F.lower(word), " ", 0), ("the token: ", F.lower(word), " ", 0), ("her password is ", F.lower(word), " ", 0), ("secret: ", F.lower(word), "\n", 0),
+        ('password = "', F.concat_ws(" ", F.left(small, F.lit(9)), F.left(letters, F.lit(11)), mixed, sha2, sha1, mixed), '"', 1),
         ("the password: ", word, " ", 0), ("token: ", F.concat(word, F.lit(",")), " ", 0), ("a secret:\n", word, " ", 0), ("credentials: ", F.concat(word, F.lit(".")), "\n", 0),
         ("token = ", F.concat(F.lit("get_"), word, F.lit("()")), "\n", 0), ("password = ", F.lit("None"), "\n", 0), ("secret = ", F.concat(F.lit("self."), F.lower(word)), "\n", 0),
         ("", joined, " ", 0), ("", F.lower(joined), " ", 0), ("export ", F.concat(F.upper(F.left(joined, F.lit(8))), F.lit("_SECRET_KEY")), "=", 0),

@@ -135,6 +135,27 @@ def test_values_of_all_names(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_wide_gaps_long_values_and_addresses(spark):
+    """Values far from their name, quoted ones of any length, passwords in addresses and in sentences."""
+    long_value = " ".join(f"k{i}Zt7Qm2LxP0v" for i in range(25))
+    shown = [
+        ("password =" + " " * 20, "hunter2x", "\n"), ("password" + " " * 40 + "=" + " " * 40, "Kd83mSl0", " end"),
+        ('password = "', long_value, '"'), ("DB_PASS=", "k3Jd82mS", "\n"), ("pass: ", "x7Kq2Zm9", " end"),
+        ("postgres://app:", "x7Kq2Zm", "@db.host/main"), ("https://admin:", "qkzvtnwp", "@10.0.0.1/"),
+        ("my password is ", "x7Kq2Zm9", " for now"), ("the passphrase was '", "qkzvtnwplrsd", "'"),
+    ]
+    kept = [
+        "the password is kept in a safe place", "a mountain pass: steep and narrow", "https://host:8080/path/to/page",
+        "compass: north", "mail to someone@host.net or ssh://git@host.net/repo", "passenger: Smith",
+    ]
+    texts = [f"some words {a}{v}{b}" for a, v, b in shown] + kept
+    docs = spark.createDataFrame([(i, t, "f", "l", 1) for i, t in enumerate(texts)], DOCS)
+    forest = secrets.train(secrets.labelled_findings(spark.read.parquet(f"{SF}/documents.parquet")))
+    got = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    expected = [f"some words {a}{secrets.PLACEHOLDER}{b}" for a, _, b in shown] + kept
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_samples_are_never_empty(spark):
     from chatlens.llm.common import hash_share
 
