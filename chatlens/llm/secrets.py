@@ -55,7 +55,7 @@ _NAMED = (
     "(?:(?<=[\"'`])[^\"'`\\r\\n]++(?=[\"'`])|[^\\s\"'`]++)"
 )
 #: The password in an address, between the user and the host.
-_IN_ADDRESS = "(?<=://[^\\s/@:]{0,64}:)[^\\s/@\"'`]++(?=@)"
+_IN_ADDRESS = "(?<=:)(?<=://[^\\s/@:]{0,64}:)[^\\s/@\"'`]++(?=@)"
 PATTERN = f"{_KEY}|{_IN_ADDRESS}|{_NAMED}|{_LONG}"
 
 #: What a secret shows by itself, wherever it stands: the mark of a private key, a provider's prefix.
