@@ -5,6 +5,7 @@ import random
 import pytest
 from conftest import plan_of, rows_of
 
+from chatlens import storage
 from chatlens.operators import joins, routing
 
 
@@ -69,6 +70,32 @@ def test_contains_join(spark, monkeypatch, block):
     assert rows_of(found) == sorted(expected, key=repr)
 
 
+def test_words_that_share_short_grams(spark, monkeypatch):
+    """The rows that are compared are about as many as the pairs found, however many words share six letters."""
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = stored = storage.keep(df, name)
+        return stored
+
+    monkeypatch.setattr(joins, "keep", keep)
+    monkeypatch.setattr(joins, "MANY_LONG", 100, raising=False)
+    monkeypatch.setattr(joins, "SAMPLE", 1)
+    rng = random.Random(6)
+    parts = ["tion", "there", "and", "ing"]
+    word = lambda least, most: "".join(rng.choices(parts, k=rng.randint(least, most)))
+    needles = sorted({word(4, 6) for _ in range(600)}) + ["there", "é" * 300]
+    texts = [(i, " ".join(word(1, 6) for _ in range(30))) for i in range(40)] + [(40, None), (41, "é" * 301)]
+    found = joins.contains_join(
+        spark.createDataFrame(texts, "id int, t string"), "id", "t",
+        spark.createDataFrame([(n,) for n in needles], "needle string"), "needle",
+    )
+    expected = [(i, n) for i, t in texts for n in needles if t and n in t]
+    assert rows_of(found) == sorted(expected, key=repr)
+    occurrences = sum(t.startswith(n, at) for _, t in texts if t for n in needles for at in range(len(t)))
+    assert kept["met"].count() < 4 * occurrences
+
+
 def test_last_lookup_row_wins(spark):
     info = spark.createDataFrame(
         [(0, "a", "old"), (1, "a", "new"), (2, "b", "mums"), (3, "b", None), (4, "c", "X"), (5, None, "zz")],
