@@ -11,9 +11,13 @@ and folded into token ids with the higher-order function ``aggregate``:
   library's ids there, so the fold follows the model's kind.
 
 The other units, which occur few times, would be most of the lattice and of its shuffles; a worker
-encodes them by the same rule when it meets them. ``n_units`` only moves work between the two: the
+encodes them by the same rule when it meets them, for BPE models all new ones of some texts at once, a join a
+step in each (``Joins``). ``n_units`` only moves work between the two: the
 ids do not depend on it. The table of frequent units has at most ``n_units`` rows and is sent to all workers.
 
+Units of BPE models are cut finer, where no piece has the two characters side by side (``unit_pattern``): no join crosses
+such a place, so the ids are the same, and a word is one unit whatever punctuation follows it.
+
 Size bounds: the piece table is the vocabulary; the histogram of counts has a few hundred rows.
 
 Cases: a null or empty text has no ids; characters without a piece become bytes, or the unknown id
@@ -28,7 +32,9 @@ import heapq
 import re
 import sys
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,8 @@ MARK = "▁"
 UNIT = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 UNIT_CHARS = 64
 RARE_UNITS = 100_000
+BATCH_UNITS = 1 << 19
+BATCH_IDS = 1 << 20
 UNKNOWN_PENALTY = 10.0
 SHORT_CHARS = 40
 NO_PIECE = float("-inf")
@@ -74,6 +82,11 @@ class PieceTable:
             return [self.pieces[char][0]]
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
+    @property
+    def unit(self) -> str:
+        """Pattern of the units that no piece crosses."""
+        return unit_pattern(self.pieces) if self.kind == "bpe" else UNIT
+
     def encode_unit(self, unit: str) -> list[int]:
         return (self.merge if self.kind == "bpe" else self.viterbi)(unit)
 
@@ -158,10 +171,158 @@ class PieceTable:
             ids += [self.pieces[piece][0]] if piece in self.pieces else self.of_char(piece)
         return ids
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.text.__getitem__, ids))
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.Array) -> list[str]:
+        """Texts of lists of ids, those of about ``BATCH_IDS`` at a time; a null is an empty list."""
+        last = max(self.text)
+        known = np.zeros(last + 1, bool)
+        known[list(self.text)] = True
+        of_id = [self.text.get(i, b"") for i in range(last + 1)]
+        blob = np.frombuffer(b"".join(of_id), np.uint8)
+        size = np.fromiter(map(len, of_id), np.int64, last + 1)
+        first = np.cumsum(size) - size
+        n = np.fromiter((len(x) if x.is_valid else 0 for x in lists), np.int64, len(lists))
+        ids = lists.flatten().to_numpy()
+        if len(ids) and (ids.min() < 0 or ids.max() > last or not known[ids].all()):
+            raise KeyError("an id that is no piece")
+        ends = np.cumsum(n)
+        out, row, start = [], 0, 0
+        while row < len(n):
+            to = max(row + 1, int(np.searchsorted(ends, start + BATCH_IDS, "right")))
+            some = ids[start : ends[to - 1]]
+            sizes = size[some]
+            reach = np.cumsum(sizes)
+            data = blob[np.repeat(first[some] - reach + sizes, sizes) + np.arange(reach[-1] if len(some) else 0)].tobytes()
+            bounds = np.append(0, reach)[ends[row:to] - start].tolist()
+            for a, b in zip([0, *bounds], bounds):
+                out.append(data[a:b].removeprefix(b" ").decode("utf-8", "replace"))
+            row, start = to, int(ends[to - 1])
+        return out
+
+
+def unit_pattern(pieces) -> str:
+    """``UNIT``, and units end between characters that no chain of neighbours within pieces connects.
+
+    The two largest sets of connected characters (often the letters of two scripts) make units of their own, all other
+    characters a third kind.
+    Marks, which come before characters of any kind, begin a unit and connect nothing.
+    """
+    root: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for piece in pieces:
+        chars = piece.replace(MARK, "").replace("\n", "")
+        for a, b in zip(chars, chars[1:]):
+            root[top(a)] = top(b)
+    sizes = Counter(top(c) for c in root)
+    largest = sorted(sizes, key=lambda c: (-sizes[c], c))[:2]
+    # neighbours in code order become ranges: characters between them are connected with none, and may be in any unit
+    ranges: dict[str, str] = {c: "" for c in largest}
+    for c, chars in groupby(sorted(root), top):
+        if c in ranges:
+            first, *rest = map(_in_class, chars)
+            ranges[c] += f"{first}-{rest[-1]}" if rest else first
+    runs = [f"[{r}]" for r in ranges.values()] + [f"[^{''.join(ranges.values())}{MARK}\n]"]
+    return "|".join([*(f"{MARK}*{run}+" for run in runs), f"{MARK}+", "\n"])
+
+
+def _in_class(c: str) -> str:
+    return c if c.isalnum() or not c.isascii() else f"\\{c}"
+
+
+class Joins:
+    """Encodes many units at once by a BPE piece table, in flat arrays.
+
+    A symbol is the number of a piece. ``made`` gives the symbol that two make, out of a table with open addresses.
+    """
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, table: PieceTable):
+        names = list(table.pieces)
+        symbol = {p: i for i, p in enumerate(names)}
+        self.ids = np.array([table.pieces[p][0] for p in names] or [0], np.int32)
+        _, level = np.unique([-table.pieces[p][1] for p in names] or [0.0], return_inverse=True)
+        # the last one is that of the symbol -1
+        self.rank = np.append(level, self.NONE).astype(np.int32)
+        self.of_code = np.full(0x110000, -1, np.int32)
+        pairs = {}
+        for p, made in symbol.items():
+            if len(p) == 1:
+                self.of_code[ord(p)] = made
+            for k in range(1, len(p)):
+                a, b = symbol.get(p[:k]), symbol.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a * len(names) + b] = made
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.count, self.shift, self.last = len(names), np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.symbol = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        for slot, key in zip(self._slot(keys).tolist(), keys.tolist()):
+            while self.key[slot] >= 0:
+                slot = (slot + 1) & self.last
+            self.key[slot], self.symbol[slot] = key, pairs[key]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) * self.count + b
+        slot = self._slot(keys)
+        there = self.key[slot]
+        out = np.where(there == keys, self.symbol[slot], np.int32(-1))
+        open_ = np.nonzero((there != keys) & (there >= 0))[0]
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.last
+            there = self.key[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.symbol[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def encode(self, units: list[str]) -> list[bytes | None]:
+        """Ids of units of one length, as int32; None for those with a character that is no piece."""
+        size = len(units[0])
+        codes = np.array(units, f"U{size}").view(np.uint32).reshape(len(units), size)
+        symbols = self.of_code[codes]
+        out: list[bytes | None] = [None] * len(units)
+        rows = np.nonzero((symbols >= 0).all(axis=1))[0]
+        symbols = symbols[rows]
+        made = self.made(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(rows), size - 1)
+        rank = self.rank[made]
+        while len(rows):
+            # all units still here have had the same number of joins, so they have the same number of symbols
+            width = symbols.shape[1]
+            every = np.arange(len(rows))
+            best = rank.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+            ended = rank[every, best] == self.NONE if width > 1 else np.ones(len(rows), bool)
+            data = self.ids[symbols[ended]].tobytes()
+            for k, row in enumerate(rows[ended].tolist()):
+                out[row] = data[4 * width * k : 4 * width * (k + 1)]
+            if ended.any():
+                rows, symbols, made, rank, best = (x[~ended] for x in (rows, symbols, made, rank, best))
+                every = np.arange(len(rows))
+            if not len(rows):
+                break
+            joined = made[every, best]
+            at, pair = best[:, None], np.arange(width - 2)
+            symbols = np.where(np.arange(width - 1) <= at, symbols[:, :-1], symbols[:, 1:])
+            symbols[every, best] = joined
+            made = np.where(pair < at, made[:, :-1], made[:, 1:])
+            rank = np.where(pair < at, rank[:, :-1], rank[:, 1:])
+            for k, there in ((best - 1, best > 0), (best, best < width - 2)):
+                r, k = every[there], k[there]
+                made[r, k] = new = self.made(symbols[r, k], symbols[r, k + 1])
+                rank[r, k] = self.rank[new]
+        return out
+
 
 def load(path: str, kind: str = "bpe") -> PieceTable:
     """The piece table of a model file; the file does not tell its kind through the library."""
@@ -187,13 +348,13 @@ def normalised(text: Column) -> Column:
     return F.when(text == "", F.lit("")).otherwise(marked)
 
 
-def frequent_units(docs: DataFrame, n_units: int) -> DataFrame:
+def frequent_units(docs: DataFrame, n_units: int, unit: str = UNIT) -> DataFrame:
     """At most ``n_units`` units, the most frequent of those with up to ``UNIT_CHARS`` characters.
 
     All whose counts reach a bound are taken, where the bound is found in a histogram of counts.
     """
     units = docs.select(
-        F.explode(F.regexp_extract_all(normalised(F.col("text")), F.lit(UNIT), F.lit(0))).alias("unit")
+        F.explode(F.regexp_extract_all(normalised(F.col("text")), F.lit(unit), F.lit(0))).alias("unit")
     )
     counts = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.char_length("unit") <= UNIT_CHARS)
@@ -314,39 +475,71 @@ class RareUnits(dict):
     def __init__(self, table: PieceTable):
         super().__init__()
         self.table = table
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.table.encode_unit(unit), np.int32).tobytes()
-        if len(self) < RARE_UNITS and len(unit) <= UNIT_CHARS:
-            self[unit] = ids
-        return ids
+        self.joins = Joins(table) if table.kind == "bpe" else None
+
+    def encode(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of distinct units."""
+        known = units.intersection(self)
+        found = dict(zip(known, map(self.__getitem__, known)))
+        for size, same in groupby(sorted(units.difference(self), key=len), len):
+            same = list(same)
+            together = self.joins is not None and size <= SHORT_CHARS
+            many = self.joins.encode(same) if together else [None] * len(same)
+            if None in many:
+                one = self.table.encode_unit
+                many = [np.array(one(u), np.int32).tobytes() if i is None else i for u, i in zip(same, many)]
+            found.update(zip(same, many))
+            if len(self) < RARE_UNITS and size <= UNIT_CHARS:
+                self.update(islice(zip(same, many), RARE_UNITS - len(self)))
+        return found
+
+
+def encode_texts(texts: pa.Array, pattern: re.Pattern, frequent: dict[str, bytes], rare: RareUnits) -> pa.Array:
+    """Lists of ids; new units are encoded together, those of about ``BATCH_UNITS`` at a time."""
+    parts, ends = [], [0]
+    waiting: list[list[str]] = []
+    held = 0
+
+    def encode_waiting() -> None:
+        units = set().union(*waiting)
+        known = units.intersection(frequent)
+        ids = dict(zip(known, map(frequent.__getitem__, known)))
+        ids |= rare.encode(units.difference(frequent))
+        for of_text in waiting:
+            parts.append(b"".join(map(ids.__getitem__, of_text)))
+            ends.append(ends[-1] + len(parts[-1]) // 4)
+        waiting.clear()
+
+    for text in texts:
+        text = text.as_py()
+        waiting.append(pattern.findall(MARK + text.replace(" ", MARK)) if text else [])
+        held += len(waiting[-1])
+        if held >= BATCH_UNITS:
+            encode_waiting()
+            held = 0
+    encode_waiting()
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def encode(docs: DataFrame, table: PieceTable, n_units: int = 300_000) -> DataFrame:
     """``docs`` with ``ids`` (array of int)."""
     spark = docs.sparkSession
-    known = storage.keep(unit_ids(frequent_units(docs, n_units), table), "unit_ids")
+    unit = table.unit
+    known = storage.keep(unit_ids(frequent_units(docs, n_units, unit), table), "unit_ids")
     found = known.toPandas()
     shared = spark.sparkContext.broadcast(
         {u: np.asarray(i, np.int32).tobytes() for u, i in zip(found["unit"], found["ids"])}
     )
-    cut = re.compile(UNIT)
+    pattern = re.compile(unit)
     key = ("rare_units", table.kind, zlib.crc32(repr(sorted(table.pieces.items())).encode()))
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        frequent = shared.value
         store = worker_store()
-        rare = store.setdefault(key, RareUnits(table))
-        parts, ends = [], [0]
-        for text in texts:
-            text = text.as_py()
-            units = cut.findall(MARK + text.replace(" ", MARK)) if text else ()
-            ids = b"".join([frequent.get(u) or rare[u] for u in units])
-            parts.append(ids)
-            ends.append(ends[-1] + len(ids) // 4)
-        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        if key not in store:
+            store[key] = RareUnits(table)
+        return encode_texts(texts, pattern, shared.value, store[key])
 
     return docs.withColumn("ids", encoded("text"))
 
@@ -356,6 +549,6 @@ def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        return pa.array([table.decode(x.values.to_pylist() if x.is_valid else []) for x in ids], pa.string())
+        return pa.array(table.decode_lists(ids), pa.string())
 
     return encoded.withColumn("decoded", decoded("ids"))

@@ -50,6 +50,31 @@ def test_units_of_any_kind(table, library):
         assert (ids if t else []) == library.encode(t)
 
 
+def test_a_word_is_one_unit_whatever_follows(table):
+    units = sp.re.findall(table.unit, "▁word▁word.▁word,▁(word)!!▁▁дом;\n")
+    assert units == ["▁word", "▁word", ".", "▁word", ",", "▁(", "word", ")!!", "▁▁дом", ";", "\n"]
+    assert set(sp.unit_pattern(["a", "b"]).split("|")) == {"▁*[^▁\n]+", "▁+", "\n"}
+
+
+@pytest.mark.parametrize("batch", [1, 50, 1 << 19])
+def test_units_together_equal_library(table, library, monkeypatch, batch):
+    monkeypatch.setattr(sp, "BATCH_UNITS", batch)
+    monkeypatch.setattr(sp, "BATCH_IDS", batch)
+    r = random.Random(5)
+    chars, names = "aAb e  \n.,12é日▁<>s😀tthein -'\"()мирñÄ\x00\t", list(table.pieces)
+    texts = TEXTS + ["".join(r.choices(chars, k=r.randint(0, 60))) for _ in range(500)]
+    texts += ["".join(r.choices(names, k=r.randint(1, 12))) for _ in range(500)]
+    frequent = {u: sp.np.array(table.merge(u), "int32").tobytes() for u in ("▁the", ".", "▁")}
+    for rare in (sp.RareUnits(table), sp.RareUnits(table)):
+        for _ in range(2):
+            lists = sp.encode_texts(sp.pa.array(texts, "string"), sp.re.compile(table.unit), frequent, rare)
+            assert lists.to_pylist() == [library.encode(t or "") for t in texts]
+    assert table.decode_lists(lists) == [(t or "").replace("▁", " ") for t in texts]
+    assert table.decode_lists(sp.pa.array([None, [], [table.pieces["▁the"][0]]], lists.type)) == ["", "", "the"]
+    with pytest.raises(KeyError):
+        table.decode_lists(sp.pa.array([[-1]], lists.type))
+
+
 def best_path(table, unit):
     """The best of all segmentations."""
     if not unit:
