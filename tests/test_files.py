@@ -3,6 +3,7 @@
 import csv
 import os
 
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -270,3 +271,13 @@ def test_twenty_thousand_columns(spark, tmp_path):
     assert [r.value for r in lines] == ["id,a.b,text"]
     one = sinks.read_cells(table, ['h,"7', "other"], blank="-").where("id = 3").first()
     assert tuple(one)[3:] == ("1", "-")
+
+
+def test_places_of_keys():
+    """Places come from one look-up of all keys, sorted; the old look-up went through all hits for every column."""
+    names = ["b", "a", None, "é", "a"]
+    lists = [["é", "x", "b"], None, [], ["a"], ["x"]]
+    codes = sinks.key_places(names)(pa.array(lists, pa.list_(pa.string()))).to_pylist()
+    assert [[divmod(c, 1 << 32) for c in row] for row in codes] == [[(0, 2), (3, 0)], [], [], [(1, 0), (4, 0)], []]
+    assert sinks.key_places([])(pa.array([["a"], []], pa.list_(pa.string()))).to_pylist() == [[], []]
+    assert sinks.key_places(names)(pa.array([], pa.list_(pa.string()))).to_pylist() == []
