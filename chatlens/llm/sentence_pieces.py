@@ -541,7 +541,8 @@ def encode(docs: DataFrame, table: PieceTable, n_units: int = 300_000) -> DataFr
             store[key] = RareUnits(table)
         return encode_texts(texts, pattern, shared.value, store[key])
 
-    return docs.withColumn("ids", encoded("text"))
+    # else Spark puts the call into every expression over the ids, which encodes the texts once for each UDF among them
+    return docs.withColumn("ids", encoded.asNondeterministic()("text"))
 
 
 def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:

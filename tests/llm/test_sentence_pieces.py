@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from conftest import plan_of
 from sentencepiece import SentencePieceProcessor
 
 from chatlens.llm import sentence_pieces as sp
@@ -42,6 +43,13 @@ def test_equals_library(spark, table, library, n_units):
         assert r.decoded == t.replace("▁", " ")
 
 
+def test_texts_are_encoded_once(spark, table):
+    both = sp.decode(sp.encode(frame(spark, TEXTS), table, 20), table)
+    plan = plan_of(both.select("doc_id", sp.F.size("ids"), sp.F.array_join("ids", " "), "decoded"))
+    calls = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(calls) == 2 and sum("encoded(text" in line for line in calls) == 1, plan
+
+
 def test_units_of_any_kind(table, library):
     r = random.Random(2)
     for _ in range(2000):
