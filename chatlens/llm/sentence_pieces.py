@@ -476,6 +476,7 @@ class RareUnits(dict):
         super().__init__()
         self.table = table
         self.joins = Joins(table) if table.kind == "bpe" else None
+        self.last: tuple[pa.Array, pa.Array] | None = None  # texts met last and their ids, until asked for again
 
     def encode(self, units: set[str]) -> dict[str, bytes]:
         """Ids of distinct units."""
@@ -522,6 +523,20 @@ def encode_texts(texts: pa.Array, pattern: re.Pattern, frequent: dict[str, bytes
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def encode_once(texts: pa.Array, pattern: re.Pattern, frequent: dict[str, bytes], rare: RareUnits) -> pa.Array:
+    """``encode_texts``, but the same texts given twice in a row are encoded once.
+
+    Spark puts the call into every expression over the ids, so that ``decode`` asks for those of the same batch again.
+    """
+    if rare.last is not None and rare.last[0].equals(texts):
+        ids, rare.last = rare.last[1], None
+        return ids
+    rare.last = None
+    ids = encode_texts(texts, pattern, frequent, rare)
+    rare.last = texts, ids
+    return ids
+
+
 def encode(docs: DataFrame, table: PieceTable, n_units: int = 300_000) -> DataFrame:
     """``docs`` with ``ids`` (array of int)."""
     spark = docs.sparkSession
@@ -539,10 +554,9 @@ def encode(docs: DataFrame, table: PieceTable, n_units: int = 300_000) -> DataFr
         store = worker_store()
         if key not in store:
             store[key] = RareUnits(table)
-        return encode_texts(texts, pattern, shared.value, store[key])
+        return encode_once(texts, pattern, shared.value, store[key])
 
-    # else Spark puts the call into every expression over the ids, which encodes the texts once for each UDF among them
-    return docs.withColumn("ids", encoded.asNondeterministic()("text"))
+    return docs.withColumn("ids", encoded("text"))
 
 
 def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:

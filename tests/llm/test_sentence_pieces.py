@@ -4,7 +4,6 @@ import random
 
 import public_tokenizers
 import pytest
-from conftest import plan_of
 from sentencepiece import SentencePieceProcessor
 
 from chatlens.llm import sentence_pieces as sp
@@ -43,11 +42,27 @@ def test_equals_library(spark, table, library, n_units):
         assert r.decoded == t.replace("▁", " ")
 
 
-def test_texts_are_encoded_once(spark, table):
-    both = sp.decode(sp.encode(frame(spark, TEXTS), table, 20), table)
-    plan = plan_of(both.select("doc_id", sp.F.size("ids"), sp.F.array_join("ids", " "), "decoded"))
-    calls = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
-    assert len(calls) == 2 and sum("encoded(text" in line for line in calls) == 1, plan
+def test_texts_are_encoded_once(spark, table, library, monkeypatch, tmp_path):
+    calls, encode_texts = str(tmp_path / "calls"), sp.encode_texts
+
+    def counted(texts, *rest):
+        with open(calls, "a") as file:
+            file.write(".")
+        return encode_texts(texts, *rest)
+
+    monkeypatch.setattr(sp, "encode_texts", counted)
+    both = sp.decode(sp.encode(frame(spark, TEXTS).coalesce(1), table, 20), table)
+    got = both.select("doc_id", sp.F.size("ids").alias("n"), sp.F.array_join("ids", " ").alias("all"), "decoded").collect()
+    assert [r.all for r in got] == [" ".join(map(str, library.encode(t or ""))) for t in TEXTS]
+    assert [r.decoded for r in got] == [(t or "").replace("▁", " ") for t in TEXTS]
+    assert open(calls).read() == "."
+
+
+def test_other_texts_are_encoded_anew(table, library):
+    rare, pattern = sp.RareUnits(table), sp.re.compile(table.unit)
+    for texts in (["a b"], ["a b"], ["a b"], ["a c"], ["a c", None], ["a c", ""], [None, "a c"], []):
+        ids = sp.encode_once(sp.pa.array(texts, "string"), pattern, {}, rare)
+        assert ids.to_pylist() == [library.encode(t or "") for t in texts]
 
 
 def test_units_of_any_kind(table, library):
