@@ -123,12 +123,17 @@ def _blocks(texts: DataFrame, key: str, text: str, high: int) -> DataFrame:
 
 
 def _grams(blocks: DataFrame, sizes: list[int]) -> DataFrame:
-    """``_id, _place, _gram``: what begins at each place, in each of a few sizes."""
-    places = F.explode(F.sequence(F.col("_left") + 1, F.col("_left") + F.col("_own")))
-    rows = blocks.select("_id", "_shown", places.alias("_place"))
-    size = F.explode(F.array(*map(F.lit, sizes)))
-    rows = rows.select("_id", "_place", F.substring("_shown", F.col("_place"), F.lit(sizes[-1])).alias("_cut"), size.alias("_n"))
-    rows = rows.where(F.char_length("_cut") >= F.col("_n"))
+    """``_id, _place, _gram``: what begins at each place, in each of a few sizes.
+
+    One pass over a block gives all its places: a substring would be looked for from the beginning of the block each time.
+    """
+    cuts = F.regexp_extract_all("_shown", F.lit(f"(?s)(?=(.{{1,{sizes[-1]}}}))."), F.lit(1))
+    own = F.slice(cuts, F.col("_left") + 1, F.col("_own"))
+    rows = blocks.select("_id", "_left", F.posexplode(own).alias("_at", "_cut"))
+    rows = rows.select("_id", (F.col("_left") + F.col("_at") + 1).alias("_place"), "_cut")
+    if len(sizes) == 1:
+        return rows.where(F.char_length("_cut") >= sizes[0]).select("_id", "_place", F.col("_cut").alias("_gram"))
+    rows = rows.withColumn("_n", F.explode(F.array(*map(F.lit, sizes)))).where(F.char_length("_cut") >= F.col("_n"))
     return rows.select("_id", "_place", F.left("_cut", F.col("_n")).alias("_gram"))
 
 
