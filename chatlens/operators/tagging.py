@@ -40,6 +40,9 @@ LITERAL = "literal"
 
 SHIPPED_MAX_RULES = 20_000
 SHIPPED_MAX_BYTES = 4 * 1024 * 1024
+# of each of the tables that lists are made of
+LISTED_MAX_ROWS = 2_000_000
+LISTED_MAX_BYTES = 128 * 1024 * 1024
 
 
 @dataclass
@@ -281,11 +284,13 @@ def tag_by_index(
     if not index.needles:
         return messages.withColumn("hits", F.array().cast(HITS))
     found = find_batched(fold_case(message_col, full_fold), index.needles)
-    row = index_row(messages, index)
+    return _resolved(messages.withColumn("_found", found), index_row(messages, index))
+
+
+def _resolved(with_found: DataFrame, row: DataFrame) -> DataFrame:
+    """``hits`` in place of ``_found``, given the row of an index."""
     names = {n: f"_{n}" for n in row.columns}
-    with_index = messages.withColumn("_found", found).withColumns(
-        {own: row.select(n).scalar() for n, own in names.items()}
-    )
+    with_index = with_found.withColumns({own: row.select(n).scalar() for n, own in names.items()})
     return with_index.withColumn(
         "hits", resolve_hits(F.col("_found"), {n: F.col(own) for n, own in names.items()})
     ).drop("_found", *names.values())
@@ -298,12 +303,15 @@ def tag_by_join(
     required: str = ANY,
     suppress: bool = True,
     full_fold: bool = False,
+    max_listed: int = LISTED_MAX_ROWS,
 ) -> DataFrame:
     """``tag_messages`` for rule tables of any size.
 
-    Hits depend on the text alone, so they are found once per distinct text. Every join is on
-    equality. The keywords found, which several joins
-    need, are kept in the shared folder.
+    The keywords found depend on the text alone, so they are found once per distinct text. Every join is on
+    equality. The keywords found, which several joins need, are kept in the shared folder, by numbers of texts.
+
+    A keyword stands for as many hits as it has rules. If the numbers of the headers of each keyword fit a broadcast,
+    the hits are put together in the row of their message, and no hit is shuffled or stored; else by joins.
     """
     folded = fold_case(message_col, full_fold)
     texts = (
@@ -313,40 +321,108 @@ def tag_by_join(
         .withColumn("_text", F.sha2("_folded", 256))
         # cutting takes long for its bytes: keep partitions from being merged by size
         .repartition(shuffle_partitions(messages), "_text")
+        .withColumn("_no", F.monotonically_increasing_id())
     )
+    # stored, so that the numbers stay
+    texts = keep(texts, "texts")
     needles = rule_needles(rules, required, full_fold)
     headers = keep(header_order(needles.rules), "headers")
     every_needle = needles.rules.select("needle").union(needles.alternatives.select("needle")).distinct()
-    found = keep(contains_join(texts, "_text", "_folded", every_needle, "needle"), "found")
+    found = keep(contains_join(texts, "_no", "_folded", every_needle, "needle"), "found")
+    pairs = suppressor_pairs(headers).select("generic_ord", F.col("specific_ord").alias("ord")) if suppress else None
+    if suppress:
+        pairs = keep(pairs, "pairs")
+
+    tables = [needles.rules, needles.alternatives, headers, *([pairs] if suppress else [])]
+    if all(fits_broadcast(t, max_listed, LISTED_MAX_BYTES) for t in tables):
+        row, numbered = index_lists(needles, headers, pairs)
+        number = lookup_join(found, numbered, ["needle"]).groupBy("_no").agg(F.collect_set("number").alias("_found"))
+        per_text = number.join(texts.select("_no", "_text"), "_no").select("_text", "_found")
+        keyed = messages.withColumn("_text", F.coalesce(text_key(folded), F.lit("")))
+        # stored, so that the partition of a very common text can be split
+        with_found = keyed.join(keep(per_text, "found"), "_text", "left").drop("_text")
+        # the hits take long for the bytes of what they are made of: keep partitions from being merged by size
+        return _resolved(with_found.repartition(shuffle_partitions(messages)), row)
 
     ordered = lookup_join(needles.rules, headers.select("headers", "ord"), ["headers"]).select(
         "needle", "ord", *REQUIREMENT, "asks"
     )
     candidates = lookup_join(found, ordered.distinct(), ["needle"])
-    simple = candidates.where("NOT asks").select("_text", "ord")
+    simple = candidates.where("NOT asks").select("_no", "ord")
     # a requirement is decided once a text, then the rules that ask for it look it up
-    met = lookup_join(found, needles.alternatives, ["needle"]).select("_text", *REQUIREMENT).distinct()
+    met = lookup_join(found, needles.alternatives, ["needle"]).select("_no", *REQUIREMENT).distinct()
     complex_hits = (
-        candidates.where("asks").join(met, ["_text", *REQUIREMENT], "left_semi").select("_text", "ord")
+        candidates.where("asks").join(met, ["_no", *REQUIREMENT], "left_semi").select("_no", "ord")
     )
     hits = simple.union(complex_hits).distinct()
     if suppress:
-        pairs = suppressor_pairs(headers).select(
-            F.col("generic_ord"), F.col("specific_ord").alias("ord")
-        )
         suppressed = (
             lookup_join(hits, pairs, ["ord"])
-            .select("_text", F.col("generic_ord").alias("ord"))
+            .select("_no", F.col("generic_ord").alias("ord"))
             .distinct()
         )
-        hits = hits.join(suppressed, ["_text", "ord"], "left_anti")
+        hits = hits.join(suppressed, ["_no", "ord"], "left_anti")
     named = lookup_join(hits, headers.select("ord", F.col("headers").alias("header")), ["ord"])
-    per_text = named.groupBy("_text").agg(
+    per_number = named.groupBy("_no").agg(
         F.array_sort(F.collect_list(F.struct("ord", "header"))).alias("hits")
     )
+    per_text = per_number.join(texts.select("_no", "_text"), "_no").select("_text", "hits")
     return attach_by_text(messages, per_text, folded)
 
 
+def index_lists(
+    needles: Needles, headers: DataFrame, pairs: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """The one row of ``index_row`` made by grouping, and ``needle, number``, for tables that have been measured."""
+    heads = _numbered(headers, "ord", "headers")
+    words = _numbered(needles.rules.select("needle").union(needles.alternatives.select("needle")).distinct(), "needle")
+    asked = _numbered(needles.alternatives.select(*REQUIREMENT).distinct(), *REQUIREMENT)
+    place = heads.select("headers", F.col("number").alias("place"))
+    word = words.select("needle", F.col("number").alias("word"))
+    n = heads.agg(F.count("*")).scalar()
+    placed = lookup_join(lookup_join(needles.rules, place, ["headers"]), word, ["needle"])
+    simple = placed.where("NOT asks").select("word", "place")
+    # rules ask for what has alternatives, so that all of these find their requirement
+    asking = lookup_join(placed.where("asks"), asked, REQUIREMENT).select(
+        "word", "number", (F.col("number") * n + F.col("place")).alias("pair")
+    )
+    asking = keep(asking, "asking")
+    meets = lookup_join(lookup_join(needles.alternatives, word, ["needle"]), asked, REQUIREMENT)
+    lists = {
+        "simple": _lists(words, simple, "word", "place"),
+        "asking": _lists(words, asking, "word", "pair"),
+        "meets": _lists(words, meets, "word", "number"),
+        "granted": _lists(asked, asking.select("number", "pair"), "number", "pair"),
+        "suppresses": heads.agg(F.array_repeat(F.array().cast("array<bigint>"), F.count("*").cast("int"))),
+        "headers": heads.agg(F.array_sort(F.collect_list(F.struct("ord", F.col("headers").alias("header"))))),
+    }
+    if pairs is not None:
+        by_ord = heads.select("ord", F.col("number").alias("place"))
+        generic = heads.select(F.col("ord").alias("generic_ord"), F.col("number").alias("generic"))
+        suppressing = lookup_join(lookup_join(pairs, by_ord, ["ord"]), generic, ["generic_ord"])
+        lists["suppresses"] = _lists(heads, suppressing, "place", "generic")
+    row = None
+    for name, of in lists.items():
+        one = of.toDF(name)
+        row = one if row is None else row.crossJoin(F.broadcast(one))
+    return keep(row, "index"), words
+
+
+def _numbered(rows: DataFrame, *columns: str) -> DataFrame:
+    """``number`` and the columns: the rows of a measured table in order, from 0."""
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_all"))
+    numbered = listed.select(F.posexplode("_all").alias("number", "_row"))
+    return keep(numbered.select(F.col("number").cast("bigint").alias("number"), "_row.*"), "numbered")
+
+
+def _lists(numbered: DataFrame, pairs: DataFrame, of: str, value: str) -> DataFrame:
+    """One row: for each number the list of its values."""
+    grouped = pairs.groupBy(F.col(of).alias("number")).agg(F.collect_set(value).alias("_values"))
+    every = numbered.select("number").join(grouped, "number", "left")
+    filled = F.struct("number", F.coalesce("_values", F.array().cast("array<bigint>")).alias("values"))
+    return every.agg(F.array_sort(F.collect_list(filled))["values"])
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

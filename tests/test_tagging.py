@@ -5,8 +5,9 @@ import random
 import pytest
 from conftest import plan_of, rows_of
 
+from chatlens import storage
+from chatlens.operators import joins, tagging
 from chatlens.operators import rules as rule_ops
-from chatlens.operators import tagging
 from chatlens.operators.validation import rule_warnings
 from chatlens.plans.flows import prepare_rules
 from chatlens.schemas import SchemaError
@@ -193,3 +194,41 @@ def test_requirements_shared_by_thousands_of_rules_stay_linear(spark):
     expected = [(0, ["b_x", "b_y"]), (1, []), (2, ["b_y"])]
     for tagged in (tagging.tag_by_index(messages, index), tagging.tag_by_join(messages, rules)):
         assert rows_of(tagged.select("id", "hits.header")) == expected
+
+
+@pytest.mark.parametrize("max_listed", [-1, 2_000_000])
+@pytest.mark.parametrize("seed, literal, suppress", [(4, False, True), (5, True, True), (6, False, False)])
+def test_lists_and_joins_match_search(spark, max_listed, seed, literal, suppress):
+    raw, texts = random_case(seed)
+    messages = spark.createDataFrame(list(enumerate(texts + texts)), "id int, messageBody string")
+    rules = prepare_rules(keyword_table(spark, raw))
+    options = dict(required=tagging.LITERAL if literal else tagging.ANY, suppress=suppress)
+    joined = tagging.tag_by_join(messages, rules, max_listed=max_listed, **options)
+    assert rows_of(joined) == rows_of(tagging.tag_messages(messages, rules, **options))
+    if suppress:
+        found = {r["id"]: [h["header"] for h in r["hits"]] for r in joined.collect()}
+        assert found == {i: brute(raw, t, literal) for i, t in enumerate(texts + texts)}
+
+
+def test_hits_are_not_stored(spark, monkeypatch):
+    """400 messages with a keyword of 500 rules: 200,000 hits, while all tables stored have a few thousand elements."""
+    kept = []
+
+    def keep(df, name):
+        kept.append(storage.keep(df, name))
+        return kept[-1]
+
+    monkeypatch.setattr(tagging, "keep", keep)
+    monkeypatch.setattr(joins, "keep", keep)
+    table = spark.range(500).selectExpr(
+        "id AS idx", "'b' || id AS brand", "if(id % 50 = 0, 'generic', 'p') AS product",
+        "'word' AS keyword", "CAST(NULL AS string) AS required_product",
+    )
+    messages = spark.range(400).selectExpr("id", "'a word ' || id AS messageBody")
+    tagged = tagging.tag_by_join(messages, prepare_rules(table))
+    assert tagged.selectExpr("sum(size(hits))").first()[0] == 400 * 500
+    elements = 0
+    for df in kept:
+        lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]
+        elements += df.count() + sum(df.selectExpr(f"coalesce(sum(size({c})), 0)").first()[0] for c in lists)
+    assert elements < 40_000
