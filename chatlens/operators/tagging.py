@@ -11,15 +11,15 @@ Two physical forms give the same hits; the size of the rule table, measured firs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.functions.text import fold_case, let
+from chatlens.functions.text import fold_case
 from chatlens.operators.joins import (
     contains_join,
     fits_broadcast,
@@ -43,6 +43,9 @@ SHIPPED_MAX_BYTES = 4 * 1024 * 1024
 # of each of the tables that lists are made of
 LISTED_MAX_ROWS = 2_000_000
 LISTED_MAX_BYTES = 128 * 1024 * 1024
+# bytes that mark hits while they are put together, and hits handed on at a time
+MARKED_CELLS = 1024 * 1024
+BATCH_HITS = 250_000
 
 
 @dataclass
@@ -158,11 +161,154 @@ def _suppressors(headers: list[str], max_pairs: int) -> list[list[int]] | None:
     return [of_base[h.replace(GENERIC_SUFFIX, "")] if GENERIC in h else [] for h in headers]
 
 
-def find_batched(folded: Column, needles: list[str]) -> Column:
-    """Numbers of the needles a text contains, by one pass over each text."""
+@dataclass
+class HitLists:
+    """What the needles of a rule table lead to, by numbers: each list is given as all its pairs (of, value).
+
+    ``simple``: the places of the headers a needle hits by itself. ``asking``: those it hits if a requirement is
+    met, as pairs. ``meets``: the requirements a needle meets. ``suppresses``: the generic headers a header stands for.
+    A pair is the number of the requirement times the number of headers plus the place of the header.
+    """
+
+    ords: pa.Array
+    headers: pa.Array
+    n_needles: int
+    n_requirements: int
+    simple: tuple[np.ndarray, np.ndarray]
+    asking: tuple[np.ndarray, np.ndarray]
+    meets: tuple[np.ndarray, np.ndarray]
+    suppresses: tuple[np.ndarray, np.ndarray]
+
+
+def index_pairs(index: RuleIndex) -> HitLists:
+    n = len(index.headers)
+    simple, asking = [], []
+    for i, of in enumerate(index.rules_of_needle):
+        simple += [(i, r["pos"]) for r in of if r["required"] < 0]
+        asking += [(i, r["required"] * n + r["pos"]) for r in of if r["required"] >= 0]
+    meets = [(needle, q) for q, needles in enumerate(index.requirements) for needle in needles]
+    suppresses = [(p, generic) for generic, specifics in enumerate(index.suppressors) for p in specifics]
+
+    def columns(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        both = np.array(pairs, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    return HitLists(
+        pa.array(index.ords, pa.int64()),
+        pa.array(index.headers, pa.string()),
+        len(index.needles),
+        len(index.requirements),
+        *map(columns, (simple, asking, meets, suppresses)),
+    )
+
 
-    @F.pandas_udf("array<int>")
-    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def resolve_hits(lists: HitLists) -> Callable[[pa.Array], Iterator[pa.Array]]:
+    """Function of the numbers of the needles found in each text: ``hits``, in several batches of rows.
+
+    Only what belongs to the needles found is looked at, in flat arrays, a few texts at a time. What is hit is marked in
+    one byte a text and header, or sorted if that would be many more bytes than hits. A generic header is dropped if one
+    of its suppressors is hit as well.
+    """
+    ords, headers, n_requirements = lists.ords, lists.headers, lists.n_requirements
+    n, cells, most = len(headers), MARKED_CELLS, BATCH_HITS
+
+    def by_number(pairs: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The values by what they belong to: first, how many, values."""
+        of, values = pairs
+        many = np.bincount(of, minlength=size)
+        return np.cumsum(many) - many, many, values[np.argsort(of, kind="stable")]
+
+    simple, asking = by_number(lists.simple, lists.n_needles), by_number(lists.asking, lists.n_needles)
+    meets, suppresses = by_number(lists.meets, lists.n_needles), by_number(lists.suppresses, n)
+
+    def values_of(lists, base: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the lists of some numbers, each with the base of its number."""
+        first, many, values = lists
+        many = many[of]
+        at = np.repeat(first[of] - (np.cumsum(many) - many), many)
+        at += np.arange(len(at))
+        return np.repeat(base, many), values[at]
+
+    def places_in(codes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many of the sorted codes are in each row, the code at which the row of each begins, and its place."""
+        begins = np.arange(rows + 1) * n
+        sizes = np.diff(np.searchsorted(codes, begins))
+        base = np.repeat(begins[:-1], sizes)
+        return sizes, base, codes - base
+
+    def distinct(codes: np.ndarray, size: int) -> np.ndarray:
+        if len(codes) * 16 < size:
+            return np.unique(codes)
+        marked = np.zeros(size, bool)
+        marked[codes] = True
+        return np.flatnonzero(marked)
+
+    def among(codes: np.ndarray, others: np.ndarray, size: int) -> np.ndarray:
+        if (len(codes) + len(others)) * 16 < size:
+            return np.isin(codes, others)
+        marked = np.zeros(size, bool)
+        marked[others] = True
+        return marked[codes]
+
+    def codes_hit(row: np.ndarray, number: np.ndarray, rows: int) -> np.ndarray:
+        """Rows and places hit, as sorted numbers: row times the number of headers plus place."""
+        base, hit = values_of(simple, row * n, number)
+        hit += base
+        if len(asking[2]):
+            own, met = values_of(meets, row * n_requirements, number)
+            asks, pair = values_of(asking, row, number)
+            required, place = np.divmod(pair, max(1, n))
+            granted = among(asks * n_requirements + required, own + met, rows * n_requirements)
+            hit = np.append(hit, (asks * n + place)[granted])
+        hit = distinct(hit, rows * n)
+        if len(suppresses[2]):
+            _, base, place = places_in(hit, rows)
+            base, gone = values_of(suppresses, base, place)
+            gone += base
+            hit = hit[~among(hit, gone, rows * n)]
+        return hit
+
+    def as_hits(sizes: list[np.ndarray], places: list[np.ndarray]) -> pa.Array:
+        place = pa.array(np.concatenate(places))
+        found = pa.StructArray.from_arrays([ords.take(place), headers.take(place)], ["ord", "header"])
+        ends = np.append(0, np.cumsum(np.concatenate(sizes)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+    def resolve(found: pa.Array) -> Iterator[pa.Array]:
+        many = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, number = np.append(0, np.cumsum(many)), found.flatten().to_numpy(zero_copy_only=False)
+        step = max(1, cells // max(1, n, n_requirements))
+        sizes, places, held = [], [], 0
+        for i in range(0, len(found), step):
+            rows = min(step, len(found) - i)
+            row = np.repeat(np.arange(rows), many[i : i + rows])
+            size, _, place = places_in(codes_hit(row, number[ends[i] : ends[i + rows]], rows), rows)
+            sizes.append(size)
+            places.append(place)
+            held += len(place)
+            if held >= most or i + rows == len(found):
+                yield as_hits(sizes, places)
+                sizes, places, held = [], [], 0
+
+    return resolve
+
+
+def hits_of_found(found: Column, lists: HitLists) -> Column:
+    """``hits``, given the numbers of the needles found in a text."""
+    resolve = resolve_hits(lists)
+
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in batches:
+            yield from resolve(found)
+
+    return F.arrow_udf(hits, HITS)(found)
+
+
+def hits_of_text(folded: Column, needles: list[str], lists: HitLists) -> Column:
+    """``hits``, by one search for all needles in each text."""
+    resolve = resolve_hits(lists)
+
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         search = ahocorasick.Automaton()
@@ -173,70 +319,13 @@ def find_batched(folded: Column, needles: list[str]) -> Column:
         if len(search):
             search.make_automaton()
         for texts in batches:
-            yield pd.Series(
-                [
-                    None if t is None else always + sorted({i for _, i in search.iter(t)})
-                    if len(search)
-                    else always
-                    for t in texts
-                ],
-                dtype=object,
-            )
-
-    return numbers(folded)
-
-
-def index_row(messages: DataFrame, index: RuleIndex) -> DataFrame:
-    """The rule index as one row, to be used as a scalar subquery.
-
-    ``simple``: places of the headers a needle hits by itself. ``asking``: those it hits if a requirement is
-    met, as pairs. ``meets``: the requirements a needle meets. ``granted``: the pairs of a requirement.
-    ``suppresses``: the generic headers a header stands for. A pair is the number of the requirement times the
-    number of headers plus the place of the header.
-    """
-    n = len(index.headers)
-    simple = [sorted({r["pos"] for r in of if r["required"] < 0}) for of in index.rules_of_needle]
-    asking = [
-        sorted({r["required"] * n + r["pos"] for r in of if r["required"] >= 0}) for of in index.rules_of_needle
-    ]
-    meets: list[list[int]] = [[] for _ in index.needles]
-    for q, needles in enumerate(index.requirements):
-        for needle in needles:
-            meets[needle].append(q)
-    granted: list[list[int]] = [[] for _ in index.requirements]
-    for pair in sorted({p for pairs in asking for p in pairs}):
-        granted[pair // n].append(pair)
-    suppresses: list[list[int]] = [[] for _ in index.headers]
-    for generic, specifics in enumerate(index.suppressors):
-        for p in specifics:
-            suppresses[p].append(generic)
-    head = pa.struct([("ord", pa.int64()), ("header", pa.string())])
-    headers = [{"ord": o, "header": h} for o, h in zip(index.ords, index.headers)]
-    lists = dict(simple=simple, asking=asking, meets=meets, granted=granted, suppresses=suppresses)
-    table = pa.table(
-        {name: pa.array([of], pa.list_(pa.list_(pa.int64()))) for name, of in lists.items()}
-        | {"headers": pa.array([headers], pa.list_(head))}
-    )
-    return messages.sparkSession.createDataFrame(table)
+            found = [
+                None if t is None else always + list({i for _, i in search.iter(t)}) if len(search) else always
+                for t in texts.to_pylist()
+            ]
+            yield from resolve(pa.array(found, pa.list_(pa.int64())))
 
-
-def resolve_hits(found: Column, index: dict[str, Column]) -> Column:
-    """Headers hit, given the numbers of the needles found in a text and the columns of ``index_row``.
-
-    Only what belongs to the needles found is looked at, and by set operations, so that the time grows with the
-    rules of these needles. A generic header is dropped if one of its suppressors is hit as well.
-    """
-
-    def of(numbers: Column, name: str) -> Column:
-        return F.flatten(F.transform(numbers, lambda i: F.element_at(index[name], (i + 1).cast("int"))))
-
-    met = F.array_distinct(of(found, "meets"))
-    pairs = F.array_intersect(of(found, "asking"), of(met, "granted"))
-    asked = F.transform(pairs, lambda p: F.pmod(p, F.size(index["headers"]).cast("bigint")))
-    hit = F.array_distinct(F.concat(of(found, "simple"), asked))
-    kept = let(hit, lambda h: F.sort_array(F.array_except(h, of(h, "suppresses"))))
-    hits = F.transform(kept, lambda p: F.element_at(index["headers"], (p + 1).cast("int")))
-    return F.when(F.size(found) > 0, hits).otherwise(F.array().cast(HITS))
+    return F.arrow_udf(hits, HITS)(folded)
 
 
 def index_rules(
@@ -283,17 +372,7 @@ def tag_by_index(
     """``tag_messages`` with a collected rule table: no join and no shuffle."""
     if not index.needles:
         return messages.withColumn("hits", F.array().cast(HITS))
-    found = find_batched(fold_case(message_col, full_fold), index.needles)
-    return _resolved(messages.withColumn("_found", found), index_row(messages, index))
-
-
-def _resolved(with_found: DataFrame, row: DataFrame) -> DataFrame:
-    """``hits`` in place of ``_found``, given the row of an index."""
-    names = {n: f"_{n}" for n in row.columns}
-    with_index = with_found.withColumns({own: row.select(n).scalar() for n, own in names.items()})
-    return with_index.withColumn(
-        "hits", resolve_hits(F.col("_found"), {n: F.col(own) for n, own in names.items()})
-    ).drop("_found", *names.values())
+    return messages.withColumn("hits", hits_of_text(fold_case(message_col, full_fold), index.needles, index_pairs(index)))
 
 
 def tag_by_join(
@@ -335,14 +414,15 @@ def tag_by_join(
 
     tables = [needles.rules, needles.alternatives, headers, *([pairs] if suppress else [])]
     if all(fits_broadcast(t, max_listed, LISTED_MAX_BYTES) for t in tables):
-        row, numbered = index_lists(needles, headers, pairs)
+        lists, numbered = index_lists(needles, headers, pairs)
         number = lookup_join(found, numbered, ["needle"]).groupBy("_no").agg(F.collect_set("number").alias("_found"))
         per_text = number.join(texts.select("_no", "_text"), "_no").select("_text", "_found")
         keyed = messages.withColumn("_text", F.coalesce(text_key(folded), F.lit("")))
         # stored, so that the partition of a very common text can be split
         with_found = keyed.join(keep(per_text, "found"), "_text", "left").drop("_text")
         # the hits take long for the bytes of what they are made of: keep partitions from being merged by size
-        return _resolved(with_found.repartition(shuffle_partitions(messages)), row)
+        dealt = with_found.repartition(shuffle_partitions(messages))
+        return dealt.withColumn("hits", hits_of_found(F.col("_found"), lists)).drop("_found")
 
     ordered = lookup_join(needles.rules, headers.select("headers", "ord"), ["headers"]).select(
         "needle", "ord", *REQUIREMENT, "asks"
@@ -372,40 +452,44 @@ def tag_by_join(
 
 def index_lists(
     needles: Needles, headers: DataFrame, pairs: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
-    """The one row of ``index_row`` made by grouping, and ``needle, number``, for tables that have been measured."""
+) -> tuple[HitLists, DataFrame]:
+    """The lists of ``index_pairs`` made by joins, and ``needle, number``, for tables that have been measured."""
     heads = _numbered(headers, "ord", "headers")
     words = _numbered(needles.rules.select("needle").union(needles.alternatives.select("needle")).distinct(), "needle")
     asked = _numbered(needles.alternatives.select(*REQUIREMENT).distinct(), *REQUIREMENT)
     place = heads.select("headers", F.col("number").alias("place"))
     word = words.select("needle", F.col("number").alias("word"))
-    n = heads.agg(F.count("*")).scalar()
+    named = heads.select("number", "ord", "headers").toArrow().sort_by("number")
+    n = len(named)
     placed = lookup_join(lookup_join(needles.rules, place, ["headers"]), word, ["needle"])
     simple = placed.where("NOT asks").select("word", "place")
     # rules ask for what has alternatives, so that all of these find their requirement
     asking = lookup_join(placed.where("asks"), asked, REQUIREMENT).select(
-        "word", "number", (F.col("number") * n + F.col("place")).alias("pair")
+        "word", (F.col("number") * n + F.col("place")).alias("pair")
     )
-    asking = keep(asking, "asking")
     meets = lookup_join(lookup_join(needles.alternatives, word, ["needle"]), asked, REQUIREMENT)
-    lists = {
-        "simple": _lists(words, simple, "word", "place"),
-        "asking": _lists(words, asking, "word", "pair"),
-        "meets": _lists(words, meets, "word", "number"),
-        "granted": _lists(asked, asking.select("number", "pair"), "number", "pair"),
-        "suppresses": heads.agg(F.array_repeat(F.array().cast("array<bigint>"), F.count("*").cast("int"))),
-        "headers": heads.agg(F.array_sort(F.collect_list(F.struct("ord", F.col("headers").alias("header"))))),
-    }
+    suppresses = None
     if pairs is not None:
         by_ord = heads.select("ord", F.col("number").alias("place"))
         generic = heads.select(F.col("ord").alias("generic_ord"), F.col("number").alias("generic"))
         suppressing = lookup_join(lookup_join(pairs, by_ord, ["ord"]), generic, ["generic_ord"])
-        lists["suppresses"] = _lists(heads, suppressing, "place", "generic")
-    row = None
-    for name, of in lists.items():
-        one = of.toDF(name)
-        row = one if row is None else row.crossJoin(F.broadcast(one))
-    return keep(row, "index"), words
+        suppresses = suppressing.select("place", "generic")
+    lists = HitLists(
+        pa.array(named["ord"].to_pylist(), pa.int64()),
+        pa.array(named["headers"].to_pylist(), pa.string()),
+        words.count(),
+        asked.count(),
+        *map(_columns, (simple, asking, meets.select("word", "number"), suppresses)),
+    )
+    return lists, words
+
+
+def _columns(pairs: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    """The two columns of a measured table, on the driver."""
+    if pairs is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    table = pairs.distinct().toArrow()
+    return table.column(0).to_numpy(), table.column(1).to_numpy()
 
 
 def _numbered(rows: DataFrame, *columns: str) -> DataFrame:
@@ -415,14 +499,6 @@ def _numbered(rows: DataFrame, *columns: str) -> DataFrame:
     return keep(numbered.select(F.col("number").cast("bigint").alias("number"), "_row.*"), "numbered")
 
 
-def _lists(numbered: DataFrame, pairs: DataFrame, of: str, value: str) -> DataFrame:
-    """One row: for each number the list of its values."""
-    grouped = pairs.groupBy(F.col(of).alias("number")).agg(F.collect_set(value).alias("_values"))
-    every = numbered.select("number").join(grouped, "number", "left")
-    filled = F.struct("number", F.coalesce("_values", F.array().cast("array<bigint>")).alias("values"))
-    return every.agg(F.array_sort(F.collect_list(filled))["values"])
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -444,13 +520,12 @@ def attach_by_text(messages: DataFrame, per_text: DataFrame, folded: Column) ->
 
 def explode_hits(tagged: DataFrame) -> DataFrame:
     """One row per message and header hit."""
-    # through a transform: a bare column would make the optimizer compute the hits twice
-    return tagged.withColumn(
-        "_hit", F.explode(F.transform("hits", lambda h: h))
-    ).select(
-        *tagged.drop("hits").columns,
-        F.col("_hit.ord").alias("ord"),
-        F.col("_hit.header").alias("header"),
+    # outer: for an inner one the optimizer would compute the hits twice, to leave out the rows without
+    hit = F.col("_hit")
+    return (
+        tagged.withColumn("_hit", F.explode_outer("hits"))
+        .where(hit.isNotNull())
+        .select(*tagged.drop("hits").columns, hit["ord"].alias("ord"), hit["header"].alias("header"))
     )
 
 
@@ -473,5 +548,5 @@ def wide_tags(tagged: DataFrame, headers: list[str]) -> DataFrame:
 
 def tag_cells(tagged: DataFrame) -> DataFrame:
     """``wide_tags`` for any number of headers: one column ``cells``, a map of the headers hit to ``1``."""
-    cells = F.transform("hits", lambda h: F.struct(h["header"], F.lit("1")))
-    return tagged.withColumn("cells", F.map_from_entries(cells)).drop("hits")
+    cells = F.map_from_arrays(F.col("hits.header"), F.array_repeat(F.lit("1"), F.size("hits")))
+    return tagged.withColumn("cells", cells).drop("hits")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plan_of, rows_of
 
@@ -232,3 +234,38 @@ def test_hits_are_not_stored(spark, monkeypatch):
         lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]
         elements += df.count() + sum(df.selectExpr(f"coalesce(sum(size({c})), 0)").first()[0] for c in lists)
     assert elements < 40_000
+
+
+@pytest.mark.parametrize("cells", [1, 64, 1 << 20])
+def test_hits_come_in_bounded_batches(monkeypatch, cells):
+    """Hits are made in flat arrays, some rows at a time, and never all those of a batch of texts at once."""
+    monkeypatch.setattr(tagging, "MARKED_CELLS", cells)
+    monkeypatch.setattr(tagging, "BATCH_HITS", 50)
+    rng = random.Random(cells)
+    n, needles, requirements = 40, 12, 5
+    pairs = lambda a, b, k: list({(rng.randrange(a), rng.randrange(b)) for _ in range(k)})
+    simple, asks, meets = pairs(needles, n, 60), pairs(needles, requirements * n, 60), pairs(needles, requirements, 10)
+    # headers from 30 on are generic
+    suppresses = [(p, 30 + g) for p, g in pairs(30, 10, 25)]
+    columns = [tuple(np.array(x, np.int64).T) for x in (simple, asks, meets, suppresses)]
+    lists = tagging.HitLists(pa.array(range(n)), pa.array([f"h{i}" for i in range(n)]), needles, requirements, *columns)
+    found = [None, [], *[rng.sample(range(needles), rng.randint(0, 5)) for _ in range(60)]]
+    expected = []
+    for numbers in found:
+        numbers = numbers or []
+        met = {q for i, q in meets if i in numbers}
+        hit = {p for i, p in simple if i in numbers} | {c % n for i, c in asks if i in numbers and c // n in met}
+        hit -= {g for p, g in suppresses if p in hit}
+        expected.append([{"ord": p, "header": f"h{p}"} for p in sorted(hit)])
+    batches = list(tagging.resolve_hits(lists)(pa.array(found, pa.list_(pa.int64()))))
+    assert [r for b in batches for r in b.to_pylist()] == expected
+    assert len(batches) > 1 and all(len(b.flatten()) < 50 + max(n, cells) for b in batches) or cells == 1 << 20
+
+
+def test_hits_are_computed_once(spark):
+    """One search a text and one explode: no filter with a second search, no function over each hit."""
+    rules = prepare_rules(keyword_table(spark, [("a", "one", "hot", None), ("b", "one", "t", None)]))
+    messages = spark.createDataFrame([(1, "hot"), (2, "x"), (3, None), (4, "t")], "id int, messageBody string")
+    exploded = tagging.explode_hits(tagging.tag_messages(messages, rules)).select("id", "ord", "header")
+    assert plan_of(exploded).count("+- ArrowEvalPython") == 1 and "transform(" not in plan_of(exploded)
+    assert rows_of(exploded) == [(1, 0, "a_one"), (1, 1, "b_one"), (4, 1, "b_one")]
