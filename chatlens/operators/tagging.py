@@ -337,7 +337,16 @@ def index_rules(
     max_bytes: int = SHIPPED_MAX_BYTES,
 ) -> RuleIndex | None:
     """Measure a rule table and collect it if it is small enough to ship; else None."""
-    needles = rule_needles(rules, required, full_fold)
+    return index_needles(rule_needles(rules, required, full_fold), suppress, max_rules, max_bytes)
+
+
+def index_needles(
+    needles: Needles,
+    suppress: bool = True,
+    max_rules: int = SHIPPED_MAX_RULES,
+    max_bytes: int = SHIPPED_MAX_BYTES,
+) -> RuleIndex | None:
+    """``index_rules`` for needles that ``tag_by_join`` can go on with if there is no index."""
     if all(fits_broadcast(t, max_rules, max_bytes) for t in (needles.rules, needles.alternatives)):
         return build_index(needles, suppress)
     return None
@@ -357,9 +366,10 @@ def tag_messages(
 
     ``suppress=False`` leaves out the generic fallback and gives the hits before it.
     """
-    index = index_rules(rules, required, suppress, full_fold, max_rules, max_bytes)
+    needles = rule_needles(rules, required, full_fold)
+    index = index_needles(needles, suppress, max_rules, max_bytes)
     if index is None:
-        return tag_by_join(messages, rules, message_col, required, suppress, full_fold)
+        return tag_by_join(messages, rules, message_col, required, suppress, full_fold, needles=needles)
     return tag_by_index(messages, index, message_col, full_fold)
 
 
@@ -383,8 +393,9 @@ def tag_by_join(
     suppress: bool = True,
     full_fold: bool = False,
     max_listed: int = LISTED_MAX_ROWS,
+    needles: Needles | None = None,
 ) -> DataFrame:
-    """``tag_messages`` for rule tables of any size.
+    """``tag_messages`` for rule tables of any size, whose needles may be at hand.
 
     The keywords found depend on the text alone, so they are found once per distinct text. Every join is on
     equality. The keywords found, which several joins need, are kept in the shared folder, by numbers of texts.
@@ -404,7 +415,7 @@ def tag_by_join(
     )
     # stored, so that the numbers stay
     texts = keep(texts, "texts")
-    needles = rule_needles(rules, required, full_fold)
+    needles = needles or rule_needles(rules, required, full_fold)
     headers = keep(header_order(needles.rules), "headers")
     every_needle = needles.rules.select("needle").union(needles.alternatives.select("needle")).distinct()
     found = keep(contains_join(texts, "_no", "_folded", every_needle, "needle"), "found")

@@ -110,11 +110,10 @@ def analyse(
     With ``as_cells`` a map ``cells`` takes the place of the header columns, however many there are.
     A rule table of up to ``max_rules`` rows and ``max_bytes`` is shipped to every task.
     """
-    index = tagging.index_rules(
-        rules, required, full_fold=full_fold, max_rules=max_rules, max_bytes=max_bytes
-    )
+    needles = tagging.rule_needles(rules, required, full_fold)
+    index = tagging.index_needles(needles, max_rules=max_rules, max_bytes=max_bytes)
     if index is None:
-        tagged = tagging.tag_by_join(chats, rules, message_col, required, full_fold=full_fold)
+        tagged = tagging.tag_by_join(chats, rules, message_col, required, full_fold=full_fold, needles=needles)
     else:
         tagged = tagging.tag_by_index(chats, index, message_col, full_fold)
     scored = scoring.with_reason(score(tagged))

@@ -269,3 +269,14 @@ def test_hits_are_computed_once(spark):
     exploded = tagging.explode_hits(tagging.tag_messages(messages, rules)).select("id", "ord", "header")
     assert plan_of(exploded).count("+- ArrowEvalPython") == 1 and "transform(" not in plan_of(exploded)
     assert rows_of(exploded) == [(1, 0, "a_one"), (1, 1, "b_one"), (4, 1, "b_one")]
+
+
+def test_needles_are_made_once(spark, monkeypatch):
+    """A rule table too large to ship is not read, folded and stored again for the joins."""
+    made = []
+    monkeypatch.setattr(tagging, "rule_needles", lambda *a, f=tagging.rule_needles: made.append(a) or f(*a))
+    rules = prepare_rules(keyword_table(spark, [("a", "one", "hot", None)]))
+    messages = spark.createDataFrame([(1, "hot"), (2, None)], "id int, messageBody string")
+    tagged = tagging.tag_messages(messages, rules, max_rules=0)
+    assert rows_of(tagged.select("id", "hits.header")) == [(1, ["a_one"]), (2, [])]
+    assert len(made) == 1
