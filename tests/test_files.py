@@ -290,7 +290,9 @@ def test_many_fields_take_little_disk(spark, tmp_path):
     hit = F.filter(F.sequence(F.lit(0), F.lit(3999)), lambda h: (h * h + F.col("id")) % 11 == 0)
     cells = F.map_from_entries(F.transform(hit, lambda h: F.struct(F.concat(F.lit("h"), h), F.lit("1"))))
     table = spark.range(300).withColumn("cells", cells).repartition(2)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     sinks.write_wide(table, names, str(tmp_path / "gzip"), blank="0", compression="gzip")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == batch
     files = list((tmp_path / "gzip").glob("part-*.gz"))
     assert sum(os.path.getsize(f) for f in files) < 300 * 4000 * 2 / 10
     read = {}
@@ -309,6 +311,7 @@ def test_many_fields_take_little_disk(spark, tmp_path):
 def test_texts_of_cells(monkeypatch):
     """Whatever the width of the values, a few lines at a time give what one look-up a field gives."""
     monkeypatch.setattr(sinks, "TEXT_BYTES", 50)
+    monkeypatch.setattr(sinks, "PLACED_KEYS", 3)
     names = ["b", "a", None, "é", "a", "c"]
     rows = [[("a", "1"), ("x", "1")], None, [], [("é", "1"), ("b", "1")], [("c", 'q",'), ("a", None), ("b", "long")], [("c", "é\n")]]
     maps = pa.array(rows, pa.map_(pa.string(), pa.string()))
